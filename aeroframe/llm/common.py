@@ -63,3 +63,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         .groupBy("node").agg(F.min("component").alias("component"))
     )
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Bound the Arrow batches that Python workers get, so that memory does not
+    grow with the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def fold_of(id_col: str, folds: int):
+    """crc32 of the id as text, modulo ``folds`` (a null id counts as empty text)."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds

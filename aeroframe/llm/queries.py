@@ -5,15 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from aeroframe.llm import chat, secrets, sql
-from aeroframe.llm.common import table
+from aeroframe.llm import chat, secrets, sql, toxicity
+from aeroframe.llm.common import bound_batches, fold_of, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_documents(docs, table(spark, sf_dir, "labels"), fold_of("doc_id", 5) != 0)
+    bound_batches(spark)
+    return docs.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), model.score(F.col("text")).alias("score")).select(
+        "*", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted")
+    )
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.sql(
@@ -24,7 +34,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secret_scan": op1_secret_scan, "op10_chat_format": op10_chat_format}
+    return {
+        "op1_secret_scan": op1_secret_scan,
+        "op3_toxicity": op3_toxicity,
+        "op10_chat_format": op10_chat_format,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
