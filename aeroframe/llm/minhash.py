@@ -209,12 +209,14 @@ def _blocks(members: DataFrame, threshold: float, miss: float) -> DataFrame:
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, miss: float = 1e-9,
 ) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept, cls."""
+    """One row per document: id, n_shingles, component_id, kept; and its row hash
+    (of id and text) and component of texts (null without shingles)."""
     spark = df.sparkSession
     bound_batches(spark, 500)
     threshold = percent / 100
     docs = df.select(F.col(id_col).cast("long").alias("_key"), F.col(text_col).alias("_text"))
-    base = materialize(_signed(docs, F.col("_text"), "_key"))
+    keyed = docs.withColumn("_row", row_hash("_key", "_text"))
+    base = materialize(_signed(keyed, F.col("_text"), "_key", "_row"))
     classes = materialize(
         base.where("cls is not null").groupBy("cls").agg(
             F.min("_key").alias("key"), F.any_value("sig").alias("sig"), F.any_value("n_shingles").alias("n_shingles"))
@@ -267,8 +269,24 @@ def near_duplicates(
     labels = connected_components(links).toDF("cls", "label")
     known = classes.select("cls", "key").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = known.groupBy("label").agg(F.min("key").alias("component_id"))
-    named = known.join(smallest, "label").select("cls", "component_id")
+    named = known.join(smallest, "label").select("cls", "label", "component_id")
     out = base.drop("sig").join(named, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("_key")).otherwise(F.col("component_id"))
     return out.select(
-        F.col("_key").alias(id_col), "n_shingles", component.alias("component_id"), F.col("_key").eqNullSafe(component).alias("kept"), "cls")
+        F.col("_key").alias(id_col), "n_shingles", component.alias("component_id"), F.col("_key").eqNullSafe(component).alias("kept"),
+        F.col("_row").alias("row"), F.col("label").alias("group"))
+
+
+def row_hash(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each group the one with the
+    smallest id stays (of equal ids, one), and of rows equal in id and text, one."""
+    found = materialize(near_duplicates(df, id_col, text_col, percent).select("kept", "row", "group"))
+    chosen = found.where("kept").groupBy(F.coalesce("group", "row")).agg(F.min("row").alias("_row")).select("_row")
+    rows = df.withColumn("_row", row_hash(id_col, text_col)).join(chosen, "_row", "left_semi")
+    if not found.groupBy("row").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["_row"])
+    return rows.select(*df.columns)

@@ -32,6 +32,13 @@ from pyspark.sql import functions as F
 from aeroframe.llm.common import bound_batches
 
 
+def default_tokenizer() -> str:
+    """The tokenizer file of the packing contract."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 @lru_cache(2)
 def encoder(path: str):
     """An encoder for a byte-level BPE tokenizer file; special strings keep their ids."""

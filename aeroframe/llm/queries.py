@@ -7,17 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroframe.llm import chat, minhash, packing, secrets, sql, toxicity
+import corpus_pipeline
+from aeroframe.llm import chat, decontaminate, minhash, packing, secrets, sql, toxicity
 from aeroframe.llm.common import bound_batches, fold_of, table
 
 
-def tokenizer_path() -> str:
-    """The tokenizer file that the packing contract names."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -32,11 +26,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(table(spark, sf_dir, "documents"), packing.default_tokenizer())
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("cls")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("row", "group")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +51,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op3_toxicity": op3_toxicity,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op7_decontamination": op7_decontamination,
         "op8_minhash_dedup": op8_minhash_dedup,
+        "pipeline": corpus_pipeline.run,
         "op10_chat_format": op10_chat_format,
     }
 
