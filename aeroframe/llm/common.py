@@ -34,35 +34,32 @@ def materialize(df: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) long pairs -> (node, component): smallest node reachable.
 
-    Alternating large-star / small-star contraction. A star is applied with a
-    minimum per node (combined map-side) and a join, never by gathering a
-    node's neighbours, so a node with very many links is no hot spot. Loops
-    and repeated pairs are harmless; an empty input gives an empty result.
+    Each round hooks every node to its smallest neighbour, follows the hooks one
+    step further, and contracts the pairs to what still differs; stars need one
+    round. A hook is a minimum per node (combined map-side) and joins, never a
+    gathering of a node's neighbours, so a node with very many links is no hot
+    spot. Loops and repeated pairs are harmless; an empty input gives no rows.
     """
-    pairs = materialize(
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .where("u != v").distinct()
-    )
-    before = None
+    pairs = edges.where("u != v").select("u", "v")
+    known = None
     while True:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        labels = materialize(hooked(pairs))
+        known = labels if known is None else materialize(
+            known.join(labels.toDF("label", "next"), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
         )
-        pairs = materialize(small)
-        now = pairs.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == before:
-            break
-        before = now
-    return (
-        pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-        .unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        .groupBy("node").agg(F.min("component").alias("component"))
-    )
+        pairs = materialize(
+            pairs.join(labels.toDF("u", "lu"), "u").join(labels.toDF("v", "lv"), "v").where("lu != lv")
+            .select(F.greatest("lu", "lv").alias("u"), F.least("lu", "lv").alias("v")).distinct()
+        )
+        if pairs.isEmpty():
+            return known.select("node", F.col("label").alias("component"))
+
+
+def hooked(pairs: DataFrame) -> DataFrame:
+    """(node, label): the smallest neighbour's smallest neighbour, itself included."""
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    first = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label"))
+    return first.join(first.toDF("label", "next"), "label").select("node", F.col("next").alias("label"))
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:

@@ -4,17 +4,16 @@
    class) and into 128 minima. Documents of one class are copies; only one
    representative of a class takes part from here on.
 2. Bands of four minima give buckets. In each bucket every member is a candidate
-   with two centres, the smallest and the largest class, so candidates grow with
-   the members and never with their square.
+   with four centres (smallest and largest class, and first and last by hash), so
+   candidates grow with the members and never with their square.
 3. Signature batches of 32 minima are compared in turn; a pair is pruned as soon
    as the posterior probability that its similarity reaches the threshold falls
    below ``miss`` (uniform prior). Survivors are verified on full shingle sets.
-4. Verified links give components. Buckets that still hold several components
-   are open: small ones compare all pairs across components, large ones first
-   take further random centres, then all members of the smaller components
-   against every member of another component in blocks of bounded size, pruned
-   inside the block. So each pair that shares a bucket is compared or already
-   connected, without any cap.
+4. Verified links label the classes. Buckets that still hold several labels are
+   open: small ones compare all pairs of different labels, large ones every
+   member outside the largest label against all others, in blocks of bounded
+   size, pruned inside the block. So each pair that shares a bucket is compared
+   or already connected, without any cap. All links give the components.
 
 Edge cases: a null or empty text has no shingles, links with nothing and is its
 own component; fewer words than five form one shingle; a null id is kept as
@@ -32,10 +31,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aeroframe.llm.common import bound_batches, connected_components, materialize
+from aeroframe.llm.common import bound_batches, connected_components, hooked, materialize
 
 HASHES, ROWS, BATCH = 128, 4, 32
-_BLOCK, _SMALL, _ROUNDS = 256, 24, 4
+_BLOCK, _SMALL = 256, 24
 _rng = np.random.default_rng(20240229)
 _MULT = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -180,12 +179,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
 
 
 def _blocks(members: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Large open buckets (band, cls, label, size): every member of a smaller
+    """Large open buckets (band, cls, label, sig): every member of a smaller
     component against every member of another one, in blocks -> surviving pairs."""
     least = least_matches(threshold, miss)
     most = members.groupBy("band", "label").count().groupBy("band").agg(
         F.max_by("label", "count").alias("giant"), F.max(F.struct("count", "label"))["count"].alias("n_giant"), F.sum("count").alias("n"))
-    rows = members.drop("size").join(most, "band")
+    rows = members.join(most, "band")
     n_block = F.ceil(F.col("n") / _BLOCK).cast("int")
     n_rest = F.ceil((F.col("n") - F.col("n_giant")) / _BLOCK).cast("int")
     own = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
@@ -224,48 +223,33 @@ def near_duplicates(
     starts = F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1))
     banded = classes.select("cls", F.explode(F.transform(
         starts, lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("band"))
-    shared = banded.groupBy("band").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("size")).where("low < high")
-    shared = materialize(shared)
+    shared = banded.groupBy("band").agg(
+        F.min("cls").alias("low"), F.max("cls").alias("high"), F.min_by("cls", F.xxhash64("cls")).alias("first"),
+        F.max_by("cls", F.xxhash64("cls")).alias("last"), F.count("*").alias("size"),
+    ).where("low < high")
     # only members of shared buckets go on
-    bands = materialize(banded.join(shared.select("band", "size"), "band"))
+    bands = materialize(banded.join(shared, "band"))
 
     def pair(a: str, b: str):
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    links = None
-
-    def add(candidates: DataFrame, pruned: bool = False) -> DataFrame:
-        pairs = materialize(candidates if pruned else _bayes(candidates, classes, threshold, miss))
-        new = _verified(pairs, docs, classes, percent)
-        return materialize(new if links is None else new.unionByName(links))
-
-    stars = bands.join(shared.select("band", "low", "high"), "band").select("cls", F.explode(F.array_distinct(F.array("low", "high"))).alias("c")).where("cls != c")
-    links = add(stars.select(*pair("cls", "c")).distinct())
-    for turn in range(_ROUNDS):
-        labels = materialize(connected_components(links))
-        marked = bands.join(labels.toDF("cls", "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        open_ = marked.groupBy("band").agg(
-            F.min("label").alias("l"), F.max("label").alias("h"), F.max_by("cls", F.xxhash64("cls", F.lit(turn))).alias("c"),
-        ).where("l < h and c is not null")
-        # a bucket of two has had its only pair compared
-        marked = materialize(marked.where("size > 2").join(open_.select("band", "c"), "band"))
-        large = marked.where(F.col("size") > _SMALL)
-        last = turn == _ROUNDS - 1 or large.isEmpty()
-        candidates = None
-        if turn == 0:
-            few = marked.where(F.col("size") <= _SMALL).select("band", "cls", "label")
-            candidates = few.join(few.toDF("band", "cls2", "label2"), "band").where("label < label2").select(*pair("cls", "cls2"))
-        if not last:
-            centre = marked.where("cls = c").select("band", F.col("label").alias("label2"))
-            more = large.join(centre, "band").where("label != label2").select(*pair("cls", "c"))
-            candidates = more if candidates is None else candidates.unionByName(more)
-        if candidates is not None:
-            links = add(candidates.distinct())
-        if last:
-            if not large.isEmpty():
-                rest = large.select("band", "cls", "label", "size").join(classes.select("cls", "sig"), "cls")
-                links = add(_blocks(rest, threshold, miss), pruned=True)
-            break
+    centres = F.explode(F.array_distinct(F.array("low", "high", "first", "last")))
+    stars = bands.select("cls", centres.alias("c")).where("cls != c").select(*pair("cls", "c")).distinct()
+    links = materialize(_verified(materialize(_bayes(stars, classes, threshold, miss)), docs, classes, percent))
+
+    # a bucket of up to three has had all its pairs compared
+    labels = materialize(hooked(links)).toDF("cls", "label")
+    marked = bands.where("size > 3").select("band", "cls", "size").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    open_ = marked.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("band")
+    marked = materialize(marked.join(open_, "band"))
+    few = marked.where(F.col("size") <= _SMALL).select("band", "cls", "label")
+    rest = few.join(few.toDF("band", "cls2", "label2"), "band").where("label < label2").select(*pair("cls", "cls2")).distinct()
+    survivors = _bayes(rest, classes, threshold, miss)
+    large = marked.where(F.col("size") > _SMALL)
+    if not large.isEmpty():
+        members = large.select("band", "cls", "label").join(classes.select("cls", "sig"), "cls")
+        survivors = survivors.unionByName(_blocks(members, threshold, miss)).distinct()
+    links = links.unionByName(materialize(_verified(materialize(survivors), docs, classes, percent)))
     labels = connected_components(links).toDF("cls", "label")
     known = classes.select("cls", "key").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = known.groupBy("label").agg(F.min("key").alias("component_id"))
