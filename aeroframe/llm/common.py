@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Python workers on this machine find the package wherever the driver was
+    started (a cluster ships it with --py-files)."""
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -65,6 +77,7 @@ def hooked(pairs: DataFrame) -> DataFrame:
 def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
     """Bound the Arrow batches that Python workers get, so that memory does not
     grow with the length of texts."""
+    reach_workers(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from aeroframe.llm import chat, decontaminate, html, minhash, packing, secrets, sql, toxicity
+from aeroframe.llm import chat, decontaminate, html, minhash, packing, secrets, sql, toxicity, vectors
 from aeroframe.llm.common import bound_batches, fold_of, table
 
 
@@ -41,6 +41,10 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("row", "group")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.sql(
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_decontamination": op7_decontamination,
         "op8_minhash_dedup": op8_minhash_dedup,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "pipeline": corpus_pipeline.run,
         "op10_chat_format": op10_chat_format,
     }
