@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from aeroframe.llm import chat, decontaminate, html, minhash, packing, secrets, sql, toxicity, vectors
+from aeroframe.llm import chat, decontaminate, html, minhash, packing, quality, secrets, sql, toxicity, vectors
 from aeroframe.llm.common import bound_batches, fold_of, table
 
 
@@ -33,6 +33,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.default_tokenizer())
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.select_quality(docs, table(spark, sf_dir, "labels"), fold_of("doc_id", 5) != 0)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_html_extraction": op2_html_extraction,
         "op3_toxicity": op3_toxicity,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_quality": op6_quality,
         "op7_decontamination": op7_decontamination,
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_embedding_dedup": op9_embedding_dedup,
