@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from aeroframe.llm import chat, decontaminate, html, minhash, packing, quality, secrets, sql, toxicity, vectors
+from aeroframe.llm import brown, chat, decontaminate, html, minhash, packing, quality, secrets, sql, toxicity, vectors
 from aeroframe.llm.common import bound_batches, fold_of, table
 
 
@@ -29,6 +29,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_brown_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = fold_of("doc_id", 7)
+    return brown.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), fold != 2, fold == 2)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.default_tokenizer())
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op2_html_extraction": op2_html_extraction,
         "op3_toxicity": op3_toxicity,
+        "op4_brown_scoring": op4_brown_scoring,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_quality": op6_quality,
         "op7_decontamination": op7_decontamination,
