@@ -12,7 +12,7 @@
 4. Verified links label the classes. Buckets that still hold several labels are
    open: small ones compare all pairs of different labels, large ones every
    member outside the largest label against all others, in blocks of bounded
-   size, pruned inside the block. So each pair that shares a bucket is compared
+   size, pruned and verified inside the block. So each pair that shares a bucket is compared
    or already connected, without any cap. All links give the components.
 
 Edge cases: a null or empty text has no shingles, links with nothing and is its
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aeroframe.llm.common import bound_batches, connected_components, hooked, materialize
+from aeroframe.llm.common import bound_batches, connected_components, materialize
 
 HASHES, ROWS, BATCH = 128, 4, 32
 _BLOCK, _SMALL = 256, 24
@@ -152,57 +152,79 @@ def _bayes(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float)
     return rows.mapInPandas(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Exact check of surviving pairs on full shingle sets."""
-    need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    ids = classes.join(need, "cls").select(F.col("key").alias("_key"), F.col("cls").alias("_cls"))
-    texts = docs.select(F.col("_key"), F.col("_text")).join(ids, "_key")
+def _sets(need: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls) -> (cls, set): full shingle sets, from the texts of the classes' keys."""
+    ids = classes.join(need.distinct(), "cls").select(F.col("key").alias("_key"), F.col("cls").alias("_cls"))
+    texts = docs.select("_key", "_text").join(ids, "_key")
 
     def sets(batches):
         for b in batches:
             found = [shingles(t) for t in b["_text"]]
             yield pd.DataFrame({"cls": b["_cls"], "set": [s.tobytes() for s in found]})[[class_of(s) == c for s, c in zip(found, b["_cls"])]]
 
-    full = materialize(texts.mapInPandas(sets, "cls long, set binary").dropDuplicates(["cls"]))
+    return texts.mapInPandas(sets, "cls long, set binary").dropDuplicates(["cls"])
+
+
+def _linked(x: bytes, y: bytes, percent: int) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Exact check of surviving pairs on full shingle sets."""
+    need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+    full = materialize(_sets(need, docs, classes))
     rows = pairs.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b")
 
     def check(batches):
         for p in batches:
-            good = []
-            for x, y in zip(p["sa"], p["sb"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield p[good][["a", "b"]].set_axis(["u", "v"], axis=1)
+            yield p[[_linked(x, y, percent) for x, y in zip(p["sa"], p["sb"])]][["a", "b"]].set_axis(["u", "v"], axis=1)
 
     return rows.mapInPandas(check, "u long, v long")
 
 
-def _blocks(members: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Large open buckets (band, cls, label, sig): every member of a smaller
-    component against every member of another one, in blocks -> surviving pairs."""
+def _blocks(members: DataFrame, threshold: float, miss: float, percent: int) -> DataFrame:
+    """Large open buckets (band, cls, label, sig, set): every member outside the
+    largest label against all members of other labels, in blocks -> links.
+
+    A block compares signatures, verifies survivors on their sets, passes over
+    pairs that its own links already connect, and so returns a forest: fewer
+    links than it has members."""
     least = least_matches(threshold, miss)
     most = members.groupBy("band", "label").count().groupBy("band").agg(
-        F.max_by("label", "count").alias("giant"), F.max(F.struct("count", "label"))["count"].alias("n_giant"), F.sum("count").alias("n"))
+        F.max_by("label", F.struct("count", "label")).alias("giant"), F.max("count").alias("n_giant"), F.sum("count").alias("n"))
     rows = members.join(most, "band")
     n_block = F.ceil(F.col("n") / _BLOCK).cast("int")
     n_rest = F.ceil((F.col("n") - F.col("n_giant")) / _BLOCK).cast("int")
     own = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
-    left = rows.select("band", "cls", "label", "sig", own(n_block).alias("i"), F.explode(F.sequence(F.lit(0), n_rest - 1)).alias("j"), F.lit(False).alias("rest"))
-    right = rows.where("label != giant").select("band", "cls", "label", "sig", F.explode(F.sequence(F.lit(0), n_block - 1)).alias("i"), own(n_rest).alias("j"), F.lit(True).alias("rest"))
+    kept = ["band", "cls", "label", "sig", "set"]
+    left = rows.select(*kept, own(n_block).alias("i"), F.explode(F.sequence(F.lit(0), n_rest - 1)).alias("j"), F.lit(False).alias("rest"))
+    right = rows.where("label != giant").select(*kept, F.explode(F.sequence(F.lit(0), n_block - 1)).alias("i"), own(n_rest).alias("j"), F.lit(True).alias("rest"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[~pdf["rest"]], pdf[pdf["rest"]]
-        out = []
-        sx, lx, cx = _matrix(x["sig"]), x["label"].to_numpy(), x["cls"].to_numpy()
-        for c, label, sig in zip(y["cls"], y["label"], y["sig"]):
+        out, up = [], {}
+
+        def root(n):
+            up.setdefault(n, n)
+            while up[n] != n:
+                up[n] = up[up[n]]
+                n = up[n]
+            return n
+
+        sx, lx, cx, full = _matrix(x["sig"]), x["label"].to_numpy(), x["cls"].to_numpy(), x["set"].to_numpy()
+        for c, label, sig, mine in zip(y["cls"], y["label"], y["sig"], y["set"]):
             other = np.flatnonzero(lx != label)
-            kept = other[_survive(sx[other], np.broadcast_to(_matrix([sig]), (len(other), HASHES)), least)]
-            out.append(pd.DataFrame({"a": cx[kept], "b": c}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            for k in other[_survive(sx[other], np.broadcast_to(_matrix([sig]), (len(other), HASHES)), least)]:
+                # members of one label are connected
+                a, b = root(int(label)), root(int(lx[k]))
+                if a != b and _linked(mine, full[k], percent):
+                    up[a] = b
+                    out.append((int(c), int(cx[k])))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    found = left.unionByName(right).groupBy("band", "i", "j").applyInPandas(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return left.unionByName(right).groupBy("band", "i", "j").applyInPandas(run, "u long, v long")
 
 
 def near_duplicates(
@@ -238,18 +260,21 @@ def near_duplicates(
     links = materialize(_verified(materialize(_bayes(stars, classes, threshold, miss)), docs, classes, percent))
 
     # a bucket of up to three has had all its pairs compared
-    labels = materialize(hooked(links)).toDF("cls", "label")
+    labels = materialize(connected_components(links)).toDF("cls", "label")
     marked = bands.where("size > 3").select("band", "cls", "size").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     open_ = marked.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("band")
     marked = materialize(marked.join(open_, "band"))
     few = marked.where(F.col("size") <= _SMALL).select("band", "cls", "label")
     rest = few.join(few.toDF("band", "cls2", "label2"), "band").where("label < label2").select(*pair("cls", "cls2")).distinct()
-    survivors = _bayes(rest, classes, threshold, miss)
-    large = marked.where(F.col("size") > _SMALL)
+    more = _verified(materialize(_bayes(rest, classes, threshold, miss)), docs, classes, percent)
+    large = marked.where(F.col("size") > _SMALL).select("band", "cls", "label")
     if not large.isEmpty():
-        members = large.select("band", "cls", "label").join(classes.select("cls", "sig"), "cls")
-        survivors = survivors.unionByName(_blocks(members, threshold, miss)).distinct()
-    links = links.unionByName(materialize(_verified(materialize(survivors), docs, classes, percent)))
+        sets = _sets(large.select("cls"), docs, classes)
+        members = materialize(large.join(classes.select("cls", "sig").join(sets, "cls"), "cls"))
+        more = more.unionByName(_blocks(members, threshold, miss, percent))
+    more = materialize(more)
+    # members of a label are connected by its smallest class
+    links = labels.select(F.col("cls").alias("u"), F.col("label").alias("v")).unionByName(more)
     labels = connected_components(links).toDF("cls", "label")
     known = classes.select("cls", "key").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = known.groupBy("label").agg(F.min("key").alias("component_id"))
