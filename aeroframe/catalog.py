@@ -1,19 +1,18 @@
-"""Queries over the engine's operators on the driver's tables, with DuckDB twins."""
+"""All queries over the engine's own operators, with their DuckDB twins."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from aeroframe.queries import registry
+from aeroframe.queries import reductions, scalars  # noqa: F401  registration
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return dict(registry.SQL)
