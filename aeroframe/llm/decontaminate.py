@@ -4,11 +4,11 @@
    over the passages of a block). A randomised SVD finds the latent basis: Gaussian test
    vectors are multiplied by the matrix and its transpose in Spark, each task
    adding up the rows it holds, so that only word-by-rank blocks are exchanged.
-2. Every document is read whole, once per block of passages: word vectors are
-   summed over sliding windows through prefix sums, and windows whose cosine to
-   a passage reaches ``cosine`` are candidates. Windows around which there are
-   fewer answer words than step 3 asks for are passed over first, which loses
-   nothing.
+2. Every document is read whole, once per block of passages. Where it holds at
+   least as many of a passage's answer words close together as step 3 asks for
+   (so that nothing is lost), word vectors are summed over sliding windows
+   through prefix sums, and windows whose cosine to the passage reaches
+   ``cosine`` are candidates.
 3. A candidate is verified on the words: the longest common subsequence must
    cover ``lcs`` of the passage within a span of the document not much longer
    than the passage, and of the passage's answer words (its rarest) ``answer``
@@ -56,6 +56,20 @@ def _strip(word: str) -> str:
     return word.strip(".,;:!?\"'()[]{}<>|*#$%&-_/\\")
 
 
+class _Codes(dict):
+    """Raw word -> vocabulary number; -1 for words of punctuation alone."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        plain = _strip(word)
+        self[word] = out = self.vocabulary.get(plain, len(self.vocabulary)) if plain else -1
+        return out
+
+
 class Block:
     """What a task needs of one block of passages."""
 
@@ -77,48 +91,73 @@ class Block:
             set(sorted(set(w), key=lambda x: (-idf[vocabulary[x]], x))[:answers]) for w in self.words
         ]
         self.answer = answer
-        self.is_answer = np.zeros(len(vocabulary) + 1, bool)
-        self.is_answer[[vocabulary[w] for rare in self.rare for w in rare]] = True
-
-    def candidates(self, words: list[str], cosine: float) -> dict[int, list[tuple[float, int, int]]]:
+        self._coded = None
+        self.sizes = self._sizes()
+        # what lies in the span that a window is checked in: the window and half a passage on either side
+        self.spans = self.sizes + 2 * (self.lengths // 2) + 1
+        self.needs = np.array([max(1, int(np.ceil(answer * len(r)))) for r in self.rare])
+        # passages by answer word
+        owned = sorted((vocabulary[w], k) for k, rare in enumerate(self.rare) for w in rare)
+        words = np.array([w for w, _ in owned])
+        self.owners = np.array([k for _, k in owned])
+        self.starts = np.searchsorted(words, np.arange(len(vocabulary) + 1), "left")
+        self.ends = np.searchsorted(words, np.arange(len(vocabulary) + 1), "right")
+        self.is_answer = self.ends > self.starts
+
+    def codes(self, text: str | None) -> np.ndarray:
+        """Vocabulary numbers of the words of ``_plain``; unknown ones are the last number."""
+        words = (text or "").lower().split()
+        at = np.fromiter(map(self._codes().__getitem__, words), np.int64, len(words))
+        return at[at >= 0]
+
+    def _codes(self) -> "_Codes":
+        if self._coded is None:
+            self._coded = _Codes(self.vocabulary)
+        return self._coded
+
+    def __getstate__(self):
+        return self.__dict__ | {"_coded": None}
+
+    def regions(self, at: np.ndarray) -> list[tuple[int, int, int]]:
+        """(passage, first, last word) of stretches that hold as many of a passage's
+        answer words, close enough together, as its check asks for."""
+        places = np.flatnonzero(self.is_answer[at])
+        if not len(places):
+            return []
+        word = at[places]
+        n = self.ends[word] - self.starts[word]
+        key_item = self.owners[np.repeat(self.starts[word], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        key_place = np.repeat(places, n)
+        order = np.lexsort((key_place, key_item))
+        item, place = key_item[order], key_place[order]
+        out = []
+        for need in np.unique(self.needs):
+            last = np.arange(need - 1, len(item))
+            first = last - (need - 1)
+            fits = (item[first] == item[last]) & (self.needs[item[first]] == need) & (place[last] - place[first] < self.spans[item[first]])
+            out += [(int(item[k]), int(place[k]), int(place[k + need - 1])) for k in first[fits]]
+        return out
+
+    def candidates(self, at: np.ndarray, cosine: float) -> dict[int, list[tuple[float, int, int]]]:
         """Passage -> (cosine, start, end) of its windows at or over ``cosine``, best first."""
-        found: dict[int, list] = {}
-        # long texts go in stretches that overlap by more than the longest window
-        overlap = 2 * int(self._sizes().max())
-        for base in range(0, max(1, len(words)), self.STRETCH):
-            self._search(words[base : base + self.STRETCH + overlap], base, cosine, found)
-        return {k: sorted(set(v), reverse=True) for k, v in found.items()}
-
-    def _search(self, words: list[str], base: int, cosine: float, found: dict[int, list]) -> None:
-        unknown = len(self.vocabulary)
-        at = np.fromiter((self.vocabulary.get(w, unknown) for w in words), np.int64, len(words))
-        if not (at < unknown).any():
-            return
-        told = np.concatenate([[0], np.cumsum(self.is_answer[at])])
-        sums = None
-        # windows as long as the passages of each length class, at steps of an eighth
-        for size in np.unique(self._sizes()):
-            mine = np.flatnonzero(self._sizes() == size)
-            starts = np.arange(0, max(1, len(words) - size // 2), max(1, size // 8))
-            ends = np.minimum(starts + size, len(words))
-            # what the check of answer words asks for anyway: enough of them around the window
-            wide = int(self.lengths[mine].max()) // 2
-            need = min(int(np.ceil(self.answer * len(self.rare[k]))) for k in mine)
-            near = told[np.minimum(ends + wide, len(words))] - told[np.maximum(starts - wide, 0)]
-            starts, ends = starts[near >= need], ends[near >= need]
-            if not len(starts):
-                continue
-            if sums is None:
-                sums = np.zeros((len(words) + 1, self.vectors.shape[1]))
-                np.cumsum(self.vectors[at], axis=0, out=sums[1:])
-            for lo in range(0, len(starts), 4096):
-                s, e = starts[lo : lo + 4096], ends[lo : lo + 4096]
-                window = (sums[e] - sums[s]).astype("f4")
-                norm = np.linalg.norm(window, axis=1)
-                close = window @ self.items[mine].T
-                r, c = np.nonzero(close >= cosine * np.maximum(norm, 1e-6)[:, None])
-                for i, j in zip(r, c):
-                    found.setdefault(int(mine[j]), []).append((float(close[i, j] / max(norm[i], 1e-6)), base + int(s[i]), base + int(e[i])))
+        found: dict[int, set] = {}
+        done: dict[int, int] = {}
+        for k, first, last in sorted(self.regions(at)):
+            size = int(self.sizes[k])
+            lo = max(0, first - int(self.spans[k]), done.get(k, 0))
+            hi = min(len(at), last + int(self.spans[k]))
+            done[k] = max(done.get(k, 0), hi - size)
+            for base in range(lo, hi, self.STRETCH):
+                part = at[base : min(hi, base + self.STRETCH + size)]
+                sums = np.zeros((len(part) + 1, self.vectors.shape[1]))
+                np.cumsum(self.vectors[part], axis=0, out=sums[1:])
+                s = np.arange(0, max(1, len(part) - size // 2), max(1, size // 8))
+                e = np.minimum(s + size, len(part))
+                window = sums[e] - sums[s]
+                close = window @ self.items[k] / np.maximum(np.linalg.norm(window, axis=1), 1e-6)
+                for i in np.flatnonzero(close >= cosine):
+                    found.setdefault(k, set()).add((float(close[i]), base + int(s[i]), base + int(e[i])))
+        return {k: sorted(v, reverse=True) for k, v in found.items()}
 
     def _sizes(self) -> np.ndarray:
         """Window sizes: passage lengths rounded up to a power of the square root of two."""
@@ -225,8 +264,9 @@ def find_leaks(
             for b in batches:
                 found = []
                 for doc, text in zip(b["doc_id"], b["text"]):
-                    words = _plain(text)
-                    found += [(doc, *hit) for hit in passages.verify(words, passages.candidates(words, cosine), lcs)]
+                    near = passages.candidates(passages.codes(text), cosine)
+                    if near:
+                        found += [(doc, *hit) for hit in passages.verify(_plain(text), near, lcs)]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "cosine", "lcs", "start_word", "end_word"])
 
         hits = texts.mapInPandas(run, schema)
