@@ -151,10 +151,10 @@ def transect(df: DataFrame, value: str, start: tuple[float, float], end: tuple[f
         y1, x1 = min(max(fy + 1, 0), ny - 1), min(max(fx + 1, 0), nx - 1)
         wy, wx = y - y0, x - x0
         samples += [(k, y, x, y0, x0, (1 - wy) * (1 - wx)), (k, y, x, y0, x1, (1 - wy) * wx), (k, y, x, y1, x0, wy * (1 - wx)), (k, y, x, y1, x1, wy * wx)]
-    corners = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("point", "y", "x", "j", "i", "weight"), s)]) for s in samples])
+    corners = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("point", "at_y", "at_x", "j", "i", "weight"), s)]) for s in samples])
     mine = F.filter(corners, lambda c: (c["j"] == F.col("j")) & (c["i"] == F.col("i")))
     parts = df.select(*by, F.col(value).alias("_v"), F.explode(mine).alias("c"))
-    return parts.groupBy(*by, "c.point", "c.y", "c.x").agg(F.sum(F.col("_v") * F.col("c.weight")).alias(value))
+    return parts.groupBy(*by, "c.point", "c.at_y", "c.at_x").agg(F.sum(F.col("_v") * F.col("c.weight")).alias(value))
 
 
 def _bracket_index(source: list[float], targets: list[float]) -> list[tuple[int, float, int, float]]:
