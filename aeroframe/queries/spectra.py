@@ -36,7 +36,7 @@ frame("radial_wavenumber_spectrum", "plane", lambda df: spectral.radial_wavenumb
       """WITH d AS (SELECT vec_id, j, i, x - avg(x) OVER (PARTITION BY vec_id) AS x FROM {view} WHERE label = 1),
       k AS (SELECT a, b, sqrt(pow((CASE WHEN a >= 4 THEN a - 8 ELSE a END) / 8.0::DOUBLE, 2) + pow((CASE WHEN b >= 4 THEN b - 8 ELSE b END) / 8.0::DOUBLE, 2)) AS r FROM range(8) p(a), range(8) q(b)),
       t AS (SELECT vec_id, a, b, r, sum(x * cos(2 * pi() * (a * j + b * i) / 8)) AS re, sum(x * sin(2 * pi() * (a * j + b * i) / 8)) AS im FROM d, k GROUP BY 1, 2, 3, 4),
-      g AS (SELECT vec_id, floor(r / (sqrt(0.5) / 4) + 1e-12)::INT AS bin, (re * re + im * im) / 64 AS p FROM t)
+      g AS (SELECT vec_id, (r >= 1 * (sqrt(0.5) / 4))::INT + (r >= 2 * (sqrt(0.5) / 4))::INT + (r >= 3 * (sqrt(0.5) / 4))::INT + (r >= sqrt(0.5))::INT AS bin, (re * re + im * im) / 64 AS p FROM t)
       SELECT vec_id, bin, round((bin + 0.5) * sqrt(0.5) / 4, 6) AS wavenumber, round(avg(p), 6) AS power FROM g WHERE bin < 4 GROUP BY vec_id, bin""")
 frame("butterworth_spatial", "plane", lambda df: spectral.butterworth_spatial(df, "x", ["vec_id"], 100.0, 400.0))
 frame("butterworth_band", "plane", lambda df: spectral.butterworth_band(df, "x", ["vec_id"], 100.0, 300.0, 600.0))
