@@ -10,6 +10,7 @@ from aeroframe.operators import relate, turbulence
 from aeroframe.plans import views
 from aeroframe.queries.registry import add, frame, rounded, scalar
 
+# ruff: noqa: E731
 c = F.col
 
 
@@ -19,17 +20,17 @@ def grad(e: str, part: str, order: str, step: str = "1") -> str:
     return f"coalesce((lead({e}) {w} - lag({e}) {w}) / (2 * {step}), (lead({e}) {w} - {e}) / {step}, ({e} - lag({e}) {w}) / {step})"
 
 
-scalar("gradient", "signal", {"d": nb.gradient("x", ["vec_id"], "n")}, {"d": grad("x", "vec_id", "n")}, 7)
-scalar("inversion_layers", "profile", {"inversion": nb.inversion_layers("x", "z", ["vec_id"], "k")}, {"inversion": f"{grad('x', 'vec_id', 'k')} / {grad('z', 'vec_id', 'k')} > 0.001"}, None)
-scalar("brunt_vaisala_frequency", "profile", {"n": nb.brunt_vaisala_frequency(c("x") + 290, "z", ["vec_id"], "k")},
+scalar("gradient", "signal", lambda: {"d": nb.gradient("x", ["vec_id"], "n")}, {"d": grad("x", "vec_id", "n")}, 7)
+scalar("inversion_layers", "profile", lambda: {"inversion": nb.inversion_layers("x", "z", ["vec_id"], "k")}, {"inversion": f"{grad('x', 'vec_id', 'k')} / {grad('z', 'vec_id', 'k')} > 0.001"}, None)
+scalar("brunt_vaisala_frequency", "profile", lambda: {"n": nb.brunt_vaisala_frequency(c("x") + 290, "z", ["vec_id"], "k")},
        {"n": f"sqrt(greatest(9.80665 / (x + 290) * ({grad('(x + 290)', 'vec_id', 'k')} / {grad('z', 'vec_id', 'k')}), 0))"})
-_k = nb.horizontal_kinematics("x", c("x") * c("i"), "j", "i", ["vec_id"], 100.0, 50.0)
+_k = lambda: nb.horizontal_kinematics("x", c("x") * c("i"), "j", "i", ["vec_id"], 100.0, 50.0)
 _ux, _uy, _vx, _vy = grad("x", "vec_id, j", "i", "100"), grad("x", "vec_id, i", "j", "50"), grad("(x * i)", "vec_id, j", "i", "100"), grad("(x * i)", "vec_id, i", "j", "50")
-scalar("horizontal_kinematics", "plane", dict(zip(("divergence", "vorticity", "normal_strain", "shear_strain"), _k)),
+scalar("horizontal_kinematics", "plane", lambda: dict(zip(("divergence", "vorticity", "normal_strain", "shear_strain"), _k())),
        {"divergence": f"{_ux} + {_vy}", "vorticity": f"{_vx} - {_uy}", "normal_strain": f"{_ux} - {_vy}", "shear_strain": f"{_vx} + {_uy}"}, 8)
-_t = nb.terrain_metrics(c("x") * 100, "j", "i", ["vec_id"], 30.0, 30.0)
+_t = lambda: nb.terrain_metrics(c("x") * 100, "j", "i", ["vec_id"], 30.0, 30.0)
 _sx, _sy = grad("(x * 100)", "vec_id, j", "i", "30"), grad("(x * 100)", "vec_id, i", "j", "30")
-scalar("terrain_metrics", "plane", dict(zip(("slope", "slope_degrees", "aspect"), _t)),
+scalar("terrain_metrics", "plane", lambda: dict(zip(("slope", "slope_degrees", "aspect"), _t())),
        {"slope": f"sqrt(pow({_sx}, 2) + pow({_sy}, 2))", "slope_degrees": f"degrees(atan(sqrt(pow({_sx}, 2) + pow({_sy}, 2))))", "aspect": f"((270 - degrees(atan2({_sy}, {_sx}))) % 360 + 360) % 360"}, 5)
 
 

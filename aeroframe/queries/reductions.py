@@ -13,31 +13,31 @@ from aeroframe.queries.registry import add, frame, grouped, rounded, scalar
 c = F.col
 _CORR = "coalesce(covar_pop(model, speed) / nullif(stddev_pop(model) * stddev_pop(speed), 0), 'nan'::DOUBLE)"
 
-grouped("resolved_tke", "les", ["cell"], [turbulence.resolved_tke("u", "v", "w")], {"tke": "0.5 * (var_pop(u) + var_pop(v) + var_pop(w))"})
-grouped("reynolds_flux", "les", ["cell"], [turbulence.reynolds_flux("u", "w")], {"uw": "covar_pop(u, w)"})
-grouped("calculate_fluxes", "les", ["cell"], turbulence.calculate_fluxes("u", "v", "w"), {a + b: f"covar_pop({a}, {b})" for a, b in ("uu", "vv", "ww", "uv", "uw", "vw")})
-grouped("calculate_total_tke", "les", ["cell"], [turbulence.calculate_total_tke("u", "v", "w", "sgs")], {"tke": "0.5 * (var_pop(u) + var_pop(v) + var_pop(w)) + avg(sgs)"})
-grouped("turbulence_intensity", "les", ["cell"], [turbulence.turbulence_intensity("u"), turbulence.turbulence_intensity("v", False)],
+grouped("resolved_tke", "les", ["cell"], lambda: [turbulence.resolved_tke("u", "v", "w")], {"tke": "0.5 * (var_pop(u) + var_pop(v) + var_pop(w))"})
+grouped("reynolds_flux", "les", ["cell"], lambda: [turbulence.reynolds_flux("u", "w")], {"uw": "covar_pop(u, w)"})
+grouped("calculate_fluxes", "les", ["cell"], lambda: turbulence.calculate_fluxes("u", "v", "w"), {a + b: f"covar_pop({a}, {b})" for a, b in ("uu", "vv", "ww", "uv", "uw", "vw")})
+grouped("calculate_total_tke", "les", ["cell"], lambda: [turbulence.calculate_total_tke("u", "v", "w", "sgs")], {"tke": "0.5 * (var_pop(u) + var_pop(v) + var_pop(w)) + avg(sgs)"})
+grouped("turbulence_intensity", "les", ["cell"], lambda: [turbulence.turbulence_intensity("u"), turbulence.turbulence_intensity("v", False)],
         {"percent": "100 * stddev_pop(u) / abs(avg(u))", "share": "stddev_pop(v) / abs(avg(v))"})
-scalar("sgs_tke", "les", {"tke": turbulence.sgs_tke("u", "v", "w")}, {"tke": "0.5 * (u + v + w)"})
-scalar("fluctuations", "les", {"dv": turbulence.fluctuations("v", ["cell"])}, {"dv": "v - avg(v) OVER (PARTITION BY cell)"})
-grouped("wind_power_density", "les", ["cell"], [stats.wind_power_density("w")], {"power": "0.5 * avg(1.225 * pow(w, 3))"})
+scalar("sgs_tke", "les", lambda: {"tke": turbulence.sgs_tke("u", "v", "w")}, {"tke": "0.5 * (u + v + w)"})
+scalar("fluctuations", "les", lambda: {"dv": turbulence.fluctuations("v", ["cell"])}, {"dv": "v - avg(v) OVER (PARTITION BY cell)"})
+grouped("wind_power_density", "les", ["cell"], lambda: [stats.wind_power_density("w")], {"power": "0.5 * avg(1.225 * pow(w, 3))"})
 frame("weibull_fit", "les", lambda df: stats.weibull_fit(df, "v", ["cell"]).select("cell", rounded("shape").alias("shape"), rounded("scale").alias("scale")),
       """SELECT cell, round(shape, 6) AS shape, round(mean / gamma(1 + 1 / shape), 6) AS scale
       FROM (SELECT cell, avg(v) AS mean, pow(stddev_pop(v) / avg(v), -1.086) AS shape FROM {view} WHERE v > 0 GROUP BY cell)""")
 
-grouped("bias", "pairs", ["station"], [stats.bias("model", "speed")], {"bias": "avg(model - speed)"})
-grouped("mae", "pairs", ["station"], [stats.mae("model", "speed")], {"mae": "avg(abs(model - speed))"})
-grouped("rmse", "pairs", ["station"], [stats.rmse("model", "speed")], {"rmse": "sqrt(avg((model - speed) * (model - speed)))"})
-grouped("correlation", "pairs", ["station"], [F.nanvl(stats.correlation("model", "speed"), F.lit(-9.0))], {"r": "coalesce(covar_pop(model, speed) / nullif(stddev_pop(model) * stddev_pop(speed), 0), -9)"})
-grouped("normalized_error", "pairs", ["station"], [stats.normalized_error("model", "speed")], {"error": "sqrt(avg((model - speed) * (model - speed))) / avg(abs(speed))"})
-grouped("circular_mae", "pairs", ["station"], [stats.circular_mae("model_direction", "direction")], {"mae": "avg(abs(((model_direction - direction + 180) % 360 + 360) % 360 - 180))"})
-grouped("circular_mean", "obs", ["station"], [stats.circular_mean("direction", "speed")],
+grouped("bias", "pairs", ["station"], lambda: [stats.bias("model", "speed")], {"bias": "avg(model - speed)"})
+grouped("mae", "pairs", ["station"], lambda: [stats.mae("model", "speed")], {"mae": "avg(abs(model - speed))"})
+grouped("rmse", "pairs", ["station"], lambda: [stats.rmse("model", "speed")], {"rmse": "sqrt(avg((model - speed) * (model - speed)))"})
+grouped("correlation", "pairs", ["station"], lambda: [F.nanvl(stats.correlation("model", "speed"), F.lit(-9.0))], {"r": "coalesce(covar_pop(model, speed) / nullif(stddev_pop(model) * stddev_pop(speed), 0), -9)"})
+grouped("normalized_error", "pairs", ["station"], lambda: [stats.normalized_error("model", "speed")], {"error": "sqrt(avg((model - speed) * (model - speed))) / avg(abs(speed))"})
+grouped("circular_mae", "pairs", ["station"], lambda: [stats.circular_mae("model_direction", "direction")], {"mae": "avg(abs(((model_direction - direction + 180) % 360 + 360) % 360 - 180))"})
+grouped("circular_mean", "obs", ["station"], lambda: [stats.circular_mean("direction", "speed")],
         {"direction": "((degrees(atan2(sum(speed * sin(radians(direction))), sum(speed * cos(radians(direction))))) % 360) + 360) % 360"})
-grouped("standard_error", "obs", ["station"], [stats.standard_error("speed")], {"error": "stddev_samp(speed) / sqrt(count(speed))"})
+grouped("standard_error", "obs", ["station"], lambda: [stats.standard_error("speed")], {"error": "stddev_samp(speed) / sqrt(count(speed))"})
 _SUM = {"bias": "avg(model - speed)", "mae": "avg(abs(model - speed))", "rmse": "sqrt(avg((model - speed) * (model - speed)))", "correlation": _CORR}
-grouped("comparison_summary", "pairs", ["kind"], stats.comparison_summary("model", "speed"), _SUM)
-grouped("resolution_metrics", "pairs", [], stats.resolution_metrics("speed", "model"),
+grouped("comparison_summary", "pairs", ["kind"], lambda: stats.comparison_summary("model", "speed"), _SUM)
+grouped("resolution_metrics", "pairs", [], lambda: stats.resolution_metrics("speed", "model"),
         {"bias": "avg(speed - model)", "mae": "avg(abs(model - speed))", "rmse": "sqrt(avg((model - speed) * (model - speed)))", "correlation": _CORR})
 
 
@@ -76,14 +76,14 @@ frame("channel_statistics", "les", lambda df: stats.channel_statistics(df, ["u",
 frame("landuse_statistics", "plane", lambda df: df.withColumn("x", F.when(c("i") != 3, c("x"))).groupBy("label").agg(*stats.class_statistics("x")).select("label", "count", *[rounded(x).alias(x) for x in ("mean", "std", "minimum", "maximum")]),
       """SELECT label, count(*) AS count, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS minimum, round(max(x), 6) AS maximum
       FROM (SELECT label, CASE WHEN i <> 3 THEN x END AS x FROM {view}) GROUP BY label""")
-grouped("integral_conservation", "les", ["cell"], stats.integral_conservation("u", "v", F.lit(2.0), F.lit(4.0)),
+grouped("integral_conservation", "les", ["cell"], lambda: stats.integral_conservation("u", "v", F.lit(2.0), F.lit(4.0)),
         {"source_integral": "sum(u * 2)", "target_integral": "sum(v * 4)", "relative_error": "(sum(v * 4) - sum(u * 2)) / nullif(sum(u * 2), 0)"}, 5)
 frame("diurnal_cycle", "obs", lambda df: stats.diurnal_cycle(df, "speed", F.hour("ts")).select("hour", rounded("mean").alias("mean")),
       "SELECT hour(ts)::INT AS hour, round(avg(speed), 6) AS mean FROM {view} GROUP BY 1")
 frame("wind_rose", "obs", lambda df: stats.wind_rose_histogram(df, "direction", "speed"),
       """WITH o AS (SELECT floor(direction / 22.5)::INT AS d, least(floor(speed / max(speed) OVER () * 5), 4)::INT AS s FROM {view} WHERE speed >= 0)
       SELECT d.i::INT AS direction_bin, s.i::INT AS speed_bin, (SELECT count(*) FROM o WHERE o.d = d.i AND o.s = s.i) AS count FROM range(16) d(i), range(5) s(i)""")
-grouped("fit_spectral_slope", "signal", ["vec_id"], stats.fit_spectral_slope(c("n") + 0.0, F.abs("x")),
+grouped("fit_spectral_slope", "signal", ["vec_id"], lambda: stats.fit_spectral_slope(c("n") + 0.0, F.abs("x")),
         {"slope": "regr_slope(CASE WHEN n > 0 AND x <> 0 THEN log10(abs(x)) END, CASE WHEN n > 0 AND x <> 0 THEN log10(n) END)",
          "intercept": "regr_intercept(CASE WHEN n > 0 AND x <> 0 THEN log10(abs(x)) END, CASE WHEN n > 0 AND x <> 0 THEN log10(n) END)"}, 5)
 

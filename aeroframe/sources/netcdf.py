@@ -116,6 +116,11 @@ def axis(dim: str) -> str:
     return dim
 
 
+def column(variable: str, axes: list[str]) -> str:
+    """A variable's column; names of axes are taken (in either case), and get a final underscore."""
+    return f"{variable}_" if variable.lower() in {a.lower() for a in axes} else variable
+
+
 def _content(spark: SparkSession, path) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -134,9 +139,9 @@ def read_netcdf(spark: SparkSession, path, variables: list[str]) -> DataFrame:
                 data = Classic(content)
                 values = {v: data.read(v).astype(float) for v in variables}
                 index = np.indices(next(iter(values.values())).shape)
-                yield pd.DataFrame({"path": name, **{n: x.ravel() for n, x in zip(names, index)}, **{v: x.ravel() for v, x in values.items()}})
+                yield pd.DataFrame({"path": name, **{n: x.ravel() for n, x in zip(names, index)}, **{column(v, names): x.ravel() for v, x in values.items()}})
 
-    return _content(spark, path).mapInPandas(run, ", ".join(["path string", *[f"{n} int" for n in names], *[f"`{v}` double" for v in variables]]))
+    return _content(spark, path).mapInPandas(run, ", ".join(["path string", *[f"{n} int" for n in names], *[f"`{column(v, names)}` double" for v in variables]]))
 
 
 def read_file_meta(spark: SparkSession, path) -> DataFrame:

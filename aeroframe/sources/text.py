@@ -25,7 +25,7 @@ STATION = r"^\s*(.{1,25}?)\s+(\S{1,7})\s+([-+]?\d+(?:\.\d*)?)\s+([-+]?\d+(?:\.\d
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, n, line): lines of whole files with their numbers."""
-    whole = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), F.split("value", r"\r?\n").alias("lines"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", r"\r?\n").alias("lines"))
     return whole.select("path", F.posexplode("lines").alias("n", "line"))
 
 
@@ -114,7 +114,7 @@ def read_ascii_output(spark: SparkSession, path: str) -> DataFrame:
                 for k, channel in enumerate(channels[1:], 1):
                     yield pd.DataFrame({"path": name, "time": data[:, 0], "channel": channel, "unit": units[k] if k < len(units) else "", "value": data[:, k]})
 
-    whole = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return whole.mapInPandas(run, "path string, time double, channel string, unit string, value double")
 
 
@@ -139,7 +139,7 @@ def read_full_field_text(spark: SparkSession, path: str) -> DataFrame:
                     u = row[2:].reshape(nz, ny)[:, ::-1]
                     yield pd.DataFrame({"path": name, "t": t, "time": row[0], "k": k.ravel(), "j": j.ravel(), "z": z[k.ravel()], "y": y[j.ravel()], "u": u.ravel(), "hub_wind": row[1]})
 
-    whole = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return whole.mapInPandas(run, "path string, t int, time double, k int, j int, z double, y double, u double, hub_wind double")
 
 
@@ -193,17 +193,20 @@ def parse_value(text: str):
 def read_namelist(path: str) -> dict[str, dict]:
     """`&group ... /` blocks of a (small) control file."""
     out: dict[str, dict] = {}
-    group = None
+    group, name, held = None, None, {}
     for raw in Path(path).read_text(encoding="utf-8").splitlines():
         line = raw.split("!")[0].strip()
         if line.startswith("&"):
-            group = out.setdefault(line[1:].strip().lower(), {})
-        elif line == "/":
+            group, name = line[1:].strip(), None
+            held = out.setdefault(group, {})
+        elif line.startswith("/"):
             group = None
         elif group is not None and "=" in line:
-            name, value = line.split("=", 1)
-            group[name.strip().lower()] = parse_value(value)
-    return out
+            name, value = (x.strip() for x in line.split("=", 1))
+            held[name] = value
+        elif group is not None and name is not None and line:
+            held[name] += "," + line  # a value that goes on
+    return {g: {k: parse_value(v) for k, v in values.items()} for g, values in out.items()}
 
 
 def update_namelist_dates(path: str, start: str, end: str, domains: int, output: str | None = None) -> Path:
