@@ -136,10 +136,10 @@ def count_pairs(texts: DataFrame, head: dict[int, int], endings: int) -> np.ndar
             s = own[lo : lo + 100_000]
             yield pd.DataFrame({"pair": s, "c": total[s]})
 
-    got = texts.mapInPandas(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
+    got = texts.mapInPandas(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
     shared.unpersist()
     out = np.zeros(k * k)
-    out[got["pair"].to_numpy()] = got["c"].to_numpy()
+    out[got.column("pair").to_numpy()] = got.column("c").to_numpy()
     return out.reshape(k, k)
 
 
@@ -228,7 +228,7 @@ def fit(
     bound_batches(spark)
     texts = train.select(F.col(text_col).alias("text"))
     counts = materialize(count_words(texts, endings))
-    tops = counts.orderBy(F.desc("c"), "h").limit(hot).toPandas()
+    tops = counts.select("h", "c").orderBy(F.desc("c"), "h").limit(hot).toArrow().to_pandas()
     in_head = {int(np.uint64(np.int64(h))): k for k, h in enumerate(tops["h"][:head])}
     listed = F.broadcast(spark.createDataFrame([(int(h), k) for k, h in enumerate(tops["h"][:head])], "h long, k int"))
     sums = counts.join(listed, "h", "left").groupBy(F.coalesce(F.col("k"), F.col("ending") + F.lit(len(in_head))).alias("t")).agg(

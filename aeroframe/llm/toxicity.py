@@ -164,7 +164,7 @@ def fit(
     three numbers per sampled row reach the driver.
     """
     spark = train.sparkSession
-    bound_batches(spark)
+    bound_batches(spark, 250, "4m")
     ids = (
         train.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
         .select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
