@@ -172,7 +172,8 @@ def exchange(pairs: np.ndarray, classes: int, passes: int = 12) -> np.ndarray:
             n[a, :] -= r
             n[:, a] -= l
             n[a, a] -= self_
-            rows, cols = n.sum(1), n.sum(0)
+            # whichever class takes w, its neighbours' totals count it again
+            rows, cols = n.sum(1) + l, n.sum(0) + r
             rt, lt = r.sum() + self_, l.sum() + self_
             base = _xlogx(n)
             # put it into each class c: row c gains r, column c gains l, cell (c, c) also the self pairs
@@ -180,7 +181,6 @@ def exchange(pairs: np.ndarray, classes: int, passes: int = 12) -> np.ndarray:
             d = n[eye, eye]
             gain += _xlogx(d + r + l + self_) - _xlogx(d + r) - _xlogx(d + l) + _xlogx(d)
             gain -= _xlogx(rows + rt) - _xlogx(rows) + _xlogx(cols + lt) - _xlogx(cols)
-            # a row's or column's own growth through the cell of the other is in r and l already
             c = int(gain.argmax())
             if gain[c] <= gain[a] + 1e-9:
                 c = a
