@@ -203,9 +203,11 @@ def host_of(url):
 
 def extract_text(
     df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-    least_pages: int = 5, least_share: float = 0.3,
+    least_pages: int = 5, least_share: float = 0.3, most_broadcast: int = 250_000,
 ) -> DataFrame:
-    """One row per page: id, url, text, n_chars."""
+    """One row per page: id, url, text, n_chars.
+
+    Up to ``most_broadcast`` struck hashes are sent to all tasks, more are joined."""
     bound_batches(df.sparkSession, 500)
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"),
                      F.monotonically_increasing_id().alias("row"))
@@ -232,7 +234,10 @@ def extract_text(
     template = materialize(template)
     # of a page, only hashes over candidate blocks matter
     used = parsed.select("host", "row", F.explode(F.array_distinct(F.flatten("blocks.above"))).alias("hash"))
-    struck = used.join(template, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("struck"))
+    struck = materialize(used.join(template, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("struck")))
+    # the text blocks stay where they are if what is struck is small: its size is checked
+    if (struck.agg(F.sum(F.size("struck"))).first()[0] or 0) <= most_broadcast:
+        struck = F.broadcast(struck)
     kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["above"], F.coalesce("struck", F.array().cast("array<long>"))))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     out = parsed.select("page_id", "url", "row", "blocks").join(struck, "row", "left").select("page_id", "url", text.alias("text"))
