@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from aeroframe.queries import registry
-from aeroframe.queries import geometry, neighbours, reductions, scalars, spectra  # noqa: F401  registration
+from aeroframe.queries import geometry, neighbours, reductions, scalars, spectra, texts  # noqa: F401  registration
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

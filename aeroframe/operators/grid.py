@@ -37,6 +37,23 @@ def get_variable(df: DataFrame, name: str, axes: list[str], time: int | None = N
     return out
 
 
+def load_velocity(u: DataFrame, v: DataFrame, w: DataFrame, axes: list[str], names: dict[str, str] | None = None, staggered: dict[str, str] | None = None) -> DataFrame:
+    """u, v and w from their own grids on the common one: each destaggered along
+    its axis (by default i, j and k), then joined on the axes they share."""
+    names = {"u": "U", "v": "V", "w": "W"} | (names or {})
+    staggered = {"u": "i", "v": "j", "w": "k"} if staggered is None else staggered
+    out = None
+    for part, df in (("u", u), ("v", v), ("w", w)):
+        one = get_variable(df, names[part], axes, staggered=[staggered[part]] if part in staggered else None).withColumnRenamed(names[part], part)
+        out = one if out is None else out.join(one, axes)
+    return out
+
+
+def load_sgs_stress(df: DataFrame, keep: list[str], names: dict[str, str] | None = None) -> DataFrame:
+    """The six subgrid stresses under their short names."""
+    return select_variables(df, {m: m.upper() for m in ("m11", "m12", "m13", "m22", "m23", "m33")} | (names or {}), keep)
+
+
 def vertical_profile(df: DataFrame, variable: str, x: int, y: int, time: int = 0) -> DataFrame:
     return df.where((F.col("i") == x) & (F.col("j") == y) & (F.col("t") == time)).select("k", variable)
 
@@ -114,6 +131,9 @@ def interpolate_to_levels(df: DataFrame, value: str, height: str, by: list[str],
     return every.join(out, [*by, "level"], "left").withColumn(value, F.coalesce(value, F.lit(NAN)))
 
 
+to_levels = interpolate_to_levels
+
+
 def interpolate_height(df: DataFrame, value: str, height: str, by: list[str], levels: list[float]) -> DataFrame:
     """``bracket`` on columns whose heights rise."""
     return bracket(df, [value], height, by, levels)

@@ -84,6 +84,18 @@ frame("get_variable", "plane", lambda df: grid.get_variable(_grid4(df), "x", ["t
       "SELECT j, i, round((x + x2) / 2, 7) AS x FROM (SELECT *, lead(x) OVER (PARTITION BY j ORDER BY i) AS x2 FROM {view} WHERE vec_id = 9) WHERE x2 IS NOT NULL")
 frame("select_variables", "les", lambda df: grid.select_variables(df, {"eastward": "u", "northward": "v"}, ["l_orderkey", "l_linenumber", "l_partkey"]),
       "SELECT l_orderkey, l_linenumber, l_partkey, u AS eastward, v AS northward FROM {view}")
+
+
+def _velocity(df: DataFrame) -> DataFrame:
+    cube = df.where("label < 3").select(c("vec_id").alias("t"), c("label").alias("k"), "j", "i", c("x").alias("U"), (c("x") * 2).alias("V"), (c("x") + c("j")).alias("W"))
+    out = grid.load_velocity(cube, cube, cube, ["t", "k", "j", "i"], staggered={"u": "i", "v": "j"})
+    return out.select("t", "k", "j", "i", *[rounded(x, 7).alias(x) for x in "uvw"])
+
+
+frame("load_velocity", "plane", _velocity, """WITH f AS (SELECT vec_id AS t, label AS k, j, i, x, lead(x) OVER (PARTITION BY vec_id, j ORDER BY i) AS xi, lead(x) OVER (PARTITION BY vec_id, i ORDER BY j) AS xj FROM {view} WHERE label < 3)
+  SELECT t, k, j, i, round((x + xi) / 2, 7) AS u, round((2 * x + 2 * xj) / 2, 7) AS v, round(x + j, 7) AS w FROM f WHERE xi IS NOT NULL AND xj IS NOT NULL""")
+frame("load_sgs_stress", "les", lambda df: grid.load_sgs_stress(df, ["l_orderkey", "l_linenumber", "l_partkey"], {"m11": "u", "m12": "v", "m13": "w", "m22": "sgs", "m23": "u", "m33": "v"}),
+      "SELECT l_orderkey, l_linenumber, l_partkey, u AS m11, v AS m12, w AS m13, sgs AS m22, u AS m23, v AS m33 FROM {view}")
 _CENTRES = [[0.02 * ((k * 7 + j * 3) % 11 - 5) for j in range(64)] for k in range(3)]
 
 

@@ -30,8 +30,13 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tslist(spark: SparkSession, path: str) -> DataFrame:
-    """name, id, lat, lon; comments, blank lines and lines that do not fit are skipped."""
-    rows = spark.read.text(path).where(~F.col("value").rlike(r"^\s*([#!].*)?$") & F.col("value").rlike(STATION))
+    """Stations of a list file."""
+    return parse_tslist(spark.read.text(path))
+
+
+def parse_tslist(lines: DataFrame) -> DataFrame:
+    """``value`` lines -> name, id, lat, lon; comments, blank lines and lines that do not fit are skipped."""
+    rows = lines.where(~F.col("value").rlike(r"^\s*([#!].*)?$") & F.col("value").rlike(STATION))
     part = lambda k: F.regexp_extract("value", STATION, k)
     return rows.select(F.trim(part(1)).alias("name"), part(2).alias("id"), part(3).cast("double").alias("lat"), part(4).cast("double").alias("lon"))
 
@@ -147,8 +152,13 @@ PARAMETER = r"""^\s*("[^"]*"|'[^']*'|\S+)\s+([A-Za-z_]\w*(?:\([^)]*\))?)(?:\s.*)
 
 
 def read_parameters(spark: SparkSession, path: str) -> DataFrame:
-    """label, value per `value  Label  text` line; of repeated labels the last counts."""
-    rows = _lines(spark, path).where(F.col("line").rlike(PARAMETER)).select(
+    """label, value of a parameter file."""
+    return parse_parameters(_lines(spark, path))
+
+
+def parse_parameters(lines: DataFrame) -> DataFrame:
+    """Numbered `value  Label  text` lines (n, line) -> label, value; of repeated labels the last counts."""
+    rows = lines.where(F.col("line").rlike(PARAMETER)).select(
         "n", F.regexp_extract("line", PARAMETER, 2).alias("label"), F.regexp_replace(F.regexp_extract("line", PARAMETER, 1), r"^[\"']|[\"']$", "").alias("value"))
     return rows.groupBy("label").agg(F.max_by("value", "n").alias("value"))
 
