@@ -74,7 +74,7 @@ def hooked(pairs: DataFrame) -> DataFrame:
     return first.join(first.toDF("label", "next"), "label").select("node", F.col("next").alias("label"))
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+def bound_batches(spark: SparkSession, rows: int = 500, size: str = "8m") -> None:
     """Bound the Arrow batches that Python workers get, so that memory does not
     grow with the length of texts."""
     reach_workers(spark)

@@ -63,7 +63,7 @@ class _Codes(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         plain = _strip(word)
         self[word] = out = self.vocabulary.get(plain, len(self.vocabulary)) if plain else -1
