@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,20 +23,15 @@ def align(model: DataFrame, observed: DataFrame, values: list[str], time: str =
     # looking ahead, rows of the same time come first whichever side they are on
     ahead = Window.partitionBy(*by).orderBy(F.col(time).desc(), F.col("_asks"), F.col("_m")).rowsBetween(Window.unboundedPreceding, 0)
     seen = left.unionByName(right).select("*", F.last("_m", True).over(back).alias("_b"), F.last("_m", True).over(ahead).alias("_a")).where("_asks")
-    gap = lambda c: F.abs(seconds(F.col(c)) - seconds(F.col(time)))
+    gap = lambda c: F.abs(F.timestamp_diff("MICROSECOND", F.col(c), F.col(time)))
     use_back = F.col("_a").isNull() | (gap("_b._at") < gap("_a._at"))
     best = F.when(use_back, F.col("_b")).otherwise(F.col("_a"))
     picked = seen.withColumn("_best", best)
     if tolerance is not None:
-        picked = picked.withColumn("_best", F.when(gap("_best._at") <= tolerance, F.col("_best")))
+        picked = picked.withColumn("_best", F.when(gap("_best._at") <= tolerance * 1e6, F.col("_best")))
     return picked.select(*by, time, *[F.col(f"_o.{c}") for c in held], *[F.col(f"_best.{v}").alias(v) for v in values])
 
 
-def seconds(ts: Column) -> Column:
-    """Seconds since 1970 with their fraction; NTZ timestamps are taken as UTC."""
-    return F.unix_micros(F.to_timestamp(F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+00:00")))) / F.lit(1e6)
-
-
 def normalize_time(df: DataFrame, time: str = "time", timezone_offset_hours: float = 0.0, sort: bool = True) -> DataFrame:
     """Subtract a time-zone offset (microsecond precision)."""
     moved = df.withColumn(time, F.col(time) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(timezone_offset_hours * 3600).cast("decimal(18,6)")))
