@@ -250,7 +250,8 @@ def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id"
     spark = df.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("rid"))
+    # ids cross to Python as text, since pandas would turn a batch with a null into floats
+    rows = df.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("rid"))
 
     def run(batches):
         m = shared.value
@@ -283,7 +284,7 @@ def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id"
             yield out
 
     local = materialize(rows.mapInPandas(
-        run, "doc_id long, rid long, n long, known long, plain double, local double, h array<long>, cls array<int>, tf array<int>"))
+        run, "doc_id string, rid long, n long, known long, plain double, local double, h array<long>, cls array<int>, tf array<int>"))
     rare = local.select("rid", F.explode(F.arrays_zip("h", "cls", "tf")).alias("w")).select("rid", "w.h", "w.cls", "w.tf")
     unseen = F.get(F.array(*[F.lit(float(x)) for x in model.unseen]), F.col("cls"))
     # words in the hot table never come here, and need not be joined
@@ -296,7 +297,7 @@ def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id"
     zero = lambda c: F.coalesce(c, F.lit(0))
     floor = float(np.log10(model.total + model.types + 1))
     return local.drop("h", "cls", "tf").join(told, "rid", "left").select(
-        F.col("doc_id").alias(id_col), F.col("n").alias("n_tokens"), (F.col("known") + zero("known2")).cast("long").alias("n_known"),
+        F.col("doc_id").cast("long").alias(id_col), F.col("n").alias("n_tokens"), (F.col("known") + zero("known2")).cast("long").alias("n_known"),
         (F.col("plain") + zero("plain2") - F.col("n") * F.lit(floor)).alias("base_score"), (F.col("local") + zero("local2")).alias("score"),
     )
 

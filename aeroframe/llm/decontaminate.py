@@ -75,7 +75,7 @@ class Block:
 
     STRETCH = 50_000
 
-    def __init__(self, items: list[tuple[int, list[str]]], vocabulary: dict[str, int], idf: np.ndarray, basis: np.ndarray, answers: int, answer: float):
+    def __init__(self, items: list[tuple[str | None, list[str]]], vocabulary: dict[str, int], idf: np.ndarray, basis: np.ndarray, answers: int, answer: float):
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
         self.vocabulary = vocabulary
@@ -240,10 +240,11 @@ def find_leaks(
     """One row per document and passage found in it: id, item, cosine, lcs share, word span."""
     spark = docs.sparkSession
     bound_batches(spark, 500)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, item_id long, cosine double, lcs double, start_word long, end_word long"
+    # ids cross to Python as text, since pandas would turn a batch with a null into floats
+    texts = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    schema = "doc_id string, item_id string, cosine double, lcs double, start_word long, end_word long"
     items = materialize(
-        benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
+        benchmark.select(F.col(item_col).cast("long").cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
         .where("text is not null").withColumn("nth", F.monotonically_increasing_id())
     )
     parts = max(1, -(-items.count() // block))
@@ -271,7 +272,8 @@ def find_leaks(
 
         hits = texts.mapInPandas(run, schema)
         out = hits if out is None else out.unionByName(hits)
-    return spark.createDataFrame([], schema) if out is None else out
+    out = spark.createDataFrame([], schema) if out is None else out
+    return out.withColumns({c: F.col(c).cast("long") for c in ("doc_id", "item_id")})
 
 
 def remove_leaks(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id") -> DataFrame:

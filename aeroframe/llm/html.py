@@ -209,7 +209,8 @@ def extract_text(
 
     Up to ``most_broadcast`` struck hashes are sent to all tasks, more are joined."""
     bound_batches(df.sparkSession, 500)
-    rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"),
+    # ids cross to Python as text, since pandas would turn a batch with a null into floats
+    rows = df.select(F.col(id_col).cast("long").cast("string").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"),
                      F.monotonically_increasing_id().alias("row"))
 
     def run(batches):
@@ -222,8 +223,8 @@ def extract_text(
             yield out
 
     parsed = materialize(
-        rows.mapInPandas(run, "page_id long, url string, row long, blocks array<struct<text:string, above:array<long>>>, hashes array<long>, whole long")
-        .withColumn("host", host_of(F.col("url")))
+        rows.mapInPandas(run, "page_id string, url string, row long, blocks array<struct<text:string, above:array<long>>>, hashes array<long>, whole long")
+        .withColumn("host", host_of(F.col("url"))).withColumn("page_id", F.col("page_id").cast("long"))
     )
     once = parsed.groupBy("host", "whole").agg(F.any_value("hashes").alias("hashes"))
     pages = once.groupBy("host").agg(F.count("*").alias("n"))

@@ -119,8 +119,9 @@ def _matrix(sigs) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, text: Column, *keep: str) -> DataFrame:
-    """docs -> keep columns, n_shingles, cls, sig."""
-    rows = docs.select(*keep, text.alias("_text"))
+    """docs -> keep columns, n_shingles, cls, sig. Long columns cross to Python as
+    text, since pandas would turn a batch with a null into floats."""
+    rows = docs.select(*[F.col(c).cast("string") for c in keep], text.alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
 
     def run(batches):
@@ -132,7 +133,7 @@ def _signed(docs: DataFrame, text: Column, *keep: str) -> DataFrame:
             out["sig"] = [signature(s) if len(s) else None for s in found]
             yield out
 
-    return rows.mapInPandas(run, f"{schema}, n_shingles long, cls long, sig binary")
+    return rows.mapInPandas(run, f"{schema}, n_shingles long, cls long, sig binary").withColumns({c: F.col(c).cast("long") for c in keep})
 
 
 def _bayes(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float) -> DataFrame:

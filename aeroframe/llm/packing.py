@@ -168,9 +168,10 @@ def pack(
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
     spark = df.sparkSession
     bound_batches(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # ids cross to Python as text, since pandas would turn a batch with a null into floats
+    docs = df.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     shards = max(1, -(-docs.count() // shard_docs))
-    kept = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    kept = "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def cut(batches):
         for b in batches:
@@ -180,9 +181,7 @@ def pack(
                 for k, (start, n) in enumerate(pieces_of(len(ids), size)):
                     part = ids[start : start + n]
                     rows.append((doc, k, start, n, zlib.crc32(part.tobytes())) + ((part.astype("i4"),) if with_ids else ()))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
-            out["doc_id"] = pd.array([None if x is None or x != x else int(x) for x in out["doc_id"]], "Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
     cuts = docs.mapInPandas(cut, kept)
     shard = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards))
@@ -194,4 +193,5 @@ def pack(
         pdf["offset"] = at
         return pdf.drop(columns="shard")
 
-    return cuts.withColumn("shard", shard).groupBy("shard").applyInPandas(place, kept + ", sequence_id long, offset long")
+    placed = cuts.withColumn("shard", shard).groupBy("shard").applyInPandas(place, kept + ", sequence_id long, offset long")
+    return placed.withColumn("doc_id", F.col("doc_id").cast("long"))

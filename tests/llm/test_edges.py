@@ -122,3 +122,16 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
             assert name == "packing" or out.columns == columns
             left = spark.createDataFrame(out.collect(), out.schema)
     assert left.count() == 0
+
+
+def test_large_ids_beside_nulls(spark):
+    """Ids over 2^53 stay exact in a batch that holds a null id."""
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, PROSE), (None, "another text"), (big + 2, PROSE)], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()} == {big: big, big + 2: big, None: None}
+    assert {r["doc_id"] for r in packing.pack(df, packing.default_tokenizer()).collect()} == {big, big + 2, None}
+    assert {r["doc_id"] for r in brown.score_documents(df, F.lit(True), F.lit(False), head=5, endings=4, classes=2).collect()} == {big, big + 2, None}
+    bench = spark.createDataFrame([(big, PROSE), (None, "some other passage of more than eight words in all")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(df, bench).collect()} == {(big, big), (big + 2, big)}
+    pages = spark.createDataFrame([(big, "http://a/1", "<p>x"), (None, None, None)], "page_id long, url string, html string").coalesce(1)
+    assert {r["page_id"] for r in html.extract_text(pages).collect()} == {big, None}
