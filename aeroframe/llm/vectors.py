@@ -103,9 +103,9 @@ def expand_range(query: np.ndarray, seeds: np.ndarray, vectors: np.ndarray, tabl
     seen[seeds] = True
     front = seeds
     while len(front):
-        near = np.unique(table[front])
-        near = near[(near >= 0)]
-        near = near[~seen[near]]
+        hit = np.zeros(len(vectors) + 1, bool)
+        hit[table[front]] = True  # the padding of -1 marks the extra place
+        near = np.flatnonzero(hit[:-1] & ~seen)
         near = near[vectors[near] @ query >= wide]
         seen[near] = True
         front = near
