@@ -10,8 +10,8 @@
 4. Each home block of queries searches each member block of its shard: greedy
    beam search from the medoid over the united lists, then range expansion along
    nodes near the query. Hits are verified by cosine in double precision.
-5. A task holds the search against brute force for its audited queries (ids
-   divisible by 100) and searches exhaustively where recall is below ``audit``.
+5. A task holds the hits of every query against the exact similarities to all
+   its members, and takes those for each query whose hits are not complete.
 6. A task returns counts of linked vectors and a spanning forest of the links it
    saw, at most one row per node; no list of all pairs is ever built.
 
@@ -161,7 +161,7 @@ def _fit_centres(sample: pd.DataFrame, sizes: dict, shard: int, most: int, seed:
 
 def near_duplicates(
     df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98,
-    margin: float = 0.12, shard: int = 1500, most_centres: int = 4096, block: int = 2048, sample: int = 20_000, beam: int = 48, audit: float = 0.98,
+    margin: float = 0.12, shard: int = 1500, most_centres: int = 4096, block: int = 2048, sample: int = 20_000, beam: int = 48,
 ) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept."""
     rows = df.select(F.col(id_col).cast("long").alias("key"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -173,11 +173,10 @@ def near_duplicates(
     rows = materialize(rows)
     valid = rows.where("cls is not null").groupBy("cls").agg(
         F.any_value("label").alias("label"), F.any_value("v").alias("v"), F.min("key").alias("key"), F.count("*").alias("n"),
-        F.max(F.when(F.col("key") % 100 == 0, 1).otherwise(0)).alias("audited"),
     ).withColumn("most", most)
     norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
     classes = materialize(valid.withColumn("norm", norm).select(
-        "cls", "label", F.size("v").alias("dim"), F.transform(scaled, lambda x: x / F.col("norm")).alias("unit"), "key", "n", "audited"))
+        "cls", "label", F.size("v").alias("dim"), F.transform(scaled, lambda x: x / F.col("norm")).alias("unit"), "key", "n"))
 
     sizes = {(r["label"], r["dim"]): r["count"] for r in classes.groupBy("label", "dim").count().orderBy(F.desc("count")).limit(most_centres).collect()}
     picked = classes.orderBy(F.xxhash64("cls")).limit(sample).select("label", "dim", "unit").toPandas()
@@ -198,13 +197,13 @@ def near_duplicates(
                     shards[i] = np.flatnonzero(x >= x.max() - margin).tolist()
             yield b.assign(shards=shards, home=homes)
 
-    schema = "cls long, label string, dim int, unit array<double>, n long, audited int, shards array<int>, home int"
-    dealt = materialize(classes.select("cls", "label", "dim", "unit", "n", "audited").mapInPandas(assign, schema))
+    schema = "cls long, label string, dim int, unit array<double>, n long, shards array<int>, home int"
+    dealt = materialize(classes.select("cls", "label", "dim", "unit", "n").mapInPandas(assign, schema))
     members = dealt.select("cls", "label", "dim", F.explode("shards").alias("shard"))
     counts = members.groupBy("label", "dim", "shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     place = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     keys = ["label", "dim", "shard"]
-    held = dealt.select("cls", "label", "dim", "unit", "n", "audited", F.explode("shards").alias("shard"), "home").join(counts, keys)
+    held = dealt.select("cls", "label", "dim", "unit", "n", F.explode("shards").alias("shard"), "home").join(counts, keys)
 
     def graph(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["cls"].to_numpy()
@@ -215,8 +214,8 @@ def near_duplicates(
     united = materialize(lists.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
 
     whole = materialize(held.join(united, "cls"))
-    shown = whole.select("cls", "unit", "n", "near", *keys, F.lit(0).alias("audited"), place.alias("j"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(False).alias("asks"))
-    asked = whole.where("home = shard").select("cls", "unit", "n", F.array().cast("array<long>").alias("near"), *keys, "audited",
+    shown = whole.select("cls", "unit", "n", "near", *keys, place.alias("j"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(False).alias("asks"))
+    asked = whole.where("home = shard").select("cls", "unit", "n", F.array().cast("array<long>").alias("near"), *keys,
                                                F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), place.alias("i"), F.lit(True).alias("asks"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -239,10 +238,11 @@ def near_duplicates(
             return found[x[found] @ y[k] >= cosine - _SLACK]
 
         found = [hits(k) for k in range(len(y))]
-        audited = np.flatnonzero(q["audited"].to_numpy())
-        true = [np.flatnonzero(x @ y[k] >= cosine - _SLACK) for k in audited]
-        if sum(len(np.intersect1d(t, found[k])) for t, k in zip(true, audited)) < audit * sum(map(len, true)):
-            found = [np.flatnonzero(x @ y[k] >= cosine - _SLACK) for k in range(len(y))]
+        for lo in range(0, len(y), 512):
+            for k, near in enumerate(y[lo : lo + 512] @ x.T >= cosine - _SLACK, lo):
+                true = np.flatnonzero(near)
+                if len(true) > len(np.intersect1d(true, found[k], assume_unique=True)):
+                    found[k] = true
         who = q["cls"].to_numpy()
         links = [int(count[f[ids[f] != c]].sum()) for f, c in zip(found, who)]
         pairs = _forest([(int(c), int(o)) for f, c in zip(found, who) for o in ids[f] if o != c])

@@ -248,6 +248,16 @@ def test_embedding_links(spark):
     assert sum(got[k]["component_id"] != want[k] for k in range(400)) <= 1
 
 
+def test_embedding_links_of_small_groups_beside_a_large_one(spark):
+    rng = np.random.default_rng(3)
+    sizes = [1000, 80]
+    x = np.vstack([rng.normal(size=64) + rng.normal(size=(n, 64)) * 0.001 for n in sizes])
+    rows = [(k, [float(v) for v in x[k]], 0) for k in range(len(x))]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == {k: sizes[k >= 1000] - 1 for k in range(1080)}
+    assert {r["vec_id"]: r["component_id"] for r in got} == {k: 1000 * (k >= 1000) for k in range(1080)}
+
+
 def test_windows_and_masks(spark):
     rng = random.Random(8)
     say = lambda: rng.choice(["", "<|im_end|>", "a\\b", "<\\|", "<\n|"]).join(" ".join(["word"] * rng.randint(1, 60)) for _ in range(3))
