@@ -154,9 +154,9 @@ def _bayes(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float)
 
 
 def _sets(need: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls) -> (cls, set): full shingle sets, from the texts of the classes' keys."""
-    ids = classes.join(need.distinct(), "cls").select(F.col("key").alias("_key"), F.col("cls").alias("_cls"))
-    texts = docs.select("_key", "_text").join(ids, "_key")
+    """(cls) -> (cls, set): full shingle sets, from the texts of the classes' rows."""
+    ids = classes.join(need.distinct(), "cls").select(F.col("row").alias("_row"), F.col("cls").alias("_cls"))
+    texts = docs.select("_row", "_text").join(ids, "_row")
 
     def sets(batches):
         for b in batches:
@@ -236,12 +236,11 @@ def near_duplicates(
     spark = df.sparkSession
     bound_batches(spark, 500)
     threshold = percent / 100
-    docs = df.select(F.col(id_col).cast("long").alias("_key"), F.col(text_col).alias("_text"))
-    keyed = docs.withColumn("_row", row_hash("_key", "_text"))
-    base = materialize(_signed(keyed, F.col("_text"), "_key", "_row"))
+    docs = df.select(F.col(id_col).cast("long").alias("_key"), F.col(text_col).alias("_text")).withColumn("_row", row_hash("_key", "_text"))
+    base = materialize(_signed(docs, F.col("_text"), "_key", "_row"))
     classes = materialize(
         base.where("cls is not null").groupBy("cls").agg(
-            F.min("_key").alias("key"), F.any_value("sig").alias("sig"), F.any_value("n_shingles").alias("n_shingles"))
+            F.min("_key").alias("key"), F.min("_row").alias("row"), F.any_value("sig").alias("sig"), F.any_value("n_shingles").alias("n_shingles"))
     )
     starts = F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1))
     banded = classes.select("cls", F.explode(F.transform(

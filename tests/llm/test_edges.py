@@ -95,6 +95,15 @@ def test_minhash(spark, docs, none):
     assert minhash.drop_near_duplicates(none).count() == 0
 
 
+def test_near_copies_without_ids(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(None, " ".join([*words, *end])) for end in ([], ["a"], ["b", "c"])] + [(None, "something else")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({r["group"] for r in minhash.near_duplicates(df).collect()}) == 2
+    left = {r["text"] for r in minhash.drop_near_duplicates(df).collect()}
+    assert len(left) == 2 and "something else" in left
+
+
 def test_vectors(spark):
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [0.0, 0.0], 1), (5, None, 1), (6, [1.0, None], 1), (7, [float("nan"), 1.0], 1), (8, [1.0, 0.0], None), (None, [1.0, 0.01], 1), (9, [], 1), (10, [1.0, 0.0, 0.0], 1), (2, [2.0, 0.0], 1)]
     df = spark.createDataFrame([(*r, 5, "x") for r in rows], "vec_id long, embedding array<double>, label int, n int, cls string")
