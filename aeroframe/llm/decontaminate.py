@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aeroframe.llm.common import bound_batches, materialize
+from aeroframe.llm.minhash import row_hash
 
 
 def lcs_length(a: list, b: list) -> int:
@@ -237,12 +238,13 @@ def find_leaks(
     item_col: str = "item_id", item_text_col: str = "text", rank: int = 64, cosine: float = 0.55,
     lcs: float = 0.6, answer: float = 0.5, answers: int = 6, least_words: int = 8, block: int = 1024,
 ) -> DataFrame:
-    """One row per document and passage found in it: id, item, cosine, lcs share, word span."""
+    """One row per document and passage found in it: id, item, cosine, lcs share, word span,
+    and the document's row hash (of id and text)."""
     spark = docs.sparkSession
     bound_batches(spark, 500)
     # ids cross to Python as text, since pandas would turn a batch with a null into floats
-    texts = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id string, item_id string, cosine double, lcs double, start_word long, end_word long"
+    texts = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"), row_hash(id_col, text_col).alias("row"))
+    schema = "doc_id string, item_id string, cosine double, lcs double, start_word long, end_word long, row long"
     items = materialize(
         benchmark.select(F.col(item_col).cast("long").cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
         .where("text is not null").withColumn("nth", F.monotonically_increasing_id())
@@ -264,11 +266,11 @@ def find_leaks(
             passages = shared.value
             for b in batches:
                 found = []
-                for doc, text in zip(b["doc_id"], b["text"]):
+                for doc, text, row in zip(b["doc_id"], b["text"], b["row"]):
                     near = passages.candidates(passages.codes(text), cosine)
                     if near:
-                        found += [(doc, *hit) for hit in passages.verify(_plain(text), near, lcs)]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "cosine", "lcs", "start_word", "end_word"])
+                        found += [(doc, *hit, row) for hit in passages.verify(_plain(text), near, lcs)]
+                yield pd.DataFrame(found, columns=["doc_id", "item_id", "cosine", "lcs", "start_word", "end_word", "row"])
 
         hits = texts.mapInPandas(run, schema)
         out = hits if out is None else out.unionByName(hits)
@@ -276,6 +278,7 @@ def find_leaks(
     return out.withColumns({c: F.col(c).cast("long") for c in ("doc_id", "item_id")})
 
 
-def remove_leaks(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is in no leak; rows without an id stay."""
-    return docs.join(leaks.select(F.col("doc_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct(), id_col, "left_anti").select(*docs.columns)
+def remove_leaks(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no leak was found, judged by id and text."""
+    found = leaks.select(F.col("row").alias("_row")).distinct()
+    return docs.withColumn("_row", row_hash(id_col, text_col)).join(found, "_row", "left_anti").select(*docs.columns)

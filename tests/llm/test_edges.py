@@ -60,6 +60,14 @@ def test_brown(spark, docs, none):
     assert brown.score_documents(none, F.lit(True), F.lit(False)).count() == 0
 
 
+def test_leaks_go_by_row(spark):
+    rows = [(None, PROSE), (7, "intro " + PROSE), (7, "a clean text that shares an id"), (None, "a clean text without one"), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    leaks = decontaminate.find_leaks(df, spark.createDataFrame([(1, PROSE)], "item_id long, text string"))
+    left = decontaminate.remove_leaks(df, leaks)
+    assert {(r["doc_id"], r["text"]) for r in left.collect()} == set(rows[2:])
+
+
 def test_packing(spark, docs, none):
     got = packing.pack(docs, packing.default_tokenizer()).collect()
     assert sum(r["piece"] == 0 for r in got) == 9 and len([r for r in got if r["doc_id"] is None]) == 1
