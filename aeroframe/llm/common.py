@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,23 +27,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one
-    under the warehouse where that is unset (tests, single machine)."""
-    own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_aeroframe_checkpoints"
-    return (spark.conf.get("spark.checkpoint.dir", None) or own).rstrip("/")
+    under the warehouse where that is unset on a single machine (tests)."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_aeroframe_checkpoints"
+
+
+_scratch: list[list[str]] = []
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage with files that outlive any executor, and gives the
-    planner true sizes.
+    planner true sizes. Inside ``settled`` the table goes with its step.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/aeroframe-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, step: Callable[[], DataFrame]) -> DataFrame:
+    """``step()`` written as a table; whatever tables it wrote on the way are
+    deleted, also when it fails."""
+    own: list[str] = []
+    _scratch.append(own)
+    try:
+        out = materialize(step())
+        own.pop()  # the result, written last, stays
+        return out
+    finally:
+        _scratch.pop()
+        _delete(spark, own)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) long pairs -> (node, component): smallest node reachable.
 
@@ -85,3 +116,24 @@ def bound_batches(spark: SparkSession, rows: int = 500, size: str = "8m") -> Non
 def fold_of(id_col: str, folds: int):
     """crc32 of the id as text, modulo ``folds`` (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(text, y) of at most ``max_rows`` labelled rows, those of the smallest id hashes.
+
+    Ids are chosen before any text is touched: labels and ids alone are grouped,
+    the bounded list goes to all tasks, and only the texts it names are exchanged.
+    An id whose labels disagree does not train; of rows that share an id, the
+    smallest text (in byte order; null counts as empty) does.
+    """
+    spark = docs.sparkSession
+    y = F.col(label_col).cast("int")
+    agreed = (
+        labels.where(F.col(id_col).isNotNull() & y.isNotNull()).groupBy(F.col(id_col).cast("long").alias("id"))
+        .agg(F.min(y).alias("y"), F.max(y).alias("other")).where("y = other").select("id", "y")
+    )
+    there = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"))
+    chosen = agreed.join(there, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(max_rows).collect()
+    listed = F.broadcast(spark.createDataFrame(chosen, "id long, y int"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(listed, "id")
+    return texts.groupBy("id", "y").agg(F.min("text").alias("text")).select("text", "y")

@@ -10,8 +10,10 @@ The model is fitted on at most ``max_rows`` rated rows (those with the smallest
 id hashes); scoring covers every row.
 
 Edge cases: null and empty texts are scored by their structural figures alone;
-rows without a grade do not train; with one grade or none, that grade (or null)
-is expected everywhere; repeated rows are scored each on their own.
+rows without a grade do not train, nor does an id whose grades disagree; of rows
+that share an id the smallest text trains; with one grade or none, that grade (or
+null) is expected everywhere; repeated rows are scored each on their own, and
+alike.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aeroframe.llm.common import bound_batches
+from aeroframe.llm.common import bound_batches, training_rows
 
 BITS = 15
 _SIZE = 1 << BITS
@@ -154,23 +156,21 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(train: DataFrame, text_col: str = "text", grade_col: str = "quality", id_col: str = "doc_id", max_rows: int = 6000) -> OrdinalModel:
-    """Fit on ``train``; slots and values of at most ``max_rows`` texts reach the driver."""
-    spark = train.sparkSession
-    bound_batches(spark)
-    rated = train.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull())
-    ids = rated.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).orderBy(F.xxhash64("id"), "grade").limit(max_rows).collect()
-    if not ids:
-        return OrdinalModel(np.zeros(WIDTH), np.zeros(0), [])
-    chosen = F.broadcast(spark.createDataFrame(ids, "id long, grade int").dropDuplicates(["id"]))
-    texts = train.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropDuplicates(["id"]).join(chosen, "id").select("text", "grade")
+def fit(
+    docs: DataFrame, labels: DataFrame, text_col: str = "text", grade_col: str = "quality", id_col: str = "doc_id", max_rows: int = 6000,
+) -> OrdinalModel:
+    """Fit on ``docs`` (id, text) and ``labels`` (id, grade); slots and values of at
+    most ``max_rows`` texts (see ``training_rows``) reach the driver."""
+    bound_batches(docs.sparkSession)
+    texts = training_rows(docs, labels, max_rows, id_col, text_col, grade_col)
 
     def run(batches):
         for b in batches:
             found = [features(t) for t in b["text"]]
-            yield pd.DataFrame({"grade": b["grade"], "slots": [s.tobytes() for s, _ in found], "data": [v.tobytes() for _, v in found]})
+            yield pd.DataFrame({"grade": b["y"], "slots": [s.tobytes() for s, _ in found], "data": [v.tobytes() for _, v in found]})
 
-    got = texts.mapInPandas(run, "grade int, slots binary, data binary").toPandas()
+    # sorted, so that the steps of the fit do not depend on how rows were dealt
+    got = texts.mapInPandas(run, "grade int, slots binary, data binary").toPandas().sort_values(["grade", "slots", "data"], kind="stable")
     grades = sorted(got["grade"].unique().tolist())
     if len(grades) < 2:
         return OrdinalModel(np.zeros(WIDTH), np.zeros(0), grades)
@@ -183,8 +183,6 @@ def select_quality(
     docs: DataFrame, labels: DataFrame, keep_training: Column, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", least_tail: float = 0.5,
 ) -> DataFrame:
     """One row per document: id, expected_grade, tail_probability, kept."""
-    marked = labels.select(F.col(id_col), F.col(grade_col).alias("_grade")).where(F.col(grade_col).isNotNull()).dropDuplicates([id_col])
-    model = fit(docs.where(keep_training).select(id_col, text_col).join(marked, id_col), text_col, "_grade", id_col)
-    bound_batches(docs.sparkSession)
+    model = fit(docs.where(keep_training), labels, text_col, grade_col, id_col)
     scored = docs.select(id_col, model.score(F.col(text_col)).alias("s"))
     return scored.select(id_col, F.col("s.expected").alias("expected_grade"), F.col("s.tail").alias("tail_probability"), F.coalesce(F.col("s.tail") >= least_tail, F.lit(False)).alias("kept"))

@@ -22,7 +22,7 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit_documents(docs, table(spark, sf_dir, "labels"), fold_of("doc_id", 5) != 0)
+    model = toxicity.fit(docs.where(fold_of("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
     bound_batches(spark)
     return docs.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), model.score(F.col("text")).alias("score")).select(
         "*", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted")

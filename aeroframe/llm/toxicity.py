@@ -11,8 +11,10 @@ Term weights are smoothed log-odds of the number of distinct training texts
 label. Terms and curve are fitted on at most ``max_rows`` labelled rows.
 
 Edge cases: null and empty texts get the score of a text without matches;
-labelled rows with a null label or without a document are ignored; without any
-training row every score is 0; repeated rows are scored each on their own.
+labelled rows with a null label or without a document are ignored; an id whose
+labels disagree does not train, of rows that share an id the smallest text does;
+without rows of both labels every score is that of the label there is (0 without
+any); repeated rows are scored each on their own, and alike.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aeroframe.llm.common import bound_batches
+from aeroframe.llm.common import bound_batches, training_rows
 
 # Letters that look like Latin ones, and substitutions. i, l and 1
 # fold to one letter, as a 1 can stand for either.
@@ -154,32 +156,32 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
 
 
 def fit(
-    train: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id",
-    max_rows: int = 20_000, max_terms: int = 4096, least_texts: int = 6, least_weight: float = 2.5,
+    docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id",
+    max_rows: int = 20_000, least_texts: int = 6, least_weight: float = 2.5,
 ) -> ToxicityModel:
-    """Learn terms and curve from ``train`` (id, text, label 0/1).
+    """Learn terms and curve from ``docs`` (id, text) and ``labels`` (id, label 0/1).
 
-    Of more than ``max_rows`` rows, those with the smallest id hashes are used;
-    only ids and labels of that bounded sample, the counted terms that pass, and
-    three numbers per sampled row reach the driver.
+    At most ``max_rows`` rows train (see ``training_rows``). Every term of these
+    that is told often and strongly enough enters the lexicon, whose size is so
+    bounded by the sample; besides it, ids, labels and three numbers per sampled
+    row reach the driver.
     """
-    spark = train.sparkSession
+    spark = docs.sparkSession
     bound_batches(spark, 250, "4m")
-    ids = (
-        train.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-        .orderBy(F.xxhash64("id"), "y").limit(max_rows).collect()
-    )
-    if not ids:
-        return ToxicityModel({}, [-40.0, 0.0, 0.0, 0.0])
-    chosen = F.broadcast(spark.createDataFrame(ids, "id long, y int"))
-    rows = train.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates(["id"]).join(chosen, "id")
+    marked = labels.where(F.col(label_col).isin(0, 1))
+    rows = training_rows(docs, marked, max_rows, id_col, text_col, label_col)
 
     @F.pandas_udf("long")
     def sketched(texts: pd.Series) -> pd.Series:
         return pd.Series([_sketch(fold(t)) for t in texts], dtype="int64")
 
-    rows = rows.withColumn("sketch", sketched("text")).dropDuplicates(["sketch", "y"]).select("text", "y").persist()
+    # of near copies the smallest text trains
+    rows = rows.withColumn("sketch", sketched("text")).groupBy("sketch", "y").agg(F.min("text").alias("text")).select("text", "y").persist()
+    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    if not n0 or not n1:
+        rows.unpersist()
+        return ToxicityModel({}, [40.0 if n1 else -40.0, 0.0, 0.0, 0.0])
 
     def counted(batches):
         for b in batches:
@@ -189,14 +191,11 @@ def fit(
             terms = list(n[0].keys() | n[1].keys())
             yield pd.DataFrame({"term": terms, "n0": [n[0][t] for t in terms], "n1": [n[1][t] for t in terms]})
 
-    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     weight = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
     lexicon = {
         r["term"]: r["weight"] for r in rows.mapInPandas(counted, "term string, n0 long, n1 long")
         .groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        .where(F.col("n1") >= least_texts).withColumn("weight", weight).where(F.col("weight") >= least_weight)
-        .orderBy(F.desc(F.col("weight") * F.sqrt("n1")), "term").limit(max_terms).collect()
+        .where(F.col("n1") >= least_texts).withColumn("weight", weight).where(F.col("weight") >= least_weight).collect()
     }
     matcher = Matcher(lexicon)
 
@@ -205,14 +204,6 @@ def fit(
             x = [matcher.features(t) for t in b["text"]]
             yield pd.DataFrame(x, columns=["a", "b", "c"], dtype="float64").assign(y=b["y"].to_numpy())
 
-    seen = rows.mapInPandas(featured, "a double, b double, c double, y int").toPandas()
+    seen = rows.mapInPandas(featured, "a double, b double, c double, y int").toPandas().sort_values(["y", "a", "b", "c"])
     rows.unpersist()
-    if not n0 or not n1:
-        return ToxicityModel(lexicon, [40.0 if n1 else -40.0, 0.0, 0.0, 0.0])
     return ToxicityModel(lexicon, _fit_curve(seen[["a", "b", "c"]].to_numpy(), seen["y"].to_numpy()))
-
-
-def fit_documents(docs: DataFrame, labels: DataFrame, keep: Column, **options) -> ToxicityModel:
-    """Fit on the labelled rows of ``docs`` for which ``keep`` holds (label column ``toxic``)."""
-    marked = labels.select("doc_id", F.col("toxic").alias("label")).where("label is not null and doc_id is not null").dropDuplicates(["doc_id"])
-    return fit(docs.where(keep).select("doc_id", "text").join(marked, "doc_id"), **options)

@@ -62,7 +62,7 @@ def test_toxicity_held_out_and_disguise(spark):
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
     rng = random.Random(1)
     rows = [(k, " ".join(rng.choices(words, k=40)) + (" you idiot" if k % 3 == 0 else ""), int(k % 3 == 0)) for k in range(240)]
-    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"), least_texts=5)
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"), least_texts=5)
     tests = ["alpha beta 1d10t gamma", "an іdіоt of beta", "i.d.i.o.t beta", "idioooot beta", "alpha beta gamma"]
     got = [r["s"] for r in spark.createDataFrame([(t,) for t in tests], "t string").select(model.score(F.col("t")).alias("s")).collect()]
     assert min(got[:4]) > 0.5 > got[4]
@@ -71,6 +71,29 @@ def test_toxicity_held_out_and_disguise(spark):
     assert got[0] < 0.5 < got[1]
 
 
+def test_training_rows_are_settled(spark):
+    """Repeated ids, repeated and conflicting labels, and the bound on rows, however rows are dealt."""
+    docs = [(1, "b"), (1, "a"), (2, "x"), (3, None), (4, "y"), (None, "z"), (5, "w"), (5, "w")]
+    labels = [(1, 1), (1, 1), (2, 0), (2, 1), (3, 0), (4, None), (None, 1), (5, 0), (9, 1)]
+    for seed in range(3):
+        random.Random(seed).shuffle(docs)
+        random.Random(seed).shuffle(labels)
+        d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        m = spark.createDataFrame(labels, "doc_id long, toxic int").repartition(2)
+        got = common.training_rows(d, m, 10, "doc_id", "text", "toxic").collect()
+        assert sorted(map(tuple, got)) == [("", 0), ("a", 1), ("w", 0)]
+        assert len(common.training_rows(d, m, 2, "doc_id", "text", "toxic").collect()) == 2
+
+
+@pytest.mark.parametrize("name,column", [("op3_toxicity", "toxic"), ("op6_quality", "quality")])
+def test_held_out_accuracy(spark, name, column):
+    sf = "/root/testdata/sf0.01"
+    got = __spark_entry__.queries()[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0")
+    said = "predicted" if name == "op3_toxicity" else "cast(kept as int)"
+    right, every = got.selectExpr(f"sum(cast({said} = {column} as int))", "count(*)").first()
+    assert every > 50 and right / every > 0.9
+
+
 def test_brown_base_score_and_gain(spark, text):
     got = query(spark, "op4_brown_scoring").collect()
     words = {i: re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()) + [b"\n"] for i, t in text.items()}
@@ -133,7 +156,7 @@ def test_quality_orders_grades(spark):
     kinds = [lambda: "%%% $$$ &&& ###", lambda: "WORD!! AGAIN!!", lambda: "a calm sentence of words"]
     rows = [(k, " ".join(kinds[k % 3]() for _ in range(rng.randint(5, 30))), k % 3) for k in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
-    model = quality.fit(df.where("doc_id < 200"))
+    model = quality.fit(df.where("doc_id < 200"), df)
     got = df.where("doc_id >= 200").select("quality", model.score(F.col("text")).alias("s")).select("quality", "s.*").toPandas()
     assert (got["expected"].round() == got["quality"]).mean() > 0.95 and got["tail"].between(0, 1).all() and list(model.thresholds) == sorted(model.thresholds)
 

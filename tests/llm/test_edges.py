@@ -44,10 +44,10 @@ def test_html(spark):
 
 def test_toxicity(spark, docs, none):
     labels = spark.createDataFrame([(1, 1), (4, 0), (3, None), (99, 1)], "doc_id long, toxic int")
-    model = toxicity.fit_documents(docs, labels, F.lit(True), least_texts=1)
+    model = toxicity.fit(docs, labels, least_texts=1)
     scored = docs.select(model.score(F.col("text")).alias("s")).collect()
     assert len(scored) == 9 and all(0 <= r["s"] <= 1 for r in scored)
-    empty = toxicity.fit_documents(none, labels, F.lit(True))
+    empty = toxicity.fit(none, labels)
     assert docs.select(F.max(empty.score(F.col("text")))).first()[0] < 1e-9 and none.select(empty.score(F.col("text"))).count() == 0
 
 
