@@ -8,16 +8,18 @@ they are repeated.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeroframe.llm import decontaminate, minhash, packing, secrets, toxicity
-from aeroframe.llm.common import bound_batches, fold_of, materialize, table
+from aeroframe.llm.common import bound_batches, fold_of, materialize, settled, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects go."""
-    model = toxicity.fit_documents(docs, table(spark, sf_dir, "labels"), fold_of("doc_id", 5) != 0)
+    model = toxicity.fit(docs.where(fold_of("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
     bound_batches(spark)
     return docs.where(model.score(F.col("text")) < 0.5)
 
@@ -60,5 +62,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs = settled(spark, partial(stage, spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
