@@ -1,25 +1,31 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Benchmark passages become TF-IDF rows over their vocabulary (document counts
-   over the passages of a block). A randomised SVD finds the latent basis: Gaussian test
-   vectors are multiplied by the matrix and its transpose in Spark, each task
-   adding up the rows it holds, so that only word-by-rank blocks are exchanged.
-2. Every document is read whole, once per block of passages. Where it holds at
-   least as many of a passage's answer words close together as step 3 asks for
-   (so that nothing is lost), word vectors are summed over sliding windows
-   through prefix sums, and windows whose cosine to the passage reaches
-   ``cosine`` are candidates.
+1. Benchmark passages become TF-IDF rows over hashed words (``SLOTS`` slots, so
+   that no vocabulary grows with the benchmark). Document counts are over all
+   passages. A randomised SVD finds the latent basis: Gaussian test vectors are
+   multiplied by the matrix and its transpose in Spark, each task adding up the
+   rows it holds, so that only slot-by-rank blocks are exchanged.
+2. Every document is read whole. Word vectors are summed over sliding windows
+   through prefix sums, in window sizes that fit the passages' lengths, and each
+   window is compared with all passages of its size by one matrix product. The
+   cosine counts the window's whole TF-IDF norm, so that words outside the latent
+   space tell against it, and is relative to what the space holds of the passage.
+   Windows at or over ``cosine`` are the candidates; nothing else proposes any.
 3. A candidate is verified on the words: the longest common subsequence must
    cover ``lcs`` of the passage within a span of the document not much longer
-   than the passage, and of the passage's answer words (its rarest) ``answer``
-   must be inside that span.
-
-Passages are handled in blocks of at most ``block`` rows, so what is sent to the
-executors has a fixed bound however large the benchmark is.
-
-Edge cases: null and empty documents or passages match nothing; passages with
-fewer than ``least_words`` words are skipped; repeated rows are judged each on
-their own; an empty benchmark or corpus gives no rows; other columns are ignored.
+   than the passage, and the words inside that span must hold ``answer`` of the
+   passage's IDF weight; where passages come with an answer, as much of the
+   answer's words. A passage of fewer than ``least_words`` words must stand there
+   word for word.
+
+Counts, weights and basis belong to the whole benchmark, so a verdict does not
+depend on how passages are grouped. Up to ``block`` passages share one pass over
+the documents, which bounds what a task holds; a larger benchmark takes more.
+Comparing costs windows times passages of their size.
+
+Edge cases: null and empty documents or passages match nothing; repeated rows
+are judged each on their own; an empty benchmark or corpus gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +34,15 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aeroframe.llm.common import bound_batches, materialize
 from aeroframe.llm.minhash import row_hash
 
+SLOTS = 1 << 17
+
 
 def lcs_length(a: list, b: list) -> int:
     """Longest common subsequence, bit-parallel over ``a``."""
@@ -53,128 +62,179 @@ def _plain(text: str | None) -> list[str]:
     return [w for w in map(_strip, (text or "").lower().split()) if w]
 
 
+_OUTER = ".,;:!?\"'()[]{}<>|*#$%&-_/\\"
+
+
 def _strip(word: str) -> str:
-    return word.strip(".,;:!?\"'()[]{}<>|*#$%&-_/\\")
+    return word.strip(_OUTER)
+
+
+_hash = xxhash.xxh3_64_intdigest
+
+
+def slot_of(word: str) -> int:
+    return _hash(word.encode("utf-8", "surrogatepass")) % SLOTS
 
 
 class _Codes(dict):
-    """Raw word -> vocabulary number; -1 for words of punctuation alone."""
+    """Raw word -> row of its vector; the last row for words of no passage, -1 for
+    words of punctuation alone."""
 
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary = vocabulary
+    def __init__(self, slots: np.ndarray):
+        self.rows = {int(s): k for k, s in enumerate(slots)}
+        self.unseen = len(self.rows)
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 250_000:
+        if len(self) > 400_000:
             self.clear()
-        plain = _strip(word)
-        self[word] = out = self.vocabulary.get(plain, len(self.vocabulary)) if plain else -1
+        plain = word.strip(_OUTER)
+        # the hash of slot_of, without its call
+        slot = _hash(plain.encode("utf-8", "surrogatepass")) % SLOTS if plain else -1
+        self[word] = out = self.rows.get(slot, self.unseen) if plain else -1
         return out
 
 
-class Block:
-    """What a task needs of one block of passages."""
+class Space:
+    """Weights and latent basis of all passages, by used slot."""
+
+    def __init__(self, slots: np.ndarray, idf: np.ndarray, unseen: float, basis: np.ndarray):
+        self.slots, self.idf, self.unseen = slots, idf, unseen
+        # a word's latent vector, and the square of its weight for the norm; the last but one is for unknown words
+        # then one for no word at all
+        self.vectors = np.vstack([idf[:, None] * basis, np.zeros((2, basis.shape[1]))]).astype("f4")
+        self.squares = np.append(idf, [unseen, 0.0]) ** 2  # an unknown word counts as an average one
 
-    STRETCH = 50_000
+    def weight(self, word: str) -> float:
+        at = np.searchsorted(self.slots, slot_of(word))
+        return float(self.idf[at])
 
-    def __init__(self, items: list[tuple[str | None, list[str]]], vocabulary: dict[str, int], idf: np.ndarray, basis: np.ndarray, answers: int, answer: float):
-        self.ids = [i for i, _ in items]
-        self.words = [w for _, w in items]
-        self.vocabulary = vocabulary
-        # a word's latent vector, and the square of its weight for the norm; the last row is for unknown words
-        self.vectors = np.vstack([idf[:, None] * basis, np.zeros((1, basis.shape[1]))]).astype("f4")
-        rows = np.zeros((len(items), basis.shape[1]), "f4")
+
+class Block:
+    """Passages that share a pass, by window size."""
+
+    STRETCH, CELL, PRODUCT = 16_384, 4, 4_000_000
+
+    def __init__(self, items: list[tuple[str | None, list[str], list[str]]], space: Space, least_words: int):
+        self.ids = [i for i, _, _ in items]
+        self.words = [w for _, w, _ in items]
+        self.answers = [set(a) for _, _, a in items]
+        self.space, self._coded = space, None
+        self.whole = np.array([len(w) < least_words for w in self.words])
+        self.counts = [Counter(words) for words in self.words]
+        self.weights = [{w: space.weight(w) for w in set(words)} for words in self.words]
+        codes = _Codes(space.slots)
+        self.coded = [Counter(codes[w] for w in words) for words in self.words]
+        rows, norms = np.zeros((len(items), space.vectors.shape[1])), np.zeros(len(items))
         for r, words in enumerate(self.words):
-            for w in words:
-                rows[r] += self.vectors[vocabulary[w]]
-        self.items = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-        self.lengths = np.array([len(w) for w in self.words])
-        self.rare = [
-            set(sorted(set(w), key=lambda x: (-idf[vocabulary[x]], x))[:answers]) for w in self.words
-        ]
-        self.answer = answer
-        self._coded = None
-        self.sizes = self._sizes()
-        # what lies in the span that a window is checked in: the window and half a passage on either side
-        self.spans = self.sizes + 2 * (self.lengths // 2) + 1
-        self.needs = np.array([max(1, int(np.ceil(answer * len(r)))) for r in self.rare])
-        # passages by answer word
-        owned = sorted((vocabulary[w], k) for k, rare in enumerate(self.rare) for w in rare)
-        words = np.array([w for w, _ in owned])
-        self.owners = np.array([k for _, k in owned])
-        self.starts = np.searchsorted(words, np.arange(len(vocabulary) + 1), "left")
-        self.ends = np.searchsorted(words, np.arange(len(vocabulary) + 1), "right")
-        self.is_answer = self.ends > self.starts
+            rows[r] = space.vectors[[codes[w] for w in words]].sum(axis=0)
+            norms[r] = np.sqrt(sum((n * self.weights[r][w]) ** 2 for w, n in self.counts[r].items()))
+        # unit vectors over the share of the passage that the space holds: the passage itself has cosine 1
+        held = np.maximum(np.linalg.norm(rows, axis=1), 1e-9)
+        self.items = (rows / held[:, None] * (norms / held)[:, None]).astype("f4")
+        # windows are laid in cells of ``g`` words: a passage's length and one cell more, so
+        # that one covers it wherever it starts; long ones in powers of the fourth root of two
+        self.tiers: dict[int, dict[int, list[int]]] = {}
+        for k, n in enumerate(map(len, self.words)):
+            g = self.CELL if n >= 12 else 2 if n >= 8 else 1
+            m = -(-n // g) + 1
+            m = m if m <= 8 else int(np.ceil(2 ** (np.ceil(4 * np.log2(m)) / 4)))
+            self.tiers.setdefault(g, {}).setdefault(m, []).append(k)
 
     def codes(self, text: str | None) -> np.ndarray:
-        """Vocabulary numbers of the words of ``_plain``; unknown ones are the last number."""
+        """Vector rows of the words of ``_plain``."""
+        if self._coded is None:
+            self._coded = _Codes(self.space.slots)
         words = (text or "").lower().split()
-        at = np.fromiter(map(self._codes().__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self._coded.__getitem__, words), np.int64, len(words))
         return at[at >= 0]
 
-    def _codes(self) -> "_Codes":
-        if self._coded is None:
-            self._coded = _Codes(self.vocabulary)
-        return self._coded
-
     def __getstate__(self):
         return self.__dict__ | {"_coded": None}
 
-    def regions(self, at: np.ndarray) -> list[tuple[int, int, int]]:
-        """(passage, first, last word) of stretches that hold as many of a passage's
-        answer words, close enough together, as its check asks for."""
-        places = np.flatnonzero(self.is_answer[at])
-        if not len(places):
-            return []
-        word = at[places]
-        n = self.ends[word] - self.starts[word]
-        key_item = self.owners[np.repeat(self.starts[word], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        key_place = np.repeat(places, n)
-        order = np.lexsort((key_place, key_item))
-        item, place = key_item[order], key_place[order]
-        out = []
-        for need in np.unique(self.needs):
-            last = np.arange(need - 1, len(item))
-            first = last - (need - 1)
-            fits = (item[first] == item[last]) & (self.needs[item[first]] == need) & (place[last] - place[first] < self.spans[item[first]])
-            out += [(int(item[k]), int(place[k]), int(place[k + need - 1])) for k in first[fits]]
-        return out
-
-    def candidates(self, at: np.ndarray, cosine: float) -> dict[int, list[tuple[float, int, int]]]:
-        """Passage -> (cosine, start, end) of its windows at or over ``cosine``, best first."""
-        found: dict[int, set] = {}
-        done: dict[int, int] = {}
-        for k, first, last in sorted(self.regions(at)):
-            size = int(self.sizes[k])
-            lo = max(0, first - int(self.spans[k]), done.get(k, 0))
-            hi = min(len(at), last + int(self.spans[k]))
-            done[k] = max(done.get(k, 0), hi - size)
-            for base in range(lo, hi, self.STRETCH):
-                part = at[base : min(hi, base + self.STRETCH + size)]
-                sums = np.zeros((len(part) + 1, self.vectors.shape[1]))
-                np.cumsum(self.vectors[part], axis=0, out=sums[1:])
-                s = np.arange(0, max(1, len(part) - size // 2), max(1, size // 8))
-                e = np.minimum(s + size, len(part))
-                window = sums[e] - sums[s]
-                close = window @ self.items[k] / np.maximum(np.linalg.norm(window, axis=1), 1e-6)
-                for i in np.flatnonzero(close >= cosine):
-                    found.setdefault(k, set()).add((float(close[i]), base + int(s[i]), base + int(e[i])))
-        return {k: sorted(v, reverse=True) for k, v in found.items()}
-
-    def _sizes(self) -> np.ndarray:
-        """Window sizes: passage lengths rounded up to a power of the square root of two."""
-        return np.ceil(2 ** (np.ceil(2 * np.log2(np.maximum(self.lengths, 8))) / 2)).astype(int)
-
-    def verify(self, words: list[str], found: dict[int, list[tuple[float, int, int]]], lcs: float):
+    def candidates(self, texts: list[np.ndarray], cosine: float) -> list[dict[int, list[tuple[float, int, int]]]]:
+        """Per text: passage -> (cosine, start, end) of its windows at or over ``cosine``, best first.
+
+        Texts are taken together up to STRETCH words, longer ones in stretches
+        that overlap by the longest window."""
+        found: list[dict[int, list]] = [{} for _ in texts]
+        for g, windows in self.tiers.items():
+            longest, parts, size = g * max(windows), [], 0
+            for nth, at in enumerate(texts):
+                for base in range(0, len(at), self.STRETCH):
+                    part = at[base : base + self.STRETCH + longest]
+                    if size + len(part) > self.STRETCH + longest:
+                        self._search(parts, g, windows, cosine, found)
+                        parts, size = [], 0
+                    parts.append((nth, base, part))
+                    size += len(part)
+            if parts:
+                self._search(parts, g, windows, cosine, found)
+        return [{k: sorted(v, reverse=True) for k, v in f.items()} for f in found]
+
+    def _search(self, parts: list[tuple[int, int, np.ndarray]], g: int, windows: dict[int, list[int]], cosine: float, found: list[dict]) -> None:
+        """Windows of the parts (text, offset, words) against the passages of their size."""
+        most = max(windows)
+        cells = np.array([-(-len(p) // g) for _, _, p in parts])
+        firsts = np.cumsum(cells + most) - cells - most  # empty cells after each part keep parts apart
+        at = np.full(g * int((cells + most).sum()), len(self.space.squares) - 1, np.int64)
+        for first, (_, _, p) in zip(firsts, parts):
+            at[g * first : g * first + len(p)] = p
+        vectors, squares = self.space.vectors, self.space.squares
+        sums = np.zeros((len(at) // g + 1, vectors.shape[1]), "f4")
+        np.cumsum(vectors[at].reshape(-1, g, vectors.shape[1]).sum(axis=1), axis=0, out=sums[1:])
+        mass = np.concatenate([[0], np.cumsum(squares[at].reshape(-1, g).sum(axis=1))])
+        for m, items in windows.items():
+            step = max(1, m // 8)
+            window = sums[m::step] - sums[:-m:step]
+            # repeated words weigh more than the sum of squares tells, which the latent norm shows
+            norm = np.sqrt(np.maximum(np.maximum(mass[m::step] - mass[:-m:step], np.einsum("ij,ij->i", window, window)), 1e-6)).astype("f4")
+            mine = self.items[items].T
+            batch = max(1, self.PRODUCT // len(items))
+            for lo in range(0, len(window), batch):
+                close = (window[lo : lo + batch] @ mine) / norm[lo : lo + batch, None]
+                row, k = np.nonzero(close >= cosine)
+                if not len(row):
+                    continue
+                cos, cell = close[row, k], (lo + row) * step
+                part = np.searchsorted(firsts, cell, "right") - 1
+                # of windows that start within half a passage, the best one: its span holds what the others show
+                bins = (cell - firsts[part]) // max(1, int(m / (2 if m <= 8 else 2.4)))
+                order = np.lexsort((-cos, bins, k, part))
+                same = (np.diff(part[order]) == 0) & (np.diff(k[order]) == 0) & (np.diff(bins[order]) == 0)
+                best = order[np.concatenate([[True], ~same])]
+                for c, i, x, at_cell in zip(cos[best].tolist(), k[best].tolist(), part[best].tolist(), (cell - firsts[part])[best].tolist()):
+                    nth, base, p = parts[x]
+                    start, end = base + g * at_cell, base + min(g * (at_cell + m), len(p))
+                    if start < end:
+                        found[nth].setdefault(items[i], []).append((c, start, end))
+
+    def verify(self, text: str, at: np.ndarray, found: dict[int, list[tuple[float, int, int]]], lcs: float, answer: float):
+        """The best span of each passage that passes the word checks; ``at`` are the text's codes."""
+        words = None
         for k, windows in found.items():
-            item, rare, done, best = self.words[k], self.rare[k], [], None
+            item, weights, done, best = self.words[k], self.weights[k], [], None
             for cos, start, end in windows:
                 if any(a <= start and end <= b for a, b in done):
                     continue
-                a, b = max(0, start - len(item) // 2), min(len(words), end + len(item) // 2)
+                a, b = max(0, start - len(item) // 2), min(len(at), end + len(item) // 2)
                 done.append((a, b))
+                # codes tell most spans apart; only then the text is split into words
+                near = self.coded[k].keys() & at[a:b].tolist()
+                if sum(map(self.coded[k].__getitem__, near)) < lcs * len(item):
+                    continue
+                words = _plain(text) if words is None else words
                 span = words[a:b]
-                known = set(span)
-                if sum(min(n, m) for n, m in _overlap(item, span)) < lcs * len(item) or len(rare & known) < self.answer * len(rare):
+                if self.whole[k]:
+                    if any(span[i : i + len(item)] == item for i in range(len(span) - len(item) + 1)):
+                        best = (cos, 1.0, a, b)
+                        break
+                    continue
+                held = Counter(span)
+                if sum(min(n, held[w]) for w, n in self.counts[k].items()) < lcs * len(item):
+                    continue
+                if sum(x for w, x in weights.items() if w in held) < answer * sum(weights.values()):
+                    continue
+                if sum(w in held for w in self.answers[k]) < answer * len(self.answers[k]):
                     continue
                 share = lcs_length(item, span) / len(item)
                 if share >= lcs and (best is None or share > best[1]):
@@ -183,46 +243,51 @@ class Block:
                 yield self.ids[k], *best
 
 
-def _overlap(item: list[str], span: list[str]):
-    held = Counter(span)
-    return ((n, held[w]) for w, n in Counter(item).items())
-
-
-def latent_basis(passages: DataFrame, vocabulary: dict[str, int], idf: np.ndarray, rank: int, seed: int = 7, rounds: int = 2) -> np.ndarray:
-    """Right singular vectors (words x rank) of the passages' TF-IDF matrix.
+def latent_space(passages: DataFrame, rank: int, seed: int = 7, rounds: int = 2) -> Space | None:
+    """Document counts and right singular vectors (slots x rank) of all passages.
 
     Randomised range finder: ``rounds`` products with the transpose times the
-    matrix, each a pass over the passages in Spark.
+    matrix, each a pass over the passages in Spark. None without any word.
     """
-    n = len(vocabulary)
-    k = min(rank + 8, n)
-    y = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, k)))[0]
+
+    def slots(batches):
+        for b in batches:
+            seen = Counter(s for t in b["text"] for s in {slot_of(w) for w in _plain(t)})
+            yield pd.DataFrame({"slot": list(seen), "n": list(seen.values())}, dtype="int64")
+
+    counts = passages.mapInPandas(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas().sort_values("slot")
+    if not len(counts):
+        return None
+    total = passages.count()
+    used, idf = counts["slot"].to_numpy(), np.log((1 + total) / (1 + counts["n"].to_numpy())) + 1
+    k = min(rank + 8, len(used))
+    y = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(used), k)))[0]
     for _ in range(rounds):
-        y = np.linalg.qr(_gram(passages, vocabulary, idf, y))[0]
-    small = y.T @ _gram(passages, vocabulary, idf, y)
+        y = np.linalg.qr(_gram(passages, used, idf, y))[0]
+    small = y.T @ _gram(passages, used, idf, y)
     values, turn = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(-values)[: min(rank, k)]
-    return y @ turn[:, order[values[order] > 1e-9 * max(values.max(), 1e-9)]]
+    return Space(used, idf, float(np.average(idf, weights=counts["n"])), y @ turn[:, order[values[order] > 1e-9 * max(values.max(), 1e-9)]])
 
 
-def _gram(passages: DataFrame, vocabulary: dict[str, int], idf: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _gram(passages: DataFrame, used: np.ndarray, idf: np.ndarray, y: np.ndarray) -> np.ndarray:
     """A^T A y, summed over the passages where they are."""
-    shared = passages.sparkSession.sparkContext.broadcast((vocabulary, idf, y.astype("f4")))
+    shared = passages.sparkSession.sparkContext.broadcast((used, idf, y.astype("f4")))
 
     def run(batches):
-        vocab, weight, test = shared.value
+        slots, weight, test = shared.value
         out = np.zeros(test.shape)
         for b in batches:
             for text in b["text"]:
-                counts = Counter(w for w in _plain(text) if w in vocab)
-                at = np.array([vocab[w] for w in counts], int)
-                row = np.array(list(counts.values())) * weight[at]
+                own, n = np.unique(np.array([slot_of(w) for w in _plain(text)], np.int64), return_counts=True)
+                at = np.searchsorted(slots, own)
+                row = n * weight[at]
                 norm = np.linalg.norm(row)
                 if norm:
                     row = row / norm
                     out[at] += row[:, None] * (row @ test[at])
-        used = np.flatnonzero(out.any(axis=1))
-        yield pd.DataFrame(out[used], columns=names).assign(r=used)
+        rows = np.flatnonzero(out.any(axis=1))
+        yield pd.DataFrame(out[rows], columns=names).assign(r=rows)
 
     names = [f"v{c}" for c in range(y.shape[1])]
     rows = passages.mapInPandas(run, ", ".join(f"{c} double" for c in names) + ", r long")
@@ -235,8 +300,8 @@ def _gram(passages: DataFrame, vocabulary: dict[str, int], idf: np.ndarray, y: n
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", rank: int = 64, cosine: float = 0.55,
-    lcs: float = 0.6, answer: float = 0.5, answers: int = 6, least_words: int = 8, block: int = 1024,
+    item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, rank: int = 64, cosine: float = 0.55,
+    lcs: float = 0.6, answer: float = 0.5, least_words: int = 8, block: int = 16_384,
 ) -> DataFrame:
     """One row per document and passage found in it: id, item, cosine, lcs share, word span,
     and the document's row hash (of id and text)."""
@@ -244,32 +309,29 @@ def find_leaks(
     bound_batches(spark, 500)
     # ids cross to Python as text, since pandas would turn a batch with a null into floats
     texts = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"), row_hash(id_col, text_col).alias("row"))
-    schema = "doc_id string, item_id string, cosine double, lcs double, start_word long, end_word long, row long"
+    schema = "doc_id string, item_id string, cosine double, lcs double, start_word long, end_word long, row string"
+    told = F.lit("") if answer_col is None else F.coalesce(F.col(answer_col), F.lit(""))
     items = materialize(
-        benchmark.select(F.col(item_col).cast("long").cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
+        benchmark.select(F.col(item_col).cast("long").cast("string").alias("item_id"), F.col(item_text_col).alias("text"), told.alias("answer"))
         .where("text is not null").withColumn("nth", F.monotonically_increasing_id())
     )
-    parts = max(1, -(-items.count() // block))
+    space = latent_space(items.select("text"), rank)
+    parts = max(1, -(-items.count() // block)) if space else 0
     out = None
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("nth"), F.lit(parts)) == part)
-        held = [(r["item_id"], w) for r in rows.collect() if len(w := _plain(r["text"])) >= least_words]
+        held = [(r["item_id"], w, _plain(r["answer"])) for r in rows.collect() if (w := _plain(r["text"]))]
         if not held:
             continue
-        seen = Counter(w for _, words in held for w in set(words))
-        vocabulary = {w: k for k, w in enumerate(sorted(seen))}
-        idf = np.array([np.log((1 + len(held)) / (1 + seen[w])) + 1 for w in sorted(seen)])
-        basis = latent_basis(rows.select("text"), vocabulary, idf, rank)
-        shared = spark.sparkContext.broadcast(Block(held, vocabulary, idf, basis, answers, answer))
+        shared = spark.sparkContext.broadcast(Block(held, space, least_words))
 
         def run(batches, shared=shared):
             passages = shared.value
             for b in batches:
                 found = []
-                for doc, text, row in zip(b["doc_id"], b["text"], b["row"]):
-                    near = passages.candidates(passages.codes(text), cosine)
-                    if near:
-                        found += [(doc, *hit, row) for hit in passages.verify(_plain(text), near, lcs)]
+                coded = [passages.codes(t) for t in b["text"]]
+                for doc, text, row, at, near in zip(b["doc_id"], b["text"], b["row"], coded, passages.candidates(coded, cosine)):
+                    found += [(doc, *hit, row) for hit in passages.verify(text, at, near, lcs, answer)]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "cosine", "lcs", "start_word", "end_word", "row"])
 
         hits = texts.mapInPandas(run, schema)

@@ -1,8 +1,8 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-1. Signatures: a document's set of five-word shingles is hashed whole (its
-   class) and into 128 minima. Documents of one class are copies; only one
-   representative of a class takes part from here on.
+1. Signatures: a document's set of five-word shingles is digested whole (128 bits)
+   and into 128 minima. Documents of one digest are copies and form a class; only
+   one representative of a class takes part from here on.
 2. Bands of four minima give buckets. In each bucket every member is a candidate
    with four centres (smallest and largest class, and first and last by hash), so
    candidates grow with the members and never with their square.
@@ -76,9 +76,9 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
     return np.unique(_mix(out + np.uint64(n)))
 
 
-def class_of(found: np.ndarray) -> int | None:
-    """One 64-bit number for a shingle set; None for the empty set."""
-    return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None
+def digest_of(found: np.ndarray) -> bytes | None:
+    """128 bits for a shingle set; None for the empty set."""
+    return xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
 
 
 def signature(found: np.ndarray) -> bytes:
@@ -119,9 +119,10 @@ def _matrix(sigs) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, text: Column, *keep: str) -> DataFrame:
-    """docs -> keep columns, n_shingles, cls, sig. Long columns cross to Python as
+    """docs -> keep columns, n_shingles, digest, sig. Long columns cross to Python as
     text, since pandas would turn a batch with a null into floats."""
     rows = docs.select(*[F.col(c).cast("string") for c in keep], text.alias("_text"))
+    types = dict(docs.dtypes)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
 
     def run(batches):
@@ -129,11 +130,11 @@ def _signed(docs: DataFrame, text: Column, *keep: str) -> DataFrame:
             found = [shingles(t) for t in b["_text"]]
             out = b.drop(columns="_text")
             out["n_shingles"] = np.array([len(s) for s in found], np.int64)
-            out["cls"] = pd.array([class_of(s) for s in found], "Int64")
+            out["digest"] = [digest_of(s) for s in found]
             out["sig"] = [signature(s) if len(s) else None for s in found]
             yield out
 
-    return rows.mapInPandas(run, f"{schema}, n_shingles long, cls long, sig binary").withColumns({c: F.col(c).cast("long") for c in keep})
+    return rows.mapInPandas(run, f"{schema}, n_shingles long, digest binary, sig binary").withColumns({c: F.col(c).cast(types[c]) for c in keep})
 
 
 def _bayes(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float) -> DataFrame:
@@ -155,13 +156,13 @@ def _bayes(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float)
 
 def _sets(need: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(cls) -> (cls, set): full shingle sets, from the texts of the classes' rows."""
-    ids = classes.join(need.distinct(), "cls").select(F.col("row").alias("_row"), F.col("cls").alias("_cls"))
+    ids = classes.join(need.distinct(), "cls").select(F.col("row").alias("_row"), F.col("cls").alias("_cls"))  # one row a class
     texts = docs.select("_row", "_text").join(ids, "_row")
 
     def sets(batches):
         for b in batches:
             found = [shingles(t) for t in b["_text"]]
-            yield pd.DataFrame({"cls": b["_cls"], "set": [s.tobytes() for s in found]})[[class_of(s) == c for s, c in zip(found, b["_cls"])]]
+            yield pd.DataFrame({"cls": b["_cls"], "set": [s.tobytes() for s in found]})
 
     return texts.mapInPandas(sets, "cls long, set binary").dropDuplicates(["cls"])
 
@@ -239,8 +240,9 @@ def near_duplicates(
     docs = df.select(F.col(id_col).cast("long").alias("_key"), F.col(text_col).alias("_text")).withColumn("_row", row_hash("_key", "_text"))
     base = materialize(_signed(docs, F.col("_text"), "_key", "_row"))
     classes = materialize(
-        base.where("cls is not null").groupBy("cls").agg(
+        base.where("digest is not null").groupBy("digest").agg(
             F.min("_key").alias("key"), F.min("_row").alias("row"), F.any_value("sig").alias("sig"), F.any_value("n_shingles").alias("n_shingles"))
+        .withColumn("cls", F.monotonically_increasing_id())
     )
     starts = F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1))
     banded = classes.select("cls", F.explode(F.transform(
@@ -276,25 +278,26 @@ def near_duplicates(
     # members of a label are connected by its smallest class
     links = labels.select(F.col("cls").alias("u"), F.col("label").alias("v")).unionByName(more)
     labels = connected_components(links).toDF("cls", "label")
-    known = classes.select("cls", "key").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    known = classes.select("digest", "cls", "key").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = known.groupBy("label").agg(F.min("key").alias("component_id"))
-    named = known.join(smallest, "label").select("cls", "label", "component_id")
-    out = base.drop("sig").join(named, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("_key")).otherwise(F.col("component_id"))
+    named = known.join(smallest, "label").select("digest", "label", "component_id")
+    out = base.drop("sig").join(named, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("_key")).otherwise(F.col("component_id"))
     return out.select(
         F.col("_key").alias(id_col), "n_shingles", component.alias("component_id"), F.col("_key").eqNullSafe(component).alias("kept"),
         F.col("_row").alias("row"), F.col("label").alias("group"))
 
 
 def row_hash(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+    """128 bits of a row's id and text, nulls apart from empty texts."""
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("-")), F.when(F.col(text_col).isNull(), "n").otherwise(F.concat(F.lit("t"), F.col(text_col)))))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """The rows of ``df`` without near duplicates: of each group the one with the
     smallest id stays (of equal ids, one), and of rows equal in id and text, one."""
     found = materialize(near_duplicates(df, id_col, text_col, percent).select("kept", "row", "group"))
-    chosen = found.where("kept").groupBy(F.coalesce("group", "row")).agg(F.min("row").alias("_row")).select("_row")
+    chosen = found.where("kept").groupBy(F.coalesce(F.col("group").cast("string"), "row")).agg(F.min("row").alias("_row")).select("_row")
     rows = df.withColumn("_row", row_hash(id_col, text_col)).join(chosen, "_row", "left_semi")
     if not found.groupBy("row").count().where("count > 1").isEmpty():
         rows = rows.dropDuplicates(["_row"])

@@ -16,6 +16,7 @@ import __spark_entry__
 from aeroframe.llm import brown, chat, common, decontaminate, html, minhash, packing, quality, secrets, toxicity, vectors
 
 SF = "/root/testdata/sf0.001"
+PROSE = "one two three four five six seven eight nine ten eleven twelve"
 
 
 @pytest.fixture(scope="module")
@@ -174,6 +175,53 @@ def test_leaks_and_paraphrases(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 3), (2, 5)}
 
 
+def _bench(spark, items):
+    return spark.createDataFrame(items, "item_id long, text string")
+
+
+def test_leaks_without_the_rarest_words_and_short_passages(spark):
+    """34 of 40 words without the six rarest; passages of few words stand word for word."""
+    rng = random.Random(9)
+    common, rare = [f"c{k}" for k in range(60)], [f"r{k}" for k in range(400)]
+    items = [(k, " ".join(rng.sample(common, 34) + rng.sample(rare, 6))) for k in range(40)] + [(90, "seven words stand here one by one"), (91, "yes indeed")]
+    kept = [w for w in items[4][1].split() if w.startswith("c")]
+    noise = lambda n: " ".join(f"n{rng.randint(0, 5000)}" for _ in range(n))
+    docs = [
+        (1, f"{noise(120)} {' '.join(kept)} {noise(77)}"), (2, f"{noise(33)} Seven words stand here, one by one. {noise(9)}"),
+        (3, f"{noise(33)} seven words stand one by one here {noise(9)}"), (4, noise(300)), (5, "well, yes indeed"), (6, items[7][1]),
+    ]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, _bench(spark, items)).collect()}
+    assert got == {(1, 4), (2, 90), (5, 91), (6, 7)}
+    # a verdict does not depend on how passages share passes, and the cosine decides who is a candidate
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, _bench(spark, items), block=7).collect()} == got
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, _bench(spark, items), cosine=0.95).collect()} < got
+
+
+def test_leaks_equal_brute_force(spark, text):
+    """Every span of every text against every passage, without retrieval."""
+    bench = {r["item_id"]: decontaminate._plain(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    sure, never = set(), set()
+    for i, t in text.items():
+        words = decontaminate._plain(t)
+        for k, item in bench.items():
+            n, best = len(item), 0.0
+            known = set(item)
+            for at in range(0, max(1, len(words) - n // 2), max(1, n // 4)):
+                span = words[at : at + n + n // 2]
+                if sum(w in known for w in span) >= 0.5 * n:
+                    best = max(best, decontaminate.lcs_length(item, span) / n)
+            (sure if best >= 0.75 else never if best < 0.5 else set()).add((i, k))
+    got = {(r["doc_id"], r["item_id"]) for r in query(spark, "op7_decontamination").collect()}
+    assert sure and sure <= got and not got & never
+
+
+def test_answers_are_checked(spark):
+    docs = spark.createDataFrame([(1, f"{PROSE} quite otherwise"), (2, f"{PROSE} unknown")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, PROSE, "Quite otherwise.")], "item_id long, text string, answer string")
+    assert {r["doc_id"] for r in decontaminate.find_leaks(docs, bench, answer_col="answer").collect()} == {1}
+
+
 def test_longest_common_subsequence():
     rng = random.Random(4)
     for _ in range(50):
