@@ -131,14 +131,16 @@ class Block:
         # unit vectors over the share of the passage that the space holds: the passage itself has cosine 1
         held = np.maximum(np.linalg.norm(rows, axis=1), 1e-9)
         self.items = (rows / held[:, None] * (norms / held)[:, None]).astype("f4")
-        # windows are laid in cells of ``g`` words: a passage's length and one cell more, so
-        # that one covers it wherever it starts; long ones in powers of the fourth root of two
-        self.tiers: dict[int, dict[int, list[int]]] = {}
+        # windows are laid in cells of ``g`` words, every ``step`` cells: a passage's length (long
+        # ones in powers of the fourth root of two) and a step more, so that one covers it
+        # wherever it starts
+        self.tiers: dict[int, dict[tuple[int, int], list[int]]] = {}
         for k, n in enumerate(map(len, self.words)):
             g = self.CELL if n >= 12 else 2 if n >= 8 else 1
-            m = -(-n // g) + 1
+            m = -(-n // g)
             m = m if m <= 8 else int(np.ceil(2 ** (np.ceil(4 * np.log2(m)) / 4)))
-            self.tiers.setdefault(g, {}).setdefault(m, []).append(k)
+            step = max(1, m // 4)
+            self.tiers.setdefault(g, {}).setdefault((m + step, step), []).append(k)
 
     def codes(self, text: str | None) -> np.ndarray:
         """Vector rows of the words of ``_plain``."""
@@ -158,7 +160,7 @@ class Block:
         that overlap by the longest window."""
         found: list[dict[int, list]] = [{} for _ in texts]
         for g, windows in self.tiers.items():
-            longest, parts, size = g * max(windows), [], 0
+            longest, parts, size = g * max(windows)[0], [], 0
             for nth, at in enumerate(texts):
                 for base in range(0, len(at), self.STRETCH):
                     part = at[base : base + self.STRETCH + longest]
@@ -171,9 +173,9 @@ class Block:
                 self._search(parts, g, windows, cosine, found)
         return [{k: sorted(v, reverse=True) for k, v in f.items()} for f in found]
 
-    def _search(self, parts: list[tuple[int, int, np.ndarray]], g: int, windows: dict[int, list[int]], cosine: float, found: list[dict]) -> None:
+    def _search(self, parts: list[tuple[int, int, np.ndarray]], g: int, windows: dict[tuple[int, int], list[int]], cosine: float, found: list[dict]) -> None:
         """Windows of the parts (text, offset, words) against the passages of their size."""
-        most = max(windows)
+        most = max(windows)[0]
         cells = np.array([-(-len(p) // g) for _, _, p in parts])
         firsts = np.cumsum(cells + most) - cells - most  # empty cells after each part keep parts apart
         at = np.full(g * int((cells + most).sum()), len(self.space.squares) - 1, np.int64)
@@ -181,10 +183,9 @@ class Block:
             at[g * first : g * first + len(p)] = p
         vectors, squares = self.space.vectors, self.space.squares
         sums = np.zeros((len(at) // g + 1, vectors.shape[1]), "f4")
-        np.cumsum(vectors[at].reshape(-1, g, vectors.shape[1]).sum(axis=1), axis=0, out=sums[1:])
+        np.cumsum(sum(vectors.take(at[x::g], axis=0) for x in range(g)), axis=0, out=sums[1:])
         mass = np.concatenate([[0], np.cumsum(squares[at].reshape(-1, g).sum(axis=1))])
-        for m, items in windows.items():
-            step = max(1, m // 8)
+        for (m, step), items in windows.items():
             window = sums[m::step] - sums[:-m:step]
             # repeated words weigh more than the sum of squares tells, which the latent norm shows
             norm = np.sqrt(np.maximum(np.maximum(mass[m::step] - mass[:-m:step], np.einsum("ij,ij->i", window, window)), 1e-6)).astype("f4")
@@ -198,7 +199,7 @@ class Block:
                 cos, cell = close[row, k], (lo + row) * step
                 part = np.searchsorted(firsts, cell, "right") - 1
                 # of windows that start within half a passage, the best one: its span holds what the others show
-                bins = (cell - firsts[part]) // max(1, int(m / (2 if m <= 8 else 2.4)))
+                bins = (cell - firsts[part]) // max(1, (m - step) // 2)
                 order = np.lexsort((-cos, bins, k, part))
                 same = (np.diff(part[order]) == 0) & (np.diff(k[order]) == 0) & (np.diff(bins[order]) == 0)
                 best = order[np.concatenate([[True], ~same])]
@@ -300,7 +301,7 @@ def _gram(passages: DataFrame, used: np.ndarray, idf: np.ndarray, y: np.ndarray)
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, rank: int = 64, cosine: float = 0.55,
+    item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, rank: int = 96, cosine: float = 0.5,
     lcs: float = 0.6, answer: float = 0.5, least_words: int = 8, block: int = 16_384,
 ) -> DataFrame:
     """One row per document and passage found in it: id, item, cosine, lcs share, word span,
