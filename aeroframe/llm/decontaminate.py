@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Benchmark passages become TF-IDF rows over hashed words (``SLOTS`` slots, so
-   that no vocabulary grows with the benchmark). Document counts are over all
-   passages. A randomised SVD finds the latent basis: Gaussian test vectors are
+   that the matrices do not grow with the benchmark; of its vocabulary, only a
+   word's slot is held). Document counts are over all passages. A randomised SVD finds the latent basis: Gaussian test vectors are
    multiplied by the matrix and its transpose in Spark, each task adding up the
    rows it holds, so that only slot-by-rank blocks are exchanged.
 2. Every document is read whole. Word vectors are summed over sliding windows
@@ -30,7 +30,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -57,56 +59,37 @@ def lcs_length(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
-def _plain(text: str | None) -> list[str]:
-    """Lower-case words without outer punctuation; words of punctuation alone go."""
-    return [w for w in map(_strip, (text or "").lower().split()) if w]
-
-
-_OUTER = ".,;:!?\"'()[]{}<>|*#$%&-_/\\"
-
+_WORD = re.compile(r"""[^\s.,;:!?"'()\[\]{}<>|*#$%&_/\\-]+""")
 
-def _strip(word: str) -> str:
-    return word.strip(_OUTER)
 
-
-_hash = xxhash.xxh3_64_intdigest
+def _plain(text: str | None) -> list[str]:
+    """Lower-case words between white space and punctuation."""
+    return _WORD.findall((text or "").lower())
 
 
 def slot_of(word: str) -> int:
-    return _hash(word.encode("utf-8", "surrogatepass")) % SLOTS
-
-
-class _Codes(dict):
-    """Raw word -> row of its vector; the last row for words of no passage, -1 for
-    words of punctuation alone."""
-
-    def __init__(self, slots: np.ndarray):
-        self.rows = {int(s): k for k, s in enumerate(slots)}
-        self.unseen = len(self.rows)
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        plain = word.strip(_OUTER)
-        # the hash of slot_of, without its call
-        slot = _hash(plain.encode("utf-8", "surrogatepass")) % SLOTS if plain else -1
-        self[word] = out = self.rows.get(slot, self.unseen) if plain else -1
-        return out
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % SLOTS
 
 
 class Space:
     """Weights and latent basis of all passages, by used slot."""
 
-    def __init__(self, slots: np.ndarray, idf: np.ndarray, unseen: float, basis: np.ndarray):
-        self.slots, self.idf, self.unseen = slots, idf, unseen
-        # a word's latent vector, and the square of its weight for the norm; the last but one is for unknown words
-        # then one for no word at all
+    def __init__(self, words: list[str], slots: np.ndarray, idf: np.ndarray, unseen: float, basis: np.ndarray):
+        self.idf = idf
+        self.rows = dict(zip(words, np.searchsorted(slots, [slot_of(w) for w in words]).tolist()))
+        # a slot's latent vector and the square of its weight; then a row for words of no passage,
+        # which count as average ones, and one for no word at all
         self.vectors = np.vstack([idf[:, None] * basis, np.zeros((2, basis.shape[1]))]).astype("f4")
-        self.squares = np.append(idf, [unseen, 0.0]) ** 2  # an unknown word counts as an average one
+        self.squares = np.append(idf, [unseen, 0.0]) ** 2
+        self.unseen = len(idf)
 
     def weight(self, word: str) -> float:
-        at = np.searchsorted(self.slots, slot_of(word))
-        return float(self.idf[at])
+        return float(self.idf[self.rows[word]])
+
+    def codes(self, text: str | None) -> np.ndarray:
+        """Rows of the words of ``_plain``."""
+        words = _plain(text)
+        return np.fromiter(map(self.rows.get, words, repeat(self.unseen)), np.int64, len(words))
 
 
 class Block:
@@ -118,15 +101,14 @@ class Block:
         self.ids = [i for i, _, _ in items]
         self.words = [w for _, w, _ in items]
         self.answers = [set(a) for _, _, a in items]
-        self.space, self._coded = space, None
+        self.space, self._members = space, {}
         self.whole = np.array([len(w) < least_words for w in self.words])
         self.counts = [Counter(words) for words in self.words]
         self.weights = [{w: space.weight(w) for w in set(words)} for words in self.words]
-        codes = _Codes(space.slots)
-        self.coded = [Counter(codes[w] for w in words) for words in self.words]
+        self.coded = [Counter(space.rows[w] for w in words) for words in self.words]
         rows, norms = np.zeros((len(items), space.vectors.shape[1])), np.zeros(len(items))
         for r, words in enumerate(self.words):
-            rows[r] = space.vectors[[codes[w] for w in words]].sum(axis=0)
+            rows[r] = space.vectors[[space.rows[w] for w in words]].sum(axis=0)
             norms[r] = np.sqrt(sum((n * self.weights[r][w]) ** 2 for w, n in self.counts[r].items()))
         # unit vectors over the share of the passage that the space holds: the passage itself has cosine 1
         held = np.maximum(np.linalg.norm(rows, axis=1), 1e-9)
@@ -138,21 +120,10 @@ class Block:
         for k, n in enumerate(map(len, self.words)):
             g = self.CELL if n >= 12 else 2 if n >= 8 else 1
             m = -(-n // g)
-            m = m if m <= 8 else int(np.ceil(2 ** (np.ceil(4 * np.log2(m)) / 4)))
-            step = max(1, m // 4)
+            m = m if m <= 16 else int(np.ceil(2 ** (np.ceil(4 * np.log2(m)) / 4)))
+            step = max(1, m // 5)
             self.tiers.setdefault(g, {}).setdefault((m + step, step), []).append(k)
 
-    def codes(self, text: str | None) -> np.ndarray:
-        """Vector rows of the words of ``_plain``."""
-        if self._coded is None:
-            self._coded = _Codes(self.space.slots)
-        words = (text or "").lower().split()
-        at = np.fromiter(map(self._coded.__getitem__, words), np.int64, len(words))
-        return at[at >= 0]
-
-    def __getstate__(self):
-        return self.__dict__ | {"_coded": None}
-
     def candidates(self, texts: list[np.ndarray], cosine: float) -> list[dict[int, list[tuple[float, int, int]]]]:
         """Per text: passage -> (cosine, start, end) of its windows at or over ``cosine``, best first.
 
@@ -209,15 +180,30 @@ class Block:
                     if start < end:
                         found[nth].setdefault(items[i], []).append((c, start, end))
 
+    def _member(self, k: int) -> np.ndarray:
+        """Which rows are words of a passage."""
+        if k not in self._members:
+            if len(self._members) > 512:
+                self._members.clear()
+            self._members[k] = np.zeros(len(self.space.squares), bool)
+            self._members[k][list(self.coded[k])] = True
+        return self._members[k]
+
     def verify(self, text: str, at: np.ndarray, found: dict[int, list[tuple[float, int, int]]], lcs: float, answer: float):
         """The best span of each passage that passes the word checks; ``at`` are the text's codes."""
         words = None
         for k, windows in found.items():
             item, weights, done, best = self.words[k], self.weights[k], [], None
-            for cos, start, end in windows:
+            # no common subsequence is longer than the passage's words inside the span
+            inside = np.zeros(len(at) + 1, np.int32)
+            np.cumsum(self._member(k)[at], out=inside[1:])
+            spans = np.array([(max(0, start - len(item) // 2), end + len(item) // 2) for _, start, end in windows])
+            np.minimum(spans, len(at), out=spans)
+            for nth in np.flatnonzero(inside[spans[:, 1]] - inside[spans[:, 0]] >= lcs * len(item)).tolist():
+                cos, start, end = windows[nth]
                 if any(a <= start and end <= b for a, b in done):
                     continue
-                a, b = max(0, start - len(item) // 2), min(len(at), end + len(item) // 2)
+                a, b = spans[nth].tolist()
                 done.append((a, b))
                 # codes tell most spans apart; only then the text is split into words
                 near = self.coded[k].keys() & at[a:b].tolist()
@@ -251,16 +237,18 @@ def latent_space(passages: DataFrame, rank: int, seed: int = 7, rounds: int = 2)
     matrix, each a pass over the passages in Spark. None without any word.
     """
 
-    def slots(batches):
+    def words(batches):
         for b in batches:
-            seen = Counter(s for t in b["text"] for s in {slot_of(w) for w in _plain(t)})
-            yield pd.DataFrame({"slot": list(seen), "n": list(seen.values())}, dtype="int64")
+            seen = Counter(w for t in b["text"] for w in set(_plain(t)))
+            yield pd.DataFrame({"word": list(seen.keys()), "n": np.array(list(seen.values()), np.int64)}).astype({"word": object})
 
-    counts = passages.mapInPandas(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas().sort_values("slot")
+    counts = passages.mapInPandas(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
     if not len(counts):
         return None
     total = passages.count()
-    used, idf = counts["slot"].to_numpy(), np.log((1 + total) / (1 + counts["n"].to_numpy())) + 1
+    used, back = np.unique([slot_of(w) for w in counts["word"]], return_inverse=True)
+    n = np.bincount(back, counts["n"])
+    idf = np.log((1 + total) / (1 + np.minimum(n, total))) + 1
     k = min(rank + 8, len(used))
     y = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(used), k)))[0]
     for _ in range(rounds):
@@ -268,7 +256,7 @@ def latent_space(passages: DataFrame, rank: int, seed: int = 7, rounds: int = 2)
     small = y.T @ _gram(passages, used, idf, y)
     values, turn = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(-values)[: min(rank, k)]
-    return Space(used, idf, float(np.average(idf, weights=counts["n"])), y @ turn[:, order[values[order] > 1e-9 * max(values.max(), 1e-9)]])
+    return Space(counts["word"].tolist(), used, idf, float(np.average(idf, weights=n)), y @ turn[:, order[values[order] > 1e-9 * max(values.max(), 1e-9)]])
 
 
 def _gram(passages: DataFrame, used: np.ndarray, idf: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -330,7 +318,7 @@ def find_leaks(
             passages = shared.value
             for b in batches:
                 found = []
-                coded = [passages.codes(t) for t in b["text"]]
+                coded = [passages.space.codes(t) for t in b["text"]]
                 for doc, text, row, at, near in zip(b["doc_id"], b["text"], b["row"], coded, passages.candidates(coded, cosine)):
                     found += [(doc, *hit, row) for hit in passages.verify(text, at, near, lcs, answer)]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "cosine", "lcs", "start_word", "end_word", "row"])
