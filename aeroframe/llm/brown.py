@@ -1,24 +1,32 @@
 """Language-model scoring with Brown class n-grams.
 
 1. Words of all training texts are counted in Spark (by 64-bit hash).
-2. The ``head`` most frequent words are word types of their own; every other
-   word belongs to the type of its ending (one of ``endings``), so each word,
-   seen or not, has a type known from the word alone.
-3. Counts of adjacent types over all training texts are summed in Spark; exchange
-   clustering moves each type to the class that raises the likelihood most,
-   until nothing moves or ``passes`` are done.
-4. A text's probability is the product of class transitions, smoothed towards
-   the classes' own shares, and of emissions of words from their class, with
-   absolute discounting: the mass taken from seen words goes to an unseen word.
-
-Counts of the ``hot`` most frequent words travel with the scoring function; all
-others are joined by hash, so no word is dropped and nothing sent out grows with
-the corpus. A text's tokens are its words and one end.
+2. The ``head`` most frequent words are types of their own, and so is each of
+   ``endings`` groups of the other words by their last letters. Adjacent types
+   are counted over all training texts, and exchange clustering moves each type
+   to the class that raises the likelihood most, until nothing moves or
+   ``passes`` are done. Classes grow with the words seen often.
+3. Every other word seen at least ``least`` times is moved too, in one batch
+   exchange step in Spark: the classes of all its neighbours are summed, and it
+   goes to the class under which they are likeliest, given the classes of step 2.
+   Rarer and unseen words belong to the class of their ending. Any word thus has
+   a class, known from the counts and the word alone.
+4. Class transitions are counted anew over all training texts under these
+   classes, and smoothed towards the classes' own shares. Words are emitted from
+   their class with absolute discounting; the mass taken is spread evenly over
+   the unseen words that the class is expected to have: an estimate of all
+   unseen words from the words seen once and twice (n1^2 / 2 n2), dealt to the
+   classes by their words seen once. Transitions from a class, and emissions over
+   its seen and expected unseen words, each sum to one.
+
+Counts and classes of the ``hot`` most frequent words travel with the scoring
+function; all others are joined by hash, so no word is dropped and nothing sent
+out grows with the corpus. A text's tokens are its words and one end.
 
 Edge cases: a null or empty text is just the end; rows with a null id count as
 id '' when folds are dealt; repeated rows are counted and scored each on their
-own; without any training token every probability is that of an empty model
-(log10 1 for one unknown type); an empty input gives no rows.
+own; without any training token every word is unseen; an empty input gives no
+rows.
 """
 
 from __future__ import annotations
@@ -43,27 +51,11 @@ class _Hashes(dict):
         return h
 
 
-class _Types(dict):
-    """word -> type, for one head vocabulary."""
-
-    def __init__(self, head: dict[int, int], endings: int):
-        self.head, self.endings = head, endings
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = out = type_of(word, self.head, self.endings)
-        return out
-
-
 _HASHES = _Hashes()
 
 
-def type_of(word: bytes, head: dict[int, int], endings: int) -> int:
-    at = head.get(xxhash.xxh3_64_intdigest(word))
-    if at is None:
-        at = len(head) + xxhash.xxh3_64_intdigest(word.rstrip(b".,;:!?")[-3:]) % endings
-    return at
+def ending_of(word: bytes, endings: int) -> int:
+    return xxhash.xxh3_64_intdigest(word.rstrip(b".,;:!?")[-3:]) % endings
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -71,10 +63,21 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def _hashed(texts) -> tuple[np.ndarray, list[list[bytes]]]:
+def _hashed(texts, endings: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens a text, distinct words (signed hash, ending), and each token's place among them."""
     split = [tokens(t) for t in texts]
     flat = [w for ws in split for w in ws]
-    return np.fromiter(map(_HASHES.__getitem__, flat), np.uint64, len(flat)), split
+    h, at, back = np.unique(np.fromiter(map(_HASHES.__getitem__, flat), np.uint64, len(flat)), return_index=True, return_inverse=True)
+    ending = np.fromiter((ending_of(flat[i], endings) for i in at), np.int32, len(at))
+    return np.array([len(ws) for ws in split], np.int64), h.view(np.int64), ending, back
+
+
+def _place(sorted_h: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in a sorted table, whether it is there)."""
+    if not len(sorted_h):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(sorted_h, h), len(sorted_h) - 1)
+    return at, sorted_h[at] == h
 
 
 def count_words(texts: DataFrame, endings: int) -> DataFrame:
@@ -90,13 +93,10 @@ def count_words(texts: DataFrame, endings: int) -> DataFrame:
             return own, e[at], np.bincount(back, c).astype(np.int64)
 
         for b in batches:
-            hashes, split = _hashed(b["text"])
-            if not len(hashes):
+            n, own, e, back = _hashed(b["text"], endings)
+            if not len(n):
                 continue
-            own, at, c = np.unique(hashes, return_index=True, return_counts=True)
-            flat = [w for ws in split for w in ws]
-            e = np.fromiter((type_of(flat[i], {}, endings) for i in at), np.int32, len(at))
-            held.append((own, e, c))
+            held.append((own, e, np.bincount(back)))
             size += len(own)
             if size > _FLUSH:
                 held = [merged()]
@@ -114,33 +114,66 @@ def count_words(texts: DataFrame, endings: int) -> DataFrame:
     return texts.mapInPandas(run, "h long, ending int, c long").groupBy("h").agg(F.any_value("ending").alias("ending"), F.sum("c").alias("c"))
 
 
-def count_pairs(texts: DataFrame, head: dict[int, int], endings: int) -> np.ndarray:
-    """Counts of adjacent types over whole texts, each text opened by an end."""
+BITS = 24  # size of the filter of words that are moved in Spark, as a power of two
+
+
+def count_neighbours(texts: DataFrame, head: dict[int, int], endings: int, often: np.ndarray) -> DataFrame:
+    """(h, f, c): how often type f % types stands before (f < types) or after a word h
+    whose bit in ``often`` is set; for h null, f counts pairs of adjacent types. Texts
+    are whole, each opened by an end."""
     k = len(head) + endings
-    end = type_of(END, head, endings)
-    shared = texts.sparkSession.sparkContext.broadcast(head)
+    shared = texts.sparkSession.sparkContext.broadcast((*_sorted_head(head), often))
+    end = xxhash.xxh3_64_intdigest(END)
 
     def run(batches):
-        types, total = _Types(shared.value, endings), np.zeros(k * k, np.int64)
+        head_h, head_t, bits = shared.value
+        total = np.zeros(k * k, np.int64)
+        held, size = [], 0
+
+        def merged():
+            rows, c = np.concatenate([r for r, _ in held], axis=1), np.concatenate([c for _, c in held])
+            own, back = np.unique(rows, axis=1, return_inverse=True) if len(held) > 1 else (rows, np.arange(len(c)))
+            return pd.DataFrame({"h": pd.array(own[0], "Int64"), "f": own[1], "c": np.bincount(back.ravel(), c, own.shape[1]).astype(np.int64)})
+
         for b in batches:
-            split = [tokens(t) for t in b["text"]]
-            flat = [w for ws in split for w in ws]
-            if flat:
-                at = np.fromiter(map(types.__getitem__, flat), np.int64, len(flat))
-                # an end stands last in each text, and so before the next one's first word
-                before = np.concatenate([[end], at[:-1]])
-                own, c = np.unique(before * k + at, return_counts=True)
-                total[own] += c
+            n, own, ending, back = _hashed(b["text"], endings)
+            if not len(n):
+                continue
+            at, there = _place(head_h, own)
+            types = np.where(there, head_t[at] if len(head_t) else 0, len(head_h) + ending)
+            seq = types[back]
+            # an end stands last in each text, and so before the next one's first word
+            first = types[np.flatnonzero(own.view(np.uint64) == end)[0]]
+            before = np.concatenate([[first], seq[:-1]])
+            pair, c = np.unique(before * k + seq, return_counts=True)
+            total[pair] += c
+            slot = own.view(np.uint64) & np.uint64((1 << BITS) - 1)
+            mid = ~there & ((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+            mark = mid[back]
+            after = np.append(seq[1:], 0)
+            # distinct words of the batch and neighbours in one number, so that sorting is cheap
+            key = np.concatenate([back[mark] * (2 * k) + before[mark], back[mark] * (2 * k) + k + after[mark]])
+            key, c = np.unique(key, return_counts=True)
+            held.append((np.stack([own[key // (2 * k)], key % (2 * k)]), c))
+            size += len(c)
+            if size > _FLUSH:
+                yield merged()
+                held, size = [], 0
+        if held:
+            yield merged()
         own = np.flatnonzero(total)
         for lo in range(0, len(own), 100_000):
-            s = own[lo : lo + 100_000]
-            yield pd.DataFrame({"pair": s, "c": total[s]})
+            part = own[lo : lo + 100_000]
+            yield pd.DataFrame({"h": pd.array([None] * len(part), "Int64"), "f": part, "c": total[part]})
+
+    return texts.mapInPandas(run, "h long, f long, c long")
+
 
-    got = texts.mapInPandas(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
-    shared.unpersist()
-    out = np.zeros(k * k)
-    out[got.column("pair").to_numpy()] = got.column("c").to_numpy()
-    return out.reshape(k, k)
+def _sorted_head(head: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Signed hashes of the head in order, and their types."""
+    h = np.array(list(head), np.uint64).view(np.int64)
+    order = np.argsort(h, kind="stable")
+    return h[order], np.array(list(head.values()), np.int64)[order]
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -200,110 +233,202 @@ def exchange(pairs: np.ndarray, classes: int, passes: int = 12) -> np.ndarray:
 
 
 class Model:
-    """Everything a scoring task needs; its size is bounded by head, endings, classes and hot."""
-
-    def __init__(self, head, endings, own, pairs, words, vocab, total, types, discount, hot_h, hot_c):
-        self.head, self.endings, self.own = head, endings, own
-        self.total, self.types, self.discount = total, types, discount
-        self.hot_h, self.hot_c = hot_h, hot_c
-        classes = int(own.max()) + 1 if len(own) else 1
-        hot = np.zeros((len(own), classes))
-        hot[np.arange(len(own)), own] = 1
-        n = hot.T @ pairs @ hot
+    """Classes of types and hot words, emissions and (once counted) transitions; its size
+    is bounded by head, endings, classes and hot."""
+
+    def __init__(self, endings: int, ending_class: np.ndarray, classes: int, tokens_of, words_of, once_of, twice: float, hot: pd.DataFrame):
+        self.endings, self.ending_class, self.classes = endings, ending_class, classes
+        self.total, self.types = int(tokens_of.sum()), int(words_of.sum())
+        n1 = float(once_of.sum())
+        self.discount = min(0.95, max(0.1, n1 / (n1 + 2 * twice))) if n1 else 0.5
+        unseen = max(1.0, n1 * n1 / (2 * max(twice, 1.0)))
+        # words that a class is expected to have besides those seen, and the mass they share
+        self.unseen_words = np.maximum(1.0, unseen * (once_of + 1) / (n1 + classes))
+        self.unseen_mass = np.where(tokens_of > 0, self.discount * words_of / np.maximum(tokens_of, 1), 1.0)
+        self.unseen = np.log10(self.unseen_mass / self.unseen_words)
+        self.norm = np.log10(np.maximum(tokens_of, 1))
+        hot = hot.sort_values("h")
+        self.hot_h, self.hot_c, self.hot_class = (hot[x].to_numpy(np.int64) for x in ("h", "c", "cls"))
+        self.step = None
+
+    def emission(self, c: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """log10 of a word's probability in its class, given its count (0: unseen)."""
+        return np.where(c > 0, np.log10(np.maximum(c - self.discount, 1e-9)) - self.norm[cls], self.unseen[cls])
+
+    def set_transitions(self, n: np.ndarray) -> None:
         share = (n.sum(0) + 0.1) / (n.sum(0) + 0.1).sum()
         self.step = np.log10((n + 5.0 * share[None, :]) / (n.sum(1, keepdims=True) + 5.0))
-        self.words = np.maximum(hot.T @ words, 1e-9)  # tokens of a class
-        held = hot.T @ vocab  # distinct words of a class
-        # an unseen word: the discounted mass; a class without discount gets as much as one word would
-        self.unseen = np.log10(np.maximum(discount * held, 0.5))
-        self.norm = np.log10(np.maximum(self.words, 1))
-        self.end = type_of(END, head, endings)
 
 
-def fit(
-    train: DataFrame, text_col: str = "text", head: int = 1500, endings: int = 512, classes: int = 48, hot: int = 200_000,
+def fit_classes(
+    train: DataFrame, text_col: str = "text", head: int = 1500, endings: int = 512, classes: int | None = None, hot: int = 200_000, least: int = 5,
 ) -> tuple[Model, DataFrame]:
-    """-> the model and the table of all counts (h, ending, c)."""
+    """-> the model without transitions, and the table of all words (h, c, cls).
+
+    Unless ``classes`` is given, there are a quarter of the root of the number of
+    words seen ``least`` times, from 32 to 128."""
     spark = train.sparkSession
     bound_batches(spark)
     texts = train.select(F.col(text_col).alias("text"))
     counts = materialize(count_words(texts, endings))
-    tops = counts.select("h", "c").orderBy(F.desc("c"), "h").limit(hot).toArrow().to_pandas()
+    tops = counts.orderBy(F.desc("c"), "h").limit(hot).toArrow().to_pandas()
     in_head = {int(np.uint64(np.int64(h))): k for k, h in enumerate(tops["h"][:head])}
     listed = F.broadcast(spark.createDataFrame([(int(h), k) for k, h in enumerate(tops["h"][:head])], "h long, k int"))
-    sums = counts.join(listed, "h", "left").groupBy(F.coalesce(F.col("k"), F.col("ending") + F.lit(len(in_head))).alias("t")).agg(
-        F.sum("c").alias("c"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("int")).alias("n1"), F.sum((F.col("c") == 2).cast("int")).alias("n2")).toPandas()
+    moved = counts.where(F.col("c") >= least).join(listed, "h", "left_anti")
+    if classes is None:
+        classes = int(min(128, max(32, (moved.count() + len(in_head)) ** 0.5 / 4)))
+    low = F.col("h").bitwiseAND((1 << BITS) - 1)
+    words = moved.groupBy(F.shiftright(low, 3).alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), low.bitwiseAND(7).cast("int"))).alias("bits")).toArrow().to_pandas()
+    often = np.zeros(1 << BITS - 3, np.uint8)
+    often[words["byte"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     k = len(in_head) + endings
-    words, vocab = np.zeros(k), np.zeros(k)
-    words[sums["t"]], vocab[sums["t"]] = sums["c"], sums["v"]
-    n1, n2 = int(sums["n1"].sum()), int(sums["n2"].sum())
-    discount = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
-    pairs = count_pairs(texts, in_head, endings)
-    order = np.argsort(tops["h"].to_numpy(), kind="stable")
-    model = Model(in_head, endings, exchange(pairs, classes), pairs, words, vocab, int(words.sum()), int(vocab.sum()), discount,
-                  tops["h"].to_numpy(np.int64)[order], tops["c"].to_numpy(np.int64)[order])
-    return model, counts
-
-
-def score(df: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_tokens, n_known, base_score (add-one unigrams), score (log10)."""
+    near = materialize(count_neighbours(texts, in_head, endings, often))
+    got = near.where("h is null").groupBy("f").agg(F.sum("c").alias("c")).toArrow().to_pandas()
+    pairs = np.zeros(k * k)
+    pairs[got["f"].to_numpy(np.int64)] = got["c"]
+    pairs = pairs.reshape(k, k)
+    own = exchange(pairs, classes)
+    member = np.zeros((k, classes))
+    member[np.arange(k), own] = 1
+    n = member.T @ pairs @ member + 0.1
+    # columns of a word's neighbours: classes before it, then classes after it
+    table = np.vstack([np.log(n / n.sum(1, keepdims=True)), np.log(n / n.sum(1, keepdims=True)).T])
+
+    def likeliest(batches):
+        for b in batches:
+            x = np.zeros((len(b), 2 * classes))
+            at = np.repeat(np.arange(len(b)), [len(f) for f in b["f"]])
+            np.add.at(x, (at, np.concatenate(b["f"].to_numpy())), np.concatenate(b["c"].to_numpy()))
+            yield pd.DataFrame({"h": b["h"], "moved": (x @ table).argmax(axis=1)})
+
+    side = F.floor(F.col("f") / k)
+    class_of = F.get(F.array(*[F.lit(int(c)) for c in own]), F.pmod("f", F.lit(k)).cast("int"))
+    features = (
+        near.where("h is not null").select("h", (side * classes + class_of).cast("int").alias("f"), "c").repartition("h")
+        .groupBy("h", "f").agg(F.sum("c").alias("c")).groupBy("h").agg(F.collect_list("f").alias("f"), F.collect_list("c").alias("c"))
+    )
+    chosen = features.mapInPandas(likeliest, "h long, moved int")
+    by_type = lambda t: F.get(F.array(*[F.lit(int(c)) for c in own]), t.cast("int"))
+    plain = by_type(F.coalesce(F.col("k"), F.col("ending") + F.lit(len(in_head))))
+    placed = F.when(F.col("k").isNull() & (F.col("c") >= least), F.col("moved"))
+    table_of = materialize(counts.join(listed, "h", "left").join(chosen, "h", "left").select("h", "c", F.coalesce(placed, plain).cast("int").alias("cls")))
+    once = lambda c: F.sum((F.col("c") == c).cast("long"))
+    sums = table_of.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("v"), once(1).alias("n1"), once(2).alias("n2")).toPandas()
+    per = np.zeros((3, classes))
+    per[:, sums["cls"]] = sums[["c", "v", "n1"]].to_numpy().T
+    hot_rows = table_of.orderBy(F.desc("c"), "h").limit(hot).toArrow().to_pandas()
+    return Model(endings, own[len(in_head) :], classes, *per, float(sums["n2"].sum()), hot_rows), table_of
+
+
+def resolve(df: DataFrame, model: Model, words: DataFrame, text_col: str = "text", *keep: Column) -> DataFrame:
+    """Per row: ``keep``, n, known, plain (base score without its norm), emit, and seq, the
+    classes of all its tokens."""
     spark = df.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    # ids cross to Python as text, since pandas would turn a batch with a null into floats
-    rows = df.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("rid"))
+    rows = df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.monotonically_increasing_id().alias("rid"))
+    kept = [f for f in rows.schema if f.name != "_text"]
 
     def run(batches):
         m = shared.value
-        types = _Types(m.head, m.endings)
         for b in batches:
-            h, split = _hashed(b["text"])
-            n = np.array([len(ws) for ws in split])
-            at = m.own[np.fromiter((types[w] for ws in split for w in ws), np.int64, len(h))]
-            before = np.concatenate([[m.own[m.end]], at[:-1]])
-            h = h.astype(np.int64)
-            place = np.minimum(np.searchsorted(m.hot_h, h), max(len(m.hot_h) - 1, 0))
-            known = m.hot_h[place] == h if len(m.hot_h) else np.zeros(len(h), bool)
-            c = np.where(known, m.hot_c[place] if len(m.hot_c) else 0, 0)
+            n, own, ending, back = _hashed(b["_text"], m.endings)
+            place, known = _place(m.hot_h, own)
+            cls = np.where(known, m.hot_class[place] if len(m.hot_h) else 0, m.ending_class[ending] if len(own) else 0).astype(np.int64)
+            c = np.where(known, m.hot_c[place] if len(m.hot_h) else 0, 0)
             of = np.repeat(np.arange(len(n)), n)
-            local = m.step[before, at] - m.norm[at]
-            local[known] += np.log10(c[known] - m.discount)
-            plain = np.where(known, np.log10(c + 1.0), 0)
-            rare = ~known
-            key = np.stack([of[rare], h[rare], at[rare]])
-            own, tf = np.unique(key, axis=1, return_counts=True) if rare.any() else (np.empty((3, 0), np.int64), np.empty(0, np.int64))
-            cut = np.searchsorted(own[0], np.arange(len(n) + 1))
-            out = b[["doc_id", "rid"]].copy()
+            sums = lambda x: np.bincount(of, x[back], len(n))  # noqa: E731, B023
+            out = b.drop(columns="_text")
             out["n"] = n
-            out["known"] = np.bincount(of, known, len(n)).astype(np.int64)
-            out["plain"] = np.bincount(of, plain, len(n))
-            out["local"] = np.bincount(of, local, len(n))
-            out["h"] = [own[1, a:z] for a, z in zip(cut[:-1], cut[1:])]
-            out["cls"] = [own[2, a:z].astype(np.int32) for a, z in zip(cut[:-1], cut[1:])]
-            out["tf"] = [tf[a:z].astype(np.int32) for a, z in zip(cut[:-1], cut[1:])]
+            out["known"] = sums(known.astype(float)).astype(np.int64)
+            out["plain"] = sums(np.log10(c + 1.0))
+            out["emit"] = sums(np.where(known, m.emission(c, cls), 0.0))
+            cuts = np.concatenate([[0], np.cumsum(n)])
+            seq = cls[back].astype(np.int16)
+            out["seq"] = [seq[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:])]
+            asked = np.flatnonzero(~known[back])
+            parts = np.searchsorted(asked, cuts)
+            out["h"] = [own[back[asked[x:y]]] for x, y in zip(parts[:-1], parts[1:])]
+            out["pos"] = [(asked[x:y] - at).astype(np.int32) for x, y, at in zip(parts[:-1], parts[1:], cuts)]
             yield out
 
-    local = materialize(rows.mapInPandas(
-        run, "doc_id string, rid long, n long, known long, plain double, local double, h array<long>, cls array<int>, tf array<int>"))
-    rare = local.select("rid", F.explode(F.arrays_zip("h", "cls", "tf")).alias("w")).select("rid", "w.h", "w.cls", "w.tf")
-    unseen = F.get(F.array(*[F.lit(float(x)) for x in model.unseen]), F.col("cls"))
-    # words in the hot table never come here, and need not be joined
-    joined = rare.join(counts.select("h", "c"), "h", "left")
-    told = joined.groupBy("rid").agg(
-        F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("plain2"),
-        F.sum(F.col("tf") * F.when(F.col("c").isNull(), unseen).otherwise(F.log10(F.greatest(F.col("c") - model.discount, F.lit(0.05))))).alias("local2"),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("known2"),
-    )
-    zero = lambda c: F.coalesce(c, F.lit(0))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    local = materialize(rows.mapInPandas(run, f"{fields}, n long, known long, plain double, emit double, seq binary, h array<long>, pos array<int>"))
+    # words of the hot table never come here; of the others, those in the table bring count and class
+    asked = local.select("rid", F.explode(F.arrays_zip("h", "pos")).alias("w")).select("rid", "w.h", "w.pos")
+    told = asked.join(words, "h").groupBy("rid").agg(F.collect_list("pos").alias("at"), F.collect_list("c").alias("c"), F.collect_list("cls").alias("cls"))
+
+    def fill(batches):
+        m = shared.value
+        for b in batches:
+            known, plain, emit, seqs = [], [], [], []
+            for row in b.itertuples(index=False):
+                seq = np.frombuffer(row.seq, np.int16).copy()
+                pos, here = np.array(row.pos, np.int64), row.at is not None and len(row.at) > 0
+                c = np.zeros(len(seq), np.int64)
+                if here:
+                    c[np.array(row.at)] = row.c
+                    seq[np.array(row.at)] = row.cls
+                found = c[pos]
+                known.append(row.known + int((found > 0).sum()))
+                plain.append(row.plain + float(np.log10(found + 1.0).sum()))
+                emit.append(row.emit + float(m.emission(found, seq[pos].astype(np.int64)).sum()))
+                seqs.append(seq.tobytes())
+            yield b.drop(columns=["h", "pos", "at", "c", "cls"]).assign(known=known, plain=plain, emit=emit, seq=seqs)
+
+    joined = local.join(told, "rid", "left").select(*[f.name for f in kept], "n", "known", "plain", "emit", "seq", "h", "pos", "at", "c", "cls")
+    return joined.mapInPandas(fill, f"{fields}, n long, known long, plain double, emit double, seq binary")
+
+
+def count_transitions(rows: DataFrame, classes: int, end_class: int) -> np.ndarray:
+    """Adjacent classes of ``seq`` over all rows, each opened by an end."""
+
+    def run(batches):
+        total = np.zeros(classes * classes, np.int64)
+        for b in batches:
+            if len(b):
+                seq = np.frombuffer(b"".join(b["seq"]), np.int16).astype(np.int64)
+                own, c = np.unique(np.concatenate([[end_class], seq[:-1]]) * classes + seq, return_counts=True)
+                total[own] += c
+        yield pd.DataFrame({"pair": np.flatnonzero(total), "c": total[total > 0]})
+
+    got = rows.select("seq").mapInPandas(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
+    out = np.zeros(classes * classes)
+    out[got["pair"]] = got["c"]
+    return out.reshape(classes, classes)
+
+
+def end_class(model: Model) -> int:
+    """The class of a text's end, which is a hot word of any training set."""
+    place, known = _place(model.hot_h, np.array([xxhash.xxh3_64_intdigest(END)], np.uint64).view(np.int64))
+    return int(model.hot_class[place[0]]) if known[0] else int(model.ending_class[ending_of(END, model.endings)])
+
+
+def score(rows: DataFrame, model: Model, *keep: str) -> DataFrame:
+    """Resolved rows -> ``keep``, n_tokens, n_known, base_score (add-one unigrams), score (log10)."""
+    step, end = model.step, end_class(model)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
+
+    def run(batches):
+        for b in batches:
+            moves = []
+            for seq in b["seq"]:
+                seq = np.frombuffer(seq, np.int16)
+                moves.append(float(step[np.concatenate([[end], seq[:-1]]), seq].sum()))
+            yield b[[*keep, "n", "known", "plain", "emit"]].assign(moves=moves)
+
     floor = float(np.log10(model.total + model.types + 1))
-    return local.drop("h", "cls", "tf").join(told, "rid", "left").select(
-        F.col("doc_id").cast("long").alias(id_col), F.col("n").alias("n_tokens"), (F.col("known") + zero("known2")).cast("long").alias("n_known"),
-        (F.col("plain") + zero("plain2") - F.col("n") * F.lit(floor)).alias("base_score"), (F.col("local") + zero("local2")).alias("score"),
-    )
+    out = rows.mapInPandas(run, f"{fields}, n long, known long, plain double, emit double, moves double")
+    return out.select(*keep, F.col("n").alias("n_tokens"), F.col("known").alias("n_known"),
+                      (F.col("plain") - F.col("n") * F.lit(floor)).alias("base_score"), (F.col("emit") + F.col("moves")).alias("score"))
 
 
 def score_documents(df: DataFrame, train: Column, held_out: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Fit on the rows for which ``train`` holds and score all rows."""
-    model, counts = fit(df.where(train), text_col, **options)
-    return score(df, model, counts, id_col, text_col).select(
-        id_col, held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    model, words = fit_classes(df.where(train), text_col, **options)
+    # ids cross to Python as text, since pandas would turn a batch with a null into floats
+    rows = materialize(resolve(df, model, words, text_col, F.col(id_col).cast("long").cast("string").alias("_id"),
+                               F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(train, F.lit(False)).alias("_train")))
+    model.set_transitions(count_transitions(rows.where("_train"), model.classes, end_class(model)))
+    return score(rows, model, "_id", "held_out").select(
+        F.col("_id").cast("long").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -119,12 +119,64 @@ def test_exchange_finds_classes():
     assert len(set(own[:4])) == 1 and len(set(own[4:])) == 1 and own[0] != own[7]
 
 
-def test_class_model_is_a_distribution():
-    own, words, vocab = np.array([0, 1]), np.array([70.0, 30.0]), np.array([5.0, 3.0])
-    m = brown.Model({}, 2, own, np.array([[30.0, 40.0], [20.0, 10.0]]), words, vocab, 100, 8, 0.5, np.empty(0, np.int64), np.empty(0, np.int64))
-    assert (10**m.step).sum(axis=1) == pytest.approx([1, 1])
-    for k in range(2):
-        assert (words[k] - 0.5 * vocab[k]) / words[k] + 10 ** (m.unseen[k] - m.norm[k]) == pytest.approx(1)
+def _small_corpus(n=220, seed=11):
+    rng = random.Random(seed)
+    kinds = [[f"{c}{k}{e}" for k in range(14)] for c, e in (("d", "the"), ("n", "ing"), ("v", "ed"))]
+    pick = lambda ws: ws[min(int(rng.expovariate(0.4)), len(ws) - 1)]
+    return [(i, " ".join(pick(kinds[k % 3]) for k in range(rng.randint(3, 40))) + (f" odd{i}x" if i % 4 == 0 else "")) for i in range(n)]
+
+
+@pytest.mark.parametrize("hot", [5, 100_000])
+def test_brown_score_equals_brute_force(spark, hot):
+    """Transitions and emissions recomputed in plain Python under the model's classes;
+    with few hot words most counts and classes come by the join."""
+    import xxhash
+
+    rows = _small_corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    opts = dict(head=6, endings=8, classes=5, hot=hot, least=3)
+    model, words = brown.fit_classes(df.where("doc_id % 7 <> 2"), **opts)
+    known = {r["h"]: (r["c"], r["cls"]) for r in words.collect()}
+    code = lambda w: int(np.uint64(xxhash.xxh3_64_intdigest(w)).view(np.int64))
+    cls = lambda w: known[code(w)][1] if code(w) in known else int(model.ending_class[brown.ending_of(w, 8)])
+    split = {i: brown.tokens(t) for i, t in rows}
+    counts = collections.Counter(w for i, ws in split.items() if i % 7 != 2 for w in ws)
+    assert {code(w): c for w, c in counts.items()} == {h: c for h, (c, _) in known.items()}
+    n = np.zeros((5, 5))
+    for i, ws in split.items():
+        if i % 7 != 2:
+            for a, b in zip([brown.END, *ws], ws):
+                n[cls(a), cls(b)] += 1
+    share = (n.sum(0) + 0.1) / (n.sum(0) + 0.1).sum()
+    step = (n + 5 * share) / (n.sum(1, keepdims=True) + 5)
+    assert step.sum(axis=1) == pytest.approx(np.ones(5))
+    tokens, types, once = ([sum(f(c) for w, c in counts.items() if cls(w) == k) for k in range(5)] for f in (lambda c: c, lambda c: 1, lambda c: c == 1))
+    n1, n2 = sum(once), sum(c == 2 for c in counts.values())
+    d, unseen = min(0.95, max(0.1, n1 / (n1 + 2 * n2))), max(1, n1 * n1 / (2 * max(n2, 1)))
+    more = [max(1, unseen * (x + 1) / (n1 + 5)) for x in once]
+    mass = [d * v / t if t else 1 for v, t in zip(types, tokens)]
+
+    def emit(w):
+        return (counts[w] - d) / tokens[cls(w)] if w in counts else mass[cls(w)] / more[cls(w)]
+
+    # every class emits its seen words and as many unseen ones as are expected of it with probability one
+    for k in range(5):
+        assert sum(emit(w) for w in counts if cls(w) == k) + more[k] * mass[k] / more[k] == pytest.approx(1)
+    got = brown.score_documents(df, F.expr("doc_id % 7 <> 2"), F.expr("doc_id % 7 = 2"), **opts).collect()
+    for r in got:
+        ws = split[r["doc_id"]]
+        assert r["score"] == pytest.approx(sum(math.log10(step[cls(a), cls(b)] * emit(b)) for a, b in zip([brown.END, *ws], ws)))
+        assert r["n_known"] == sum(w in counts for w in ws) and r["held_out"] == (r["doc_id"] % 7 == 2)
+
+
+def test_invented_words_score_below_prose(spark):
+    rng = random.Random(13)
+    rows = _small_corpus()
+    junk = [(1000 + i, " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(20))) for i in range(10)]
+    df = spark.createDataFrame(rows + junk, "doc_id long, text string")
+    got = brown.score_documents(df, F.expr("doc_id % 7 <> 2 AND doc_id < 1000"), F.expr("doc_id % 7 = 2"), endings=16, classes=6, head=10).toPandas()
+    rate = got["score"] / got["n_tokens"]
+    assert rate[got["doc_id"] >= 1000].max() < rate[got["held_out"] & (got["doc_id"] < 1000)].min()
 
 
 def test_packing_ids_and_places(spark, text):
