@@ -6,11 +6,11 @@
    are counted over all training texts, and exchange clustering moves each type
    to the class that raises the likelihood most, until nothing moves or
    ``passes`` are done. Classes grow with the words seen often.
-3. Every other word seen at least ``least`` times is moved too, in one batch
-   exchange step in Spark: the classes of all its neighbours are summed, and it
-   goes to the class under which they are likeliest, given the classes of step 2.
-   Rarer and unseen words belong to the class of their ending. Any word thus has
-   a class, known from the counts and the word alone.
+3. Every other word seen at least ``least`` times is moved too, in one batch step
+   of predictive exchange in Spark: the classes of all words before it are summed,
+   and it goes to the class under which they are likeliest, given the classes of
+   step 2. Rarer and unseen words belong to the class of their ending. Any word
+   thus has a class, known from the counts and the word alone.
 4. Class transitions are counted anew over all training texts under these
    classes, and smoothed towards the classes' own shares. Words are emitted from
    their class with absolute discounting; the mass taken is spread evenly over
@@ -115,13 +115,15 @@ def count_words(texts: DataFrame, endings: int) -> DataFrame:
 
 
 BITS = 24  # size of the filter of words that are moved in Spark, as a power of two
+LOW = 12  # a word and the type before it share one number: the type takes the hash's lowest bits
 
 
 def count_neighbours(texts: DataFrame, head: dict[int, int], endings: int, often: np.ndarray) -> DataFrame:
-    """(h, f, c): how often type f % types stands before (f < types) or after a word h
-    whose bit in ``often`` is set; for h null, f counts pairs of adjacent types. Texts
-    are whole, each opened by an end."""
+    """(key, c) of all words whose bit in ``often`` is set and the types before them, and
+    (pair, c) of all adjacent types. Texts are whole, each opened by an end."""
     k = len(head) + endings
+    if k > 1 << LOW:
+        raise ValueError(f"head and endings exceed {1 << LOW} types")
     shared = texts.sparkSession.sparkContext.broadcast((*_sorted_head(head), often))
     end = xxhash.xxh3_64_intdigest(END)
 
@@ -131,9 +133,9 @@ def count_neighbours(texts: DataFrame, head: dict[int, int], endings: int, often
         held, size = [], 0
 
         def merged():
-            rows, c = np.concatenate([r for r, _ in held], axis=1), np.concatenate([c for _, c in held])
-            own, back = np.unique(rows, axis=1, return_inverse=True) if len(held) > 1 else (rows, np.arange(len(c)))
-            return pd.DataFrame({"h": pd.array(own[0], "Int64"), "f": own[1], "c": np.bincount(back.ravel(), c, own.shape[1]).astype(np.int64)})
+            key, c = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+            own, back = np.unique(key, return_inverse=True)
+            return pd.DataFrame({"key": own, "pair": np.full(len(own), -1), "c": np.bincount(back, c).astype(np.int64)})
 
         for b in batches:
             n, own, ending, back = _hashed(b["text"], endings)
@@ -145,16 +147,12 @@ def count_neighbours(texts: DataFrame, head: dict[int, int], endings: int, often
             # an end stands last in each text, and so before the next one's first word
             first = types[np.flatnonzero(own.view(np.uint64) == end)[0]]
             before = np.concatenate([[first], seq[:-1]])
-            pair, c = np.unique(before * k + seq, return_counts=True)
-            total[pair] += c
+            total += np.bincount(before * k + seq, minlength=k * k)
             slot = own.view(np.uint64) & np.uint64((1 << BITS) - 1)
-            mid = ~there & ((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-            mark = mid[back]
-            after = np.append(seq[1:], 0)
-            # distinct words of the batch and neighbours in one number, so that sorting is cheap
-            key = np.concatenate([back[mark] * (2 * k) + before[mark], back[mark] * (2 * k) + k + after[mark]])
-            key, c = np.unique(key, return_counts=True)
-            held.append((np.stack([own[key // (2 * k)], key % (2 * k)]), c))
+            mark = (~there & ((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool))[back]
+            # words of a batch are numbered, so that sorting is cheap
+            key, c = np.unique(back[mark] * k + before[mark], return_counts=True)
+            held.append(((own[key // k] & -(1 << LOW)) | (key % k), c))
             size += len(c)
             if size > _FLUSH:
                 yield merged()
@@ -164,9 +162,9 @@ def count_neighbours(texts: DataFrame, head: dict[int, int], endings: int, often
         own = np.flatnonzero(total)
         for lo in range(0, len(own), 100_000):
             part = own[lo : lo + 100_000]
-            yield pd.DataFrame({"h": pd.array([None] * len(part), "Int64"), "f": part, "c": total[part]})
+            yield pd.DataFrame({"key": np.zeros(len(part), np.int64), "pair": part, "c": total[part]})
 
-    return texts.mapInPandas(run, "h long, f long, c long")
+    return texts.mapInPandas(run, "key long, pair long, c long")
 
 
 def _sorted_head(head: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +259,7 @@ class Model:
 
 
 def fit_classes(
-    train: DataFrame, text_col: str = "text", head: int = 1500, endings: int = 512, classes: int | None = None, hot: int = 200_000, least: int = 5,
+    train: DataFrame, text_col: str = "text", head: int = 1500, endings: int = 512, classes: int | None = None, hot: int = 200_000, least: int = 10,
 ) -> tuple[Model, DataFrame]:
     """-> the model without transitions, and the table of all words (h, c, cls).
 
@@ -283,35 +281,35 @@ def fit_classes(
     often[words["byte"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     k = len(in_head) + endings
     near = materialize(count_neighbours(texts, in_head, endings, often))
-    got = near.where("h is null").groupBy("f").agg(F.sum("c").alias("c")).toArrow().to_pandas()
+    got = near.where("pair >= 0").groupBy("pair").agg(F.sum("c").alias("c")).toArrow().to_pandas()
     pairs = np.zeros(k * k)
-    pairs[got["f"].to_numpy(np.int64)] = got["c"]
+    pairs[got["pair"].to_numpy(np.int64)] = got["c"]
     pairs = pairs.reshape(k, k)
     own = exchange(pairs, classes)
     member = np.zeros((k, classes))
     member[np.arange(k), own] = 1
     n = member.T @ pairs @ member + 0.1
-    # columns of a word's neighbours: classes before it, then classes after it
-    table = np.vstack([np.log(n / n.sum(1, keepdims=True)), np.log(n / n.sum(1, keepdims=True)).T])
+    # how likely each class is to stand before a word of each class
+    table = np.log(n / n.sum(0))
 
     def likeliest(batches):
         for b in batches:
-            x = np.zeros((len(b), 2 * classes))
+            x = np.zeros((len(b), classes))
             at = np.repeat(np.arange(len(b)), [len(f) for f in b["f"]])
             np.add.at(x, (at, np.concatenate(b["f"].to_numpy())), np.concatenate(b["c"].to_numpy()))
-            yield pd.DataFrame({"h": b["h"], "moved": (x @ table).argmax(axis=1)})
+            yield pd.DataFrame({"top": b["top"], "moved": (x @ table).argmax(axis=1)})
 
-    side = F.floor(F.col("f") / k)
-    class_of = F.get(F.array(*[F.lit(int(c)) for c in own]), F.pmod("f", F.lit(k)).cast("int"))
+    top = lambda h: h.bitwiseAND(-(1 << LOW))
+    class_of = F.get(F.array(*[F.lit(int(c)) for c in own]), F.col("key").bitwiseAND((1 << LOW) - 1).cast("int"))
     features = (
-        near.where("h is not null").select("h", (side * classes + class_of).cast("int").alias("f"), "c").repartition("h")
-        .groupBy("h", "f").agg(F.sum("c").alias("c")).groupBy("h").agg(F.collect_list("f").alias("f"), F.collect_list("c").alias("c"))
+        near.where("pair < 0").select(top(F.col("key")).alias("top"), class_of.alias("f"), "c").repartition("top")
+        .groupBy("top", "f").agg(F.sum("c").alias("c")).groupBy("top").agg(F.collect_list("f").alias("f"), F.collect_list("c").alias("c"))
     )
-    chosen = features.mapInPandas(likeliest, "h long, moved int")
+    chosen = features.mapInPandas(likeliest, "top long, moved int")
     by_type = lambda t: F.get(F.array(*[F.lit(int(c)) for c in own]), t.cast("int"))
     plain = by_type(F.coalesce(F.col("k"), F.col("ending") + F.lit(len(in_head))))
     placed = F.when(F.col("k").isNull() & (F.col("c") >= least), F.col("moved"))
-    table_of = materialize(counts.join(listed, "h", "left").join(chosen, "h", "left").select("h", "c", F.coalesce(placed, plain).cast("int").alias("cls")))
+    table_of = materialize(counts.withColumn("top", top(F.col("h"))).join(listed, "h", "left").join(chosen, "top", "left").select("h", "c", F.coalesce(placed, plain).cast("int").alias("cls")))
     once = lambda c: F.sum((F.col("c") == c).cast("long"))
     sums = table_of.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("v"), once(1).alias("n1"), once(2).alias("n2")).toPandas()
     per = np.zeros((3, classes))
