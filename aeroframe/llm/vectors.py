@@ -1,19 +1,25 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
-1. Vectors that are equal to the last bit (of one label) form a class and are
-   handled once, with their number.
-2. Cluster centres are fitted on at most ``sample`` classes; every class goes to
-   its nearest centre (its home) and to all others within ``margin`` of it, so
-   shards overlap. A shard over ``block`` members is split by hash.
+1. Vectors that are equal to the last bit (of one label, by 128 bits of hash) form
+   a class and are handled once, with their number.
+2. Cluster centres are fitted on at most ``sample`` classes. The nearest centre is
+   a vector's home; it also enters every other shard whose border with its home is
+   no more than half the largest linked distance away. Of two linked vectors, at
+   least one so enters the home of the other: shards overlap as far as needed for
+   no link to be lost, and no further. A shard over ``block`` members is split by
+   hash.
 3. In each shard block a flat graph is built (nearest candidates, robust
    pruning); a node's adjacency lists from all blocks are united.
 4. Each home block of queries searches each member block of its shard: greedy
-   beam search from the medoid over the united lists, then range expansion along
-   nodes near the query. Hits are verified by cosine in double precision.
-5. A task holds the hits of every query against the exact similarities to all
-   its members, and takes those for each query whose hits are not complete.
-6. A task returns counts of linked vectors and a spanning forest of the links it
-   saw, at most one row per node; no list of all pairs is ever built.
+   beam search from the medoids of the graph's connected parts, then range
+   expansion along nodes near the query. Hits are verified by cosine in double
+   precision.
+5. Every query is audited: its hits are held against the exact similarities to all
+   members, and missing ones are added. ``n_found`` tells what the graph had found
+   alone, so recall (the sum of n_found over that of n_links) is measured over all
+   rows, not over a sample.
+6. A pair met in both homes counts in the one of the lower number. A task returns
+   counts and a spanning forest of the links it saw; no list of all pairs is built.
 
 Edge cases: null, empty and zero vectors and vectors with null or non-finite
 components link with nothing, as do those without a label; vectors of different
@@ -31,8 +37,6 @@ from pyspark.sql import functions as F
 
 from aeroframe.llm.common import connected_components, materialize
 
-_SLACK = 1e-12
-
 
 def robust_prune(near: np.ndarray, sims: np.ndarray, vectors: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """Neighbours (of one node, nearest first) that no kept neighbour covers."""
@@ -65,16 +69,40 @@ def build_graph(vectors: np.ndarray, degree: int = 24, candidates: int = 64, alp
     return [np.unique(np.array(x, np.int64)) for x in out]
 
 
-def greedy_search(queries: np.ndarray, vectors: np.ndarray, table: np.ndarray, start: int, beam: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+def entry_points(vectors: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The medoid of each connected part of a graph (adjacency rows padded with -1)."""
+    n = len(vectors)
+    near = np.where(table < 0, np.arange(n)[:, None], table)
+    part = np.arange(n)
+    while True:
+        low = np.minimum(part, part[near].min(axis=1))
+        np.minimum.at(low, near.ravel(), np.repeat(low, near.shape[1]))
+        low = low[low]
+        if (low == part).all():
+            break
+        part = low
+    names, of = np.unique(part, return_inverse=True)
+    means = np.zeros((len(names), vectors.shape[1]))
+    np.add.at(means, of, vectors)
+    close = np.einsum("nd,nd->n", vectors, means[of])
+    order = np.lexsort((-close, of))
+    return order[np.searchsorted(of[order], np.arange(len(names)))]
+
+
+def greedy_search(queries: np.ndarray, vectors: np.ndarray, table: np.ndarray, starts: np.ndarray, beam: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
     """Beam search of all queries at once -> (nodes, similarities), -1 where empty.
 
+    A query starts from the nearest of ``starts``, a quarter of its beam at most;
     ``table`` holds adjacency rows padded with -1.
     """
     q, width = len(queries), table.shape[1]
     nodes = np.full((q, beam), -1)
     sims = np.full((q, beam), -np.inf)
     done = np.zeros((q, beam), bool)
-    nodes[:, 0], sims[:, 0] = start, queries @ vectors[start]
+    m = min(len(starts), max(1, beam // 4))
+    close = queries @ vectors[starts].T
+    best = np.argpartition(-close, m - 1, axis=1)[:, :m]
+    nodes[:, :m], sims[:, :m] = starts[best], np.take_along_axis(close, best, 1)
     rows = np.arange(q)
     for _ in range(steps):
         score = np.where(done | (nodes < 0), -np.inf, sims)
@@ -161,26 +189,28 @@ def _fit_centres(sample: pd.DataFrame, sizes: dict, shard: int, most: int, seed:
 
 def near_duplicates(
     df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98,
-    margin: float = 0.12, shard: int = 1500, most_centres: int = 4096, block: int = 2048, sample: int = 20_000, beam: int = 48,
+    shard: int = 1500, most_centres: int = 16_384, block: int = 1024, sample: int = 65_536, beam: int = 48,
 ) -> DataFrame:
-    """One row per vector: id, n_links, component_id, kept."""
+    """One row per vector: id, n_links, component_id, kept, n_found."""
     rows = df.select(F.col(id_col).cast("long").alias("key"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     good = F.col("label").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     # by the larger component first, so that no square overflows
     most = F.array_max(F.transform("v", lambda x: F.abs(x)))
     scaled = F.transform("v", lambda x: x / F.col("most"))
-    rows = rows.withColumn("label", F.col("label").cast("string")).withColumn("cls", F.when(F.coalesce(good, F.lit(False)), F.xxhash64("label", "v")))
-    rows = materialize(rows)
-    valid = rows.where("cls is not null").groupBy("cls").agg(
+    rows = rows.withColumn("label", F.col("label").cast("string")).withColumn("good", F.coalesce(good, F.lit(False)))
+    rows = rows.withColumns({"a": F.when(F.col("good"), F.xxhash64("label", "v")), "b": F.when(F.col("good"), F.xxhash64(F.lit(1), "v", "label"))})
+    rows = materialize(rows.drop("good"))
+    valid = rows.where("a is not null").groupBy("a", "b").agg(
         F.any_value("label").alias("label"), F.any_value("v").alias("v"), F.min("key").alias("key"), F.count("*").alias("n"),
     ).withColumn("most", most)
     norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
     classes = materialize(valid.withColumn("norm", norm).select(
-        "cls", "label", F.size("v").alias("dim"), F.transform(scaled, lambda x: x / F.col("norm")).alias("unit"), "key", "n"))
+        F.monotonically_increasing_id().alias("cls"), "a", "b", "label", F.size("v").alias("dim"), F.transform(scaled, lambda x: x / F.col("norm")).alias("unit"), "key", "n"))
 
-    sizes = {(r["label"], r["dim"]): r["count"] for r in classes.groupBy("label", "dim").count().orderBy(F.desc("count")).limit(most_centres).collect()}
-    picked = classes.orderBy(F.xxhash64("cls")).limit(sample).select("label", "dim", "unit").toPandas()
+    sizes = {(r["label"], r["dim"]): r["count"] for r in classes.groupBy("label", "dim").count().orderBy(F.desc("count"), "label", "dim").limit(most_centres).collect()}
+    picked = classes.orderBy(F.xxhash64("a", "b")).limit(sample).select("label", "dim", "unit").toPandas()
     centres = df.sparkSession.sparkContext.broadcast(_fit_centres(picked, sizes, shard, most_centres))
+    half = (2 - 2 * cosine) ** 0.5 / 2 + 1e-9
 
     def assign(batches):
         for b in batches:
@@ -192,9 +222,10 @@ def near_duplicates(
                         shards[i] = [0]
                     continue
                 s = np.stack(b["unit"].to_numpy()[at]) @ c.T
+                apart = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))
                 for i, x in zip(at, s):
-                    homes[i] = int(x.argmax())
-                    shards[i] = np.flatnonzero(x >= x.max() - margin).tolist()
+                    homes[i] = home = int(x.argmax())
+                    shards[i] = np.flatnonzero(x >= x[home] - half * apart[home]).tolist()
             yield b.assign(shards=shards, home=homes)
 
     schema = "cls long, label string, dim int, unit array<double>, n long, shards array<int>, home int"
@@ -203,7 +234,7 @@ def near_duplicates(
     counts = members.groupBy("label", "dim", "shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     place = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     keys = ["label", "dim", "shard"]
-    held = dealt.select("cls", "label", "dim", "unit", "n", F.explode("shards").alias("shard"), "home").join(counts, keys)
+    held = dealt.select("cls", "label", "dim", "unit", "n", "shards", F.explode("shards").alias("shard"), "home").join(counts, keys)
 
     def graph(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["cls"].to_numpy()
@@ -214,49 +245,60 @@ def near_duplicates(
     united = materialize(lists.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
 
     whole = materialize(held.join(united, "cls"))
-    shown = whole.select("cls", "unit", "n", "near", *keys, place.alias("j"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(False).alias("asks"))
-    asked = whole.where("home = shard").select("cls", "unit", "n", F.array().cast("array<long>").alias("near"), *keys,
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    shown = whole.select("cls", "unit", "n", "near", none("int").alias("shards"), "home", *keys, place.alias("j"),
+                         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(False).alias("asks"))
+    asked = whole.where("home = shard").select("cls", "unit", "n", none("long").alias("near"), "shards", "home", *keys,
                                                F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), place.alias("i"), F.lit(True).alias("asks"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         m, q = pdf[~pdf["asks"]], pdf[pdf["asks"]]
-        empty = pd.DataFrame({"cls": [], "links": [], "other": []}, dtype="int64")
+        out = {"cls": [], "links": [], "found": [], "other": []}
         if not len(m) or not len(q):
-            return empty
-        ids, count = m["cls"].to_numpy(), m["n"].to_numpy()
+            return pd.DataFrame(out, dtype="int64")
+        own = int(pdf["shard"].iloc[0])
+        ids, count, home = m["cls"].to_numpy(), m["n"].to_numpy(), m["home"].to_numpy()
+        who, many, shards = q["cls"].to_numpy(), q["n"].to_numpy(), q["shards"].to_numpy()
         at = {c: k for k, c in enumerate(ids)}
         x, y = np.stack(m["unit"].to_numpy()), np.stack(q["unit"].to_numpy())
         table = _pad([np.array([at[c] for c in near if c in at], np.int64) for near in m["near"]])
-        medoid = int((x @ x.mean(axis=0)).argmax())
-        wide = 2 * cosine - 1
-        nodes = np.vstack([greedy_search(y[lo : lo + 512], x, table, medoid, min(beam, len(x)), 2 * beam)[0] for lo in range(0, len(y), 512)])
-
-        def hits(k: int) -> np.ndarray:
-            seeds = nodes[k][nodes[k] >= 0]
-            seeds = seeds[x[seeds] @ y[k] >= wide]
-            found = expand_range(y[k], seeds, x, table, wide)
-            return found[x[found] @ y[k] >= cosine - _SLACK]
-
-        found = [hits(k) for k in range(len(y))]
+        starts, wide = entry_points(x, table), 2 * cosine - 1
+        visits = np.zeros((len(ids), 2), np.int64)  # links and links found of members, seen from here
+        pairs = []
         for lo in range(0, len(y), 512):
-            for k, near in enumerate(y[lo : lo + 512] @ x.T >= cosine - _SLACK, lo):
-                true = np.flatnonzero(near)
-                if len(true) > len(np.intersect1d(true, found[k], assume_unique=True)):
-                    found[k] = true
-        who = q["cls"].to_numpy()
-        links = [int(count[f[ids[f] != c]].sum()) for f, c in zip(found, who)]
-        pairs = _forest([(int(c), int(o)) for f, c in zip(found, who) for o in ids[f] if o != c])
-        told = pd.DataFrame({"cls": who, "links": links, "other": None}).astype({"other": "Int64"})
-        edges = pd.DataFrame(pairs, columns=["cls", "other"], dtype="int64").assign(links=0).astype({"other": "Int64"})
-        return pd.concat([told[told["links"] > 0], edges])[["cls", "links", "other"]]
-
-    result = materialize(shown.unionByName(asked).groupBy(*keys, "i", "j").applyInPandas(search, "cls long, links long, other long"))
-    total = result.groupBy("cls").agg(F.sum("links").alias("links"))
+            nodes = greedy_search(y[lo : lo + 512], x, table, starts, min(beam, len(x)), 2 * beam)[0]
+            exact = y[lo : lo + 512] @ x.T >= cosine
+            for k, seeds in enumerate(nodes, lo):
+                seeds = seeds[seeds >= 0]
+                seeds = seeds[x[seeds] @ y[k] >= wide]
+                hit = np.zeros(len(ids), bool)
+                hit[expand_range(y[k], seeds, x, table, wide)] = True
+                true = np.flatnonzero(exact[k - lo] & (ids != who[k]))
+                # a visitor that has this vector for a visitor too counts in the lower home
+                true = true[~((home[true] < own) & np.isin(home[true], shards[k]))]
+                found = hit[true]
+                out["cls"].append(who[k])
+                out["links"].append(int(count[true].sum()))
+                out["found"].append(int(count[true[found]].sum()))
+                guests = home[true] != own
+                visits[true[guests], 0] += many[k]
+                visits[true[guests & found], 1] += many[k]
+                pairs += [(int(who[k]), int(o)) for o in ids[true]]
+            pairs = _forest(pairs)
+        told = pd.DataFrame(out | {"other": None})
+        seen = np.flatnonzero(visits[:, 0])
+        guests = pd.DataFrame({"cls": ids[seen], "links": visits[seen, 0], "found": visits[seen, 1], "other": None})
+        edges = pd.DataFrame(pairs, columns=["cls", "other"], dtype="int64").assign(links=0, found=0)
+        return pd.concat([f.astype({"other": "Int64"}) for f in (told[told["links"] > 0], guests, edges)])[["cls", "links", "found", "other"]]
+
+    result = materialize(shown.unionByName(asked).groupBy(*keys, "i", "j").applyInPandas(search, "cls long, links long, found long, other long"))
+    total = result.groupBy("cls").agg(F.sum("links").alias("links"), F.sum("found").alias("found"))
     edges = result.where("other is not null").select(F.col("cls").alias("u"), F.col("other").alias("v"))
-    named = classes.select("cls", "key", "n").join(connected_components(edges).toDF("cls", "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    named = classes.select("cls", "a", "b", "key", "n").join(connected_components(edges).toDF("cls", "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = named.groupBy("label").agg(F.min("key").alias("component"))
-    known = named.join(smallest, "label").join(total, "cls", "left").select("cls", "component", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
-    out = rows.select("key", "cls").join(known, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("key")).otherwise(F.col("component"))
+    more = lambda c: (F.coalesce(c, F.lit(0)) + F.col("n") - 1).alias(c)
+    known = named.join(smallest, "label").join(total, "cls", "left").select("a", "b", "component", more("links"), more("found"))
+    out = rows.select("key", "a", "b").join(known, ["a", "b"], "left")
+    component = F.when(F.col("a").isNull(), F.col("key")).otherwise(F.col("component"))
     return out.select(F.col("key").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-                      F.col("key").eqNullSafe(component).alias("kept"))
+                      F.col("key").eqNullSafe(component).alias("kept"), F.coalesce("found", F.lit(0)).cast("long").alias("n_found"))
