@@ -2,16 +2,18 @@
 
 Pass 1 parses each page into elements and text blocks; every element subtree
 outside the kept skeleton is hashed (tags and text), and Spark counts the
-different pages per (host, hash), combined before shuffling; copies count once. Subtrees that recur
-on at least ``least_pages`` pages of a host, and on at least ``least_share`` of
-its pages, are its template.
+different pages per (host, hash), combined before shuffling; copies count once.
+A subtree that recurs on at least ``least_pages`` pages of a host is its template.
+Subtrees inside an article, and single paragraphs, list items, cells and words
+anywhere, may recur as quoted or licence text does; they are the template only if
+they also recur on ``least_share`` of the host's pages.
 Pass 2 joins the blocks' subtree hashes with the templates and keeps the blocks
-of the article without any template ancestor. The whole html is read once; only
-hashes and text blocks are exchanged, and a hot host's rows are dealt by page.
+without any template ancestor. The whole html is read once; only hashes and text
+blocks are exchanged, and a hot host's rows are dealt by page.
 
-Elements that are never article text (navigation, headers and footers of the
-page, sidebars, notices, adverts, forms, scripts, styles, reader comments) go by
-tag, role, class and id. Where a page has an ``article`` or ``main``, only text
+What does not recur but is never article text (navigation, headers and footers of
+the page, sidebars, notices, adverts, forms, scripts, styles, reader comments)
+goes by tag, role, and whole class and id names. Where a page has an ``article`` or ``main``, only text
 inside it is taken.
 
 Edge cases: null or empty html gives an empty text; a page without a host is its
@@ -23,6 +25,7 @@ apart by their row; an empty input gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -56,12 +59,34 @@ CLOSES = {
 }
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"},
           "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "p": {"table", "td", "th", "li", "div", "article", "section", "main", "blockquote", "body", "figure"}}
-TITLES = {"header", "masthead", "banner", "notice", "login", "legal", "related"}
+# words that say nothing about a block's kind beside a name of NAMES: "site-footer", "ad_slot_2"
+FILLERS = {
+    "site", "page", "global", "main", "top", "bottom", "left", "right", "box", "block", "bar", "container", "wrapper", "wrap", "inner", "outer",
+    "area", "section", "slot", "unit", "list", "item", "items", "links", "link", "buttons", "button", "icons", "text", "policy", "form", "primary",
+    "secondary", "fixed", "sticky", "mobile", "desktop", "large", "small", "content",
+}
+TITLES = {"header", "masthead"}
 CONTENT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "b", "i", "em", "strong", "a", "span", "code", "pre", "q", "u", "sub", "sup", "small", "mark",
            "blockquote", "li", "td", "th", "tr"}
+# subtrees around a block that are looked up, from the innermost: broken pages nest without end, and what
+# lies inside a recurring subtree recurs as often itself
+DEPTH = 48
 SKELETON = {"html", "body", "article", "main"}
 _SPACE = re.compile(r"\s+")
-_NAME = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+@lru_cache(4096)
+def names_of(given: str) -> frozenset[str]:
+    """Names of a class or id value that tell of a block that is no article text: a whole
+    token, or one whose every part is such a name or a filler."""
+    out = set()
+    for token in given.split():
+        parts = {p.lower() for p in _NAME.findall(token)}
+        told = parts & NAMES or {token.lower()} & NAMES
+        if told and parts <= NAMES | FILLERS:
+            out |= told
+    return frozenset(out)
 
 
 class _Parser(HTMLParser):
@@ -88,13 +113,13 @@ class _Parser(HTMLParser):
     def _open(self, tag, attrs):
         parent = self.stack[-1] if self.stack else -1
         given = {k: (v or "") for k, v in attrs}
-        words = set(_NAME.findall(f"{given.get('class', '')} {given.get('id', '')}".lower()))
+        words = names_of(f"{given.get('class', '')} {given.get('id', '')}")
         up = self.nodes[parent] if parent >= 0 else None
         in_article = bool(up and up[3]) or tag in ("article", "main")
         never = bool(up and up[2]) or tag in NEVER or given.get("role", "").lower() in ROLES or "hidden" in given
         never = never or "display:none" in given.get("style", "").replace(" ", "").lower()
         if tag not in SKELETON and (in_article or not self.wrappers):
-            never = never or bool(words & (NAMES - TITLES if in_article else NAMES))
+            never = never or bool(words - TITLES if in_article else words)
         if tag == "header":  # an article's own header holds its title
             never = never or not (up and up[3])
         if tag in ("article", "main"):
@@ -102,7 +127,9 @@ class _Parser(HTMLParser):
                 never = True
             self.has_article |= not never
             self.lost_article |= never
-        self.nodes.append([tag, parent, never, in_article, [tag]])
+        # text of ruled out blocks is kept apart as blocks of their own, that of words inside a block is not
+        kind = (up[2] if up and up[2] else 2 if tag in BLOCKS else 1) if never else 0
+        self.nodes.append([tag, parent, kind, in_article, [tag]])
         return len(self.nodes) - 1
 
     def _leave(self, upto: int):
@@ -150,7 +177,7 @@ class _Parser(HTMLParser):
         at = self.stack[-1] if self.stack else -1
         if at >= 0 and self.nodes[at][0] in ("script", "style", "title"):
             return
-        if at >= 0 and self.nodes[at][2]:
+        if at >= 0 and self.nodes[at][2] == 1:
             self.nodes[at][4].append(data)
             return
         if not self.text or self.holder < 0:
@@ -165,8 +192,9 @@ class _Parser(HTMLParser):
 
 
 def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int], int]:
-    """Candidate blocks (text, hashes of the subtrees around it), and the hashes
-    of all subtrees of the page outside its skeleton, and a hash of the whole."""
+    """Text blocks (text, or none where tags or names rule it out; hashes of the subtrees
+    around it), and the hashes of all subtrees of the page outside its skeleton, and a
+    hash of the whole."""
     page = _Parser().read(html)
     if page.lost_article and not page.has_article:
         page = _Parser(wrappers=True).read(html)
@@ -181,18 +209,18 @@ def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int], int
         if parent >= 0:
             nodes[parent][4].append(h)
         if tag not in SKELETON and any(not isinstance(p, str) for p in parts) or len(parts) > 1 and tag not in SKELETON:
-            digests[k] = h - (1 << 63)
+            # the lowest bit tells content from chrome, which Spark judges by different counts
+            digests[k] = (h - (1 << 63)) & ~1 | int(page.has_article and nodes[k][3] or tag in CONTENT)
     kept = []
     for at, said in page.blocks:
-        if at >= 0 and nodes[at][2] or page.has_article and not (at >= 0 and nodes[at][3]):
-            continue
+        # what tags and names rule out keeps its place, so that it is told whether the counts struck it
+        out = at >= 0 and nodes[at][2] > 0 or page.has_article and not (at >= 0 and nodes[at][3])
         above, k = [], at
-        while k >= 0:
-            # of an article, words and paragraphs are content however often they recur
-            if digests[k] is not None and not (page.has_article and nodes[k][0] in CONTENT):
+        while k >= 0 and len(above) < DEPTH:
+            if digests[k] is not None:
                 above.append(digests[k])
             k = nodes[k][1]
-        kept.append((said, above))
+        kept.append(("" if out else said, above))
     whole = xxhash.xxh3_64_intdigest((html or "").encode("utf-8", "surrogatepass")) - (1 << 63)
     return kept, sorted({d for d in digests if d is not None}), whole
 
@@ -205,7 +233,7 @@ def extract_text(
     df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
     least_pages: int = 5, least_share: float = 0.3, most_broadcast: int = 250_000,
 ) -> DataFrame:
-    """One row per page: id, url, text, n_chars.
+    """One row per page: id, url, text, n_chars, n_struck (blocks inside recurring subtrees).
 
     Up to ``most_broadcast`` struck hashes are sent to all tasks, more are joined."""
     bound_batches(df.sparkSession, 500)
@@ -230,7 +258,7 @@ def extract_text(
     pages = once.groupBy("host").agg(F.count("*").alias("n"))
     template = (
         once.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("k"))
-        .where(F.col("k") >= least_pages).join(pages, "host").where(F.col("k") >= least_share * F.col("n")).select("host", "hash")
+        .where(F.col("k") >= least_pages).join(pages, "host").where((F.pmod("hash", F.lit(2)) == 0) | (F.col("k") >= least_share * F.col("n"))).select("host", "hash")
     )
     template = materialize(template)
     # of a page, only hashes over candidate blocks matter
@@ -239,7 +267,8 @@ def extract_text(
     # the text blocks stay where they are if what is struck is small: its size is checked
     if (struck.agg(F.sum(F.size("struck"))).first()[0] or 0) <= most_broadcast:
         struck = F.broadcast(struck)
-    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["above"], F.coalesce("struck", F.array().cast("array<long>"))))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    out = parsed.select("page_id", "url", "row", "blocks").join(struck, "row", "left").select("page_id", "url", text.alias("text"))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["above"], F.coalesce("struck", F.array().cast("array<long>"))))
+    text = F.array_join(F.transform(F.filter("left", lambda b: b["text"] != ""), lambda b: b["text"]), "\n")
+    out = parsed.select("page_id", "url", "row", "blocks").join(struck, "row", "left").withColumn("left", left)
+    out = out.select("page_id", "url", text.alias("text"), (F.size("blocks") - F.size("left")).cast("long").alias("n_struck"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_struck")

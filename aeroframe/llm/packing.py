@@ -3,12 +3,10 @@
 A document becomes its token ids and one end id. Only documents longer than a
 sequence are cut: into full pieces, with the shorter one first. Pieces are
 dealt at random into shards of about ``shard_docs`` documents; in a shard,
-pieces go in falling length, each into the open bin (or a new one) that leaves
-the sum of squared counts of open bins per residual gap smallest; ties take the
-tightest gap. Afterwards bins that did not get full are packed anew where that
-saves a bin, and the emptiest are dissolved as long as all their pieces fit into
-gaps of others. Shards are independent, so a lost executor
-costs its shards only, and the price is at most a bin or so per shard.
+pieces go in falling length, each into the open bin that leaves the sum of squared
+counts of open bins per residual gap smallest; ties take the tightest gap, and a
+new bin is opened only where no open one has room. Shards are independent, so a
+lost executor costs its shards only, and the price is at most a bin or so per shard.
 
 Ids are those of the byte-level BPE file given by its path: its vocabulary is
 read from the JSON and applied by a faster encoder with the same merges, which
@@ -21,7 +19,6 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import bisect
 import json
 import zlib
 from functools import lru_cache
@@ -84,8 +81,7 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
             change[0] = 1 - 2 * count[s]
             change[count[s:size] == 0] = np.iinfo(np.int64).max
             best = int(change.argmin())
-            opened = 2 * count[size - s] + 1
-        if s == size or change[best] > opened:
+        if s == size or not count[best + s]:
             gap, b = size, len(held)
             held.append([])
         else:
@@ -96,9 +92,6 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
         if gap > s:
             stacks[gap - s].append(b)
             count[gap - s] += 1
-    held = _repack(held, lengths, size)
-    gaps = np.array([size - int(lengths[h].sum()) for h in held], np.int64)
-    _dissolve(held, gaps, lengths, size)
     k = 0
     for h in held:
         if h:
@@ -110,57 +103,6 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     return bins, offsets
 
 
-def _repack(held: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
-    """Pieces of all bins that are not full once more, in falling length by best
-    fit, where that needs fewer bins; the emptiest bins come first, and as many
-    others join them as make the result smallest."""
-    fill = [int(lengths[h].sum()) for h in held]
-    open_ = sorted((b for b in range(len(held)) if fill[b] < size), key=lambda b: fill[b])
-    best = held
-    for share in (0.25, 0.5, 1.0):
-        some = open_[: max(1, int(len(open_) * share))]
-        bins: list[list[int]] = []
-        gaps: list[tuple[int, int]] = []
-        for i in sorted((i for b in some for i in held[b]), key=lambda i: -lengths[i]):
-            n = int(lengths[i])
-            at = bisect.bisect_left(gaps, (n, -1))
-            if at == len(gaps):
-                bins.append([])
-                gap, b = size, len(bins) - 1
-            else:
-                gap, b = gaps.pop(at)
-            bins[b].append(i)
-            if gap > n:
-                bisect.insort(gaps, (gap - n, b))
-        if len(held) - len(some) + len(bins) < len(best):
-            gone = set(some)
-            best = [held[b] for b in range(len(held)) if b not in gone] + bins
-    return best
-
-
-def _dissolve(held: list[list[int]], gaps: np.ndarray, lengths: np.ndarray, size: int) -> None:
-    """Empty the least filled bins into the gaps of others while all of a bin fits."""
-    for b in np.argsort(-gaps, kind="stable"):
-        if gaps[b] <= 0:
-            break
-        gap, moves = gaps.copy(), []
-        gap[b] = -1
-        for i in sorted(held[b], key=lambda i: -lengths[i]):
-            fits = np.where(gap >= lengths[i], gap, size + 1)
-            at = int(fits.argmin())
-            if fits[at] > size:
-                break
-            gap[at] -= lengths[i]
-            moves.append((i, at))
-        else:
-            for i, at in moves:
-                held[at].append(i)
-            held[b] = []
-            gaps[:] = gap
-            continue
-        break
-
-
 def pack(
     df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
     size: int = 2048, end_id: int = 0, shard_docs: int = 8192, with_ids: bool = False,

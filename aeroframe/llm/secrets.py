@@ -2,11 +2,12 @@
 
 Strong credentials are reported wherever they stand. Weak candidates (short
 assigned values, user or client names, endpoints) are reported only when a
-complementary part lies in the same scope: an identifier or endpoint next to a
-secret, or a secret next to either. Scopes are overlapping windows of
-``2 * scope`` code points laid at every multiple of ``scope``; the interval join
-of parts is an intersection of scope numbers inside the row, so nothing is
-shuffled and no pair of parts is ever built.
+complementary part starts within ``scope`` code points: an identifier or endpoint
+near a secret, or a secret near either. The interval join stays inside the row:
+complementary parts are sorted and thinned to the first and last of each cell of
+``scope`` code points, and a weak part looks at its own cell (any part there is
+near), the last one of the cell before and the first one of the cell after. So
+nothing is shuffled and no pair of parts is ever built.
 
 Edge cases: a null text counts as empty and has no spans; repeated rows are
 scanned each on their own; other columns pass through untouched.
@@ -49,7 +50,8 @@ def _find(text: Column, pattern: str, rank: int, group: int = 0) -> Column:
         return F.struct(end.alias("pos"), F.array_append(acc["out"], span).alias("out"))
 
     found = F.aggregate(steps, start, step, lambda acc: acc["out"])
-    return F.when(F.size(whole) > 0, found).otherwise(F.array().cast(_EMPTY))
+    # most texts hold no match: one look tells, where splitting and collecting take three
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_EMPTY))
 
 
 def _joined(spans: Column) -> Column:
@@ -59,9 +61,25 @@ def _joined(spans: Column) -> Column:
     )
 
 
-def _scopes(parts: Column, scope: int) -> Column:
-    cell = lambda s: F.floor(s["start"] / scope).cast("int")
-    return F.array_distinct(F.flatten(F.transform(parts, lambda s: F.array(cell(s), cell(s) + 1))))
+def _near(part: Column, others: str, scope: int) -> Column:
+    """Whether a part starts within ``scope`` of any of ``others``, maps of a cell to its first and last start."""
+    cell = F.floor(part["start"] / scope).cast("int")
+    at = lambda name, c: F.try_element_at(F.col(others)[name], c)
+    return (
+        at("first", cell).isNotNull()
+        | F.coalesce(at("last", cell - 1) >= part["start"] - scope, F.lit(False))
+        | F.coalesce(at("first", cell + 1) <= part["start"] + scope, F.lit(False))
+    )
+
+
+def _by_cell(parts: Column, scope: int) -> Column:
+    """struct(first, last): maps of a cell to the first and the last start in it."""
+    starts = F.array_sort(F.transform(parts, lambda s: s["start"]))
+    cell = lambda x: F.floor(x / scope).cast("int")
+    entry = lambda x: F.struct(cell(x), x)
+    first = F.filter(starts, lambda x, i: (i == 0) | (cell(F.get(starts, i - 1)) != cell(x)))
+    last = F.filter(starts, lambda x, i: (i == F.size(starts) - 1) | (cell(F.get(starts, i + 1)) != cell(x)))
+    return F.struct(F.map_from_entries(F.transform(first, entry)).alias("first"), F.map_from_entries(F.transform(last, entry)).alias("last"))
 
 
 def find_secrets(df: DataFrame, text_col: str = "text", scope: int = 400) -> DataFrame:
@@ -87,13 +105,14 @@ def find_secrets(df: DataFrame, text_col: str = "text", scope: int = 400) -> Dat
     secrets = F.concat("_strong", "_hex", "_short")
     others = F.concat("_access", "_weak_id", "_endpoint")
     weak = F.concat("_short", "_weak_id", "_endpoint")
-    shared = F.array_intersect(_scopes(secrets, scope), _scopes(others, scope))
-    df = df.select("*", F.concat("_strong", "_access", "_hex").alias("_found"), weak.alias("_weak"),
-                   F.when((F.size(weak) > 0) & (F.size(others) > 0), shared).otherwise(F.array().cast("array<int>")).alias("_shared"))
-    cell = lambda s: F.floor(s["start"] / scope).cast("int")
-    linked = F.filter("_weak", lambda s: F.array_contains("_shared", cell(s)) | F.array_contains("_shared", cell(s) + 1))
-    df = df.select("*", F.array_sort("_found").alias("_base"), F.array_sort(F.concat("_found", linked)).alias("_spans"))
-    return df.drop("_assign", "_access", "_weak_id", "_endpoint", "_strong", "_short", "_hex", "_weak", "_found", "_shared")
+    df = df.select("*", F.concat("_strong", "_access", "_hex").alias("_found"), weak.alias("_weak"), secrets.alias("_secrets"), others.alias("_others"))
+    # maps only where there is something to link
+    linked = (F.size("_weak") > 0) & (F.size("_others") > 0) & (F.size("_secrets") > 0)
+    df = df.select("*", F.when(linked, _by_cell(F.col("_secrets"), scope)).alias("_of_secrets"), F.when(linked, _by_cell(F.col("_others"), scope)).alias("_of_others"))
+    told = F.filter("_weak", lambda s: F.when(s["rank"] == 3, _near(s, "_of_others", scope)).otherwise(_near(s, "_of_secrets", scope)))
+    told = F.when(linked, told).otherwise(F.array().cast(_EMPTY))
+    df = df.select("*", F.array_sort("_found").alias("_base"), F.array_sort(F.concat("_found", told)).alias("_spans"))
+    return df.drop("_assign", "_access", "_weak_id", "_endpoint", "_strong", "_short", "_hex", "_weak", "_found", "_secrets", "_others", "_of_secrets", "_of_others")
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 400) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from aeroframe.llm import secrets as _s
-
 _q = lambda text: text.replace("'", "''")
 
+# Written for this twin alone, so that a wrong pattern of the operator shows.
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_CLIENT = r"""\b(?:[cC]lient_?[iI]d|[uU]ser(?:_?[nN]ame)?|[lL]ogin|[aA]ccount_?[iI]d)["']?\x20*[:=]\x20*["']?[0-9A-Za-z._@-]{3,}"""
+_PLACE = r"""\b(?:http|https|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[0-9A-Za-z:/@._~-]+"""
+
 
 def _find(name: str, pattern: str, rank: int, group: int = 0) -> str:
     return f"""
@@ -18,22 +21,20 @@ def _find(name: str, pattern: str, rank: int, group: int = 0) -> str:
 
 SECRETS = f"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-{_find("f_assign", _s.BASE[0][1], 0, 2)},
-{_find("f_access", _s.BASE[1][1], 1)},
-{_find("f_hex", _s.BASE[2][1], 2)},
-{_find("f_id", _s.WEAK_ID, 4)},
-{_find("f_end", _s.ENDPOINT, 5)},
+{_find("f_assign", _ASSIGN, 0, 2)},
+{_find("f_access", "AKIA[A-Z0-9]+", 1)},
+{_find("f_hex", "[0-9a-f]+", 2)},
+{_find("f_id", _CLIENT, 4)},
+{_find("f_end", _PLACE, 5)},
 parts AS (
-  SELECT rid, rank, start, start + len AS stop FROM f_assign WHERE value >= {_s.ASSIGN_LEAST}
-  UNION ALL SELECT rid, 3, start, start + len FROM f_assign WHERE value < {_s.ASSIGN_LEAST} AND value >= {_s.WEAK_SECRET_LEAST}
-  UNION ALL SELECT rid, rank, start, start + len FROM f_access
-  UNION ALL SELECT rid, rank, start, start + len FROM f_hex
+  SELECT rid, rank, start, start + len AS stop FROM f_assign WHERE value >= 12
+  UNION ALL SELECT rid, 3, start, start + len FROM f_assign WHERE value BETWEEN 6 AND 11
+  UNION ALL SELECT rid, rank, start, start + len FROM f_access WHERE len >= 18
+  UNION ALL SELECT rid, rank, start, start + len FROM f_hex WHERE len >= 16
   UNION ALL SELECT rid, rank, start, start + len FROM f_id
   UNION ALL SELECT rid, rank, start, start + len FROM f_end),
-scopes AS (SELECT DISTINCT rid, rank IN (0, 2, 3) AS secret, start // 400 + d AS scope FROM parts, (VALUES (0), (1)) t(d)),
-shared AS (SELECT a.rid, a.scope FROM scopes a JOIN scopes b USING (rid, scope) WHERE a.secret AND NOT b.secret),
-told AS (SELECT * FROM parts p WHERE rank < 3
-  OR EXISTS (SELECT 1 FROM shared s WHERE s.rid = p.rid AND s.scope IN (p.start // 400, p.start // 400 + 1))),
+told AS (SELECT * FROM parts p WHERE rank < 3 OR EXISTS (SELECT 1 FROM parts o WHERE o.rid = p.rid AND abs(o.start - p.start) <= 400
+  AND (CASE WHEN p.rank = 3 THEN o.rank IN (1, 4, 5) ELSE o.rank IN (0, 2, 3) END))),
 named AS (SELECT *, (['assign', 'access', 'hex', 'weak_secret', 'weak_id', 'endpoint'])[rank + 1] || ':' || start || ':' || stop AS said FROM told),
 per AS (SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
   string_agg(said, ',' ORDER BY start, rank, stop) FILTER (rank < 3) AS base, string_agg(said, ',' ORDER BY start, rank, stop) AS spans FROM named GROUP BY rid)

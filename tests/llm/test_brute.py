@@ -47,16 +47,61 @@ def test_weak_parts_need_company(spark):
     assert clean == "a [SECRET] b"
 
 
+def test_parts_link_by_distance_alone(spark):
+    """Two parts as far apart are linked or not wherever they stand."""
+    rows = [(k, at, gap) for k, (at, gap) in enumerate((a, g) for a in (0, 1, 130, 390, 399, 400, 800) for g in (20, 399, 400, 401, 432, 790))]
+    text = lambda at, gap: " " * at + "client_id=svc1" + " " * (gap - 14) + "secret=hunter22"
+    got = secrets.scan_secrets(spark.createDataFrame([(k, text(a, g)) for k, a, g in rows], "doc_id long, text string")).collect()
+    want = {k: f"weak_id:{a}:{a + 14},weak_secret:{a + g}:{a + g + 15}" if g <= 400 else "" for k, a, g in rows}
+    assert {r["doc_id"]: r["spans"] for r in got} == want
+
+
 def test_template_removal(spark):
     pages = [(k, f"http://a.example/{k}", f"<div><ul><li>Home<li>About</ul></div><div><p>own {k} text</p></div>") for k in range(8)]
     got = html.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).orderBy("page_id").collect()
     assert [r["text"] for r in got] == [f"own {k} text" for k in range(8)]
 
 
+def test_templates_by_brute_force(spark):
+    """Subtrees of every page counted in plain Python: chrome by pages, content by share too."""
+    rng = random.Random(21)
+    menus, notes = [f"<ul><li>Menu {k}<li>More {k}</ul>" for k in range(4)], [f"Note {k} of ours" for k in range(30)]
+    pages = []
+    for k in range(60):
+        m, n, own = rng.choice(menus), rng.choice(notes), f"own text {k}"
+        site = "a" if k < 50 else "b"
+        pages.append((k, f"http://{site}.example/{k}", f"<body><div>{m}</div><section><div><b>{n}</b></div></section><article><p>{own}</p><p>quoted line</p><p>{'ad' if k % 2 else 'x%d' % k}</p></article></body>"))
+    got = {r["page_id"]: r for r in html.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string"), least_pages=5).collect()}
+    for site, ids in (("a", range(50)), ("b", range(50, 60))):
+        lines = collections.Counter(x for k in ids for x in set(re.findall(r"<p>(.*?)</p>", pages[k][2])))
+        for k in ids:
+            struck = {x for x, c in lines.items() if c >= 5 and c >= 0.3 * len(ids)}
+            assert got[k]["text"].split("\n") == [x for x in re.findall(r"<p>(.*?)</p>", pages[k][2]) if x not in struck]
+        parts = collections.Counter(re.search(r"<ul>.*</ul>", pages[k][2])[0] for k in ids)
+        for k in ids:
+            menu = parts[re.search(r"<ul>.*</ul>", pages[k][2])[0]] >= 5
+            note = sum(re.search(r"<b>.*</b>", pages[k][2])[0] in pages[j][2] for j in ids) >= 5
+            mine = [x for x in re.findall(r"<p>(.*?)</p>", pages[k][2])]
+            assert got[k]["n_struck"] == 2 * menu + note + len(mine) - len(got[k]["text"].split("\n"))
+
+
+def test_names_are_matched_whole():
+    article = lambda inner: [t for t, _ in html.parse(f"<html><body><main><article>{inner}<p>kept</p></article></main></body></html>")[0] if t]
+    assert article('<div class="social-science-body"><p>science</p></div>') == ["science", "kept"]
+    assert article('<div id="share-price"><p>price</p></div>') == ["price", "kept"]
+    assert article('<div class="notice">We use cookies</div>') == ["kept"] == article('<p class="legal">Legal text</p>')
+    assert article('<div class="cookie-banner">x</div>') == ["kept"] == article('<div class="x ad_slot_2">x</div>')
+
+
+def test_deep_broken_pages_stay_small():
+    blocks, hashes, _ = html.parse("<div>" * 2000 + "<p>word " * 2000)
+    assert len(blocks) == 2000 and max(len(a) for _, a in blocks) <= html.DEPTH
+
+
 def test_article_text():
     page = """<html><body><nav>n</nav><article><header><h1>T &amp; x</h1></header><p>One <button>Share</button>two<br>three<p>Four <b>bold</b>
       end<div class="share">S</div><aside>no</aside><section class="comments"><p>bad</p></section></article><form>f</form></body></html>"""
-    assert [t for t, _ in html.parse(page)[0]] == ["T & x", "One two three", "Four bold end"]
+    assert [t for t, _ in html.parse(page)[0] if t] == ["T & x", "One two three", "Four bold end"]
 
 
 def test_toxicity_held_out_and_disguise(spark):
@@ -204,6 +249,30 @@ def test_packing_places_all_pieces():
     assert packing.pieces_of(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)] and packing.pieces_of(4096, 2048) == [(0, 2048), (2048, 2048)]
 
 
+def test_packing_follows_the_sum_of_squares(spark):
+    """Each piece against the rule worked out over all open bins one by one."""
+    rng = random.Random(23)
+    lengths = np.array([rng.choice([3, 5, 7, 11, 20, 64]) for _ in range(160)])
+    bins, at = packing.sum_of_squares(lengths, 64)
+    fill = []
+    for i in sorted(range(160), key=lambda i: -lengths[i]):
+        s = int(lengths[i])
+
+        def squares(b, s=s):
+            gaps = collections.Counter(64 - (f + s * (k == b)) for k, f in enumerate(fill))
+            return sum(n * n for g, n in gaps.items() if g)
+
+        room = [b for b, f in enumerate(fill) if f + s <= 64]
+        if room:
+            best = min(room, key=lambda b: (squares(b), 64 - fill[b]))
+            assert (squares(bins[i]), fill[bins[i]]) == (squares(best), fill[best])
+        else:
+            assert bins[i] == len(fill)
+            fill.append(0)
+        assert at[i] == fill[bins[i]]
+        fill[bins[i]] += s
+
+
 def test_quality_orders_grades(spark):
     rng = random.Random(2)
     kinds = [lambda: "%%% $$$ &&& ###", lambda: "WORD!! AGAIN!!", lambda: "a calm sentence of words"]
