@@ -31,6 +31,9 @@ rows.
 
 from __future__ import annotations
 
+from array import array
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -43,15 +46,37 @@ END = b"\n"  # no word holds white space
 _FLUSH = 2_000_000
 
 
-class _Hashes(dict):
+class _Words(dict):
+    """word -> its number in this task; hashes and endings by number. A task empties it
+    between batches once it holds ``MOST`` words, so its size is bounded."""
+
+    MOST = 600_000
+
+    def __init__(self, endings: int):
+        self.endings, self._h, self._e = endings, array("Q"), array("i")
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+        self._h.append(xxhash.xxh3_64_intdigest(word))
+        self._e.append(ending_of(word, self.endings))
+        self[word] = n = len(self._h) - 1
+        return n
 
+    def full(self) -> bool:
+        return len(self._h) > self.MOST
 
-_HASHES = _Hashes()
+    def empty(self) -> None:
+        self.clear()
+        self._h, self._e = array("Q"), array("i")
+
+    def read(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens a text, and the numbers of all tokens."""
+        split = [tokens(t) for t in texts]
+        n = np.array([len(ws) for ws in split], np.int64)
+        return n, np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
+
+    def since(self, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """Signed hashes and endings of the words numbered ``at`` and more."""
+        return np.array(self._h[at:], np.uint64).view(np.int64), np.array(self._e[at:], np.int32)
 
 
 def ending_of(word: bytes, endings: int) -> int:
@@ -63,15 +88,6 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def _hashed(texts, endings: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens a text, distinct words (signed hash, ending), and each token's place among them."""
-    split = [tokens(t) for t in texts]
-    flat = [w for ws in split for w in ws]
-    h, at, back = np.unique(np.fromiter(map(_HASHES.__getitem__, flat), np.uint64, len(flat)), return_index=True, return_inverse=True)
-    ending = np.fromiter((ending_of(flat[i], endings) for i in at), np.int32, len(at))
-    return np.array([len(ws) for ws in split], np.int64), h.view(np.int64), ending, back
-
-
 def _place(sorted_h: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in a sorted table, whether it is there)."""
     if not len(sorted_h):
@@ -84,32 +100,23 @@ def count_words(texts: DataFrame, endings: int) -> DataFrame:
     """text -> (h, ending, c): counts of all words; ending is the bucket of its last letters."""
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
+        words, total = _Words(endings), np.zeros(0, np.int64)
 
-        def merged():
-            h, e, c = (np.concatenate(x) for x in zip(*held))
-            own, at, back = np.unique(h, return_index=True, return_inverse=True)
-            return own, e[at], np.bincount(back, c).astype(np.int64)
+        def told():
+            h, e = words.since(0)
+            for lo in range(0, len(h), 100_000):
+                part = slice(lo, lo + 100_000)
+                yield pd.DataFrame({"h": h[part], "ending": e[part], "c": total[part]})
 
         for b in batches:
-            n, own, e, back = _hashed(b["text"], endings)
-            if not len(n):
-                continue
-            held.append((own, e, np.bincount(back)))
-            size += len(own)
-            if size > _FLUSH:
-                held = [merged()]
-                size = len(held[0][0])
-                if size > _FLUSH // 2:
-                    h, e, c = held.pop()
-                    size = 0
-                    yield pd.DataFrame({"h": h.astype(np.int64), "ending": e, "c": c})
-        if held:
-            h, e, c = merged()
-            for lo in range(0, len(h), 100_000):
-                s = slice(lo, lo + 100_000)
-                yield pd.DataFrame({"h": h[s].astype(np.int64), "ending": e[s], "c": c[s]})
+            if words.full():
+                yield from told()
+                words.empty()
+                total = np.zeros(0, np.int64)
+            c = np.bincount(words.read(b["text"])[1], minlength=len(words))
+            c[: len(total)] += total
+            total = c
+        yield from told()
 
     return texts.mapInPandas(run, "h long, ending int, c long").groupBy("h").agg(F.any_value("ending").alias("ending"), F.sum("c").alias("c"))
 
@@ -125,39 +132,41 @@ def count_neighbours(texts: DataFrame, head: dict[int, int], endings: int, often
     if k > 1 << LOW:
         raise ValueError(f"head and endings exceed {1 << LOW} types")
     shared = texts.sparkSession.sparkContext.broadcast((*_sorted_head(head), often))
-    end = xxhash.xxh3_64_intdigest(END)
 
     def run(batches):
         head_h, head_t, bits = shared.value
         total = np.zeros(k * k, np.int64)
-        held, size = [], 0
+        words, held, size = _Words(endings), [], 0
+        types, marked = np.zeros(0, np.int64), np.zeros(0, bool)
 
         def merged():
-            key, c = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-            own, back = np.unique(key, return_inverse=True)
-            return pd.DataFrame({"key": own, "pair": np.full(len(own), -1), "c": np.bincount(back, c).astype(np.int64)})
+            key, c = np.unique(np.concatenate(held), return_counts=True)
+            return pd.DataFrame({"key": (words.since(0)[0][key // k] & -(1 << LOW)) | (key % k), "pair": np.full(len(key), -1), "c": c})
 
         for b in batches:
-            n, own, ending, back = _hashed(b["text"], endings)
-            if not len(n):
+            if words.full() or size > _FLUSH:
+                if size:
+                    yield merged()
+                held, size = [], 0
+                words.empty()
+                types, marked = types[:0], marked[:0]
+            end = words[END]
+            n, seq = words.read(b["text"])
+            h, ending = words.since(len(types))
+            at, there = _place(head_h, h)
+            types = np.concatenate([types, np.where(there, head_t[at] if len(head_t) else 0, len(head_h) + ending)])
+            slot = h.view(np.uint64) & np.uint64((1 << BITS) - 1)
+            marked = np.concatenate([marked, ~there & ((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)])
+            if not len(seq):
                 continue
-            at, there = _place(head_h, own)
-            types = np.where(there, head_t[at] if len(head_t) else 0, len(head_h) + ending)
-            seq = types[back]
+            after = types[seq]
             # an end stands last in each text, and so before the next one's first word
-            first = types[np.flatnonzero(own.view(np.uint64) == end)[0]]
-            before = np.concatenate([[first], seq[:-1]])
-            total += np.bincount(before * k + seq, minlength=k * k)
-            slot = own.view(np.uint64) & np.uint64((1 << BITS) - 1)
-            mark = (~there & ((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool))[back]
-            # words of a batch are numbered, so that sorting is cheap
-            key, c = np.unique(back[mark] * k + before[mark], return_counts=True)
-            held.append(((own[key // k] & -(1 << LOW)) | (key % k), c))
-            size += len(c)
-            if size > _FLUSH:
-                yield merged()
-                held, size = [], 0
-        if held:
+            before = np.concatenate([[types[end]], after[:-1]])
+            total += np.bincount(before * k + after, minlength=k * k)
+            mark = marked[seq]
+            held.append(seq[mark] * k + before[mark])
+            size += len(held[-1])
+        if size:
             yield merged()
         own = np.flatnonzero(total)
         for lo in range(0, len(own), 100_000):
@@ -329,24 +338,32 @@ def resolve(df: DataFrame, model: Model, words: DataFrame, text_col: str = "text
 
     def run(batches):
         m = shared.value
+        words = _Words(m.endings)
+        known, cls, plain, emit = np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
         for b in batches:
-            n, own, ending, back = _hashed(b["_text"], m.endings)
-            place, known = _place(m.hot_h, own)
-            cls = np.where(known, m.hot_class[place] if len(m.hot_h) else 0, m.ending_class[ending] if len(own) else 0).astype(np.int64)
-            c = np.where(known, m.hot_c[place] if len(m.hot_h) else 0, 0)
+            if words.full():
+                words.empty()
+                known, cls, plain, emit = known[:0], cls[:0], plain[:0], emit[:0]
+            n, seq_of = words.read(b["_text"])
+            h, ending = words.since(len(known))
+            place, there = _place(m.hot_h, h)
+            c = np.where(there, m.hot_c[place] if len(m.hot_h) else 0, 0)
+            own = np.where(there, m.hot_class[place] if len(m.hot_h) else 0, m.ending_class[ending]).astype(np.int64)
+            known, cls = np.concatenate([known, there]), np.concatenate([cls, own])
+            plain, emit = np.concatenate([plain, np.log10(c + 1.0)]), np.concatenate([emit, np.where(there, m.emission(c, own), 0.0)])
             of = np.repeat(np.arange(len(n)), n)
-            sums = lambda x: np.bincount(of, x[back], len(n))  # noqa: E731, B023
+            sums = lambda x: np.bincount(of, x[seq_of], len(n))  # noqa: E731, B023
             out = b.drop(columns="_text")
             out["n"] = n
             out["known"] = sums(known.astype(float)).astype(np.int64)
-            out["plain"] = sums(np.log10(c + 1.0))
-            out["emit"] = sums(np.where(known, m.emission(c, cls), 0.0))
+            out["plain"], out["emit"] = sums(plain), sums(emit)
             cuts = np.concatenate([[0], np.cumsum(n)])
-            seq = cls[back].astype(np.int16)
+            seq = cls[seq_of].astype(np.int16)
             out["seq"] = [seq[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:])]
-            asked = np.flatnonzero(~known[back])
+            asked = np.flatnonzero(~known[seq_of])
+            hashes = words.since(0)[0][seq_of[asked]]
             parts = np.searchsorted(asked, cuts)
-            out["h"] = [own[back[asked[x:y]]] for x, y in zip(parts[:-1], parts[1:])]
+            out["h"] = [hashes[x:y] for x, y in zip(parts[:-1], parts[1:])]
             out["pos"] = [(asked[x:y] - at).astype(np.int32) for x, y, at in zip(parts[:-1], parts[1:], cuts)]
             yield out
 
