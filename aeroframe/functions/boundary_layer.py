@@ -11,7 +11,7 @@ from aeroframe.functions.common import EPSILON, GRAVITY, VON_KARMAN, col, divide
 def bulk_richardson_number(theta_low, theta_high, z_low, z_high, u_low, u_high, v_low, v_high) -> Column:
     mean = (col(theta_low) + col(theta_high)) / 2
     shear = F.pow(col(u_high) - col(u_low), F.lit(2.0)) + F.pow(col(v_high) - col(v_low), F.lit(2.0))
-    return GRAVITY / mean * (col(theta_high) - col(theta_low)) * (col(z_high) - col(z_low)) / F.greatest(shear, F.lit(EPSILON))
+    return divide(GRAVITY, mean) * (col(theta_high) - col(theta_low)) * (col(z_high) - col(z_low)) / F.greatest(shear, F.lit(EPSILON))
 
 
 def power_law_exponent(speed_low, speed_high, z_low, z_high) -> Column:
@@ -28,7 +28,7 @@ def monin_obukhov_length(theta, ustar, heat_flux, kappa: float = VON_KARMAN) ->
 
 
 def roughness_length(speed, height, ustar, kappa: float = VON_KARMAN) -> Column:
-    return col(height) * F.exp(-kappa * col(speed) / col(ustar))
+    return col(height) * F.exp(divide(-kappa * col(speed), ustar))
 
 
 def log_wind_profile(height, ustar, roughness, displacement=0.0, kappa: float = VON_KARMAN) -> Column:

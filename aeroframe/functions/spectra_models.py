@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from aeroframe.functions.common import col
+from aeroframe.functions.common import col, divide
 
 # Fixed values: (a, b) of the surface-layer spectrum by component.
 KAIMAL = {"u": (102.0, 33.0), "v": (17.0, 9.5), "w": (2.0, 5.3)}
@@ -33,18 +33,18 @@ def _need(component: str, table) -> None:
 def kaimal_spectrum(frequency, mean_speed, height, friction_velocity, component: str = "u") -> Column:
     _need(component, KAIMAL)
     a, b = KAIMAL[component]
-    ratio = col(height) / col(mean_speed)
-    return F.pow(col(friction_velocity), F.lit(2.0)) * a * ratio / F.pow(1 + b * col(frequency) * ratio, F.lit(5 / 3))
+    ratio = divide(height, mean_speed)
+    return divide(F.pow(col(friction_velocity), F.lit(2.0)) * a * ratio, F.pow(1 + b * col(frequency) * ratio, F.lit(5 / 3)))
 
 
 def iec_kaimal_spectrum(frequency, mean_speed, sigma, length_scale) -> Column:
-    time = col(length_scale) / col(mean_speed)
-    return 4 * F.pow(col(sigma), F.lit(2.0)) * time / F.pow(1 + 6 * col(frequency) * time, F.lit(5 / 3))
+    time = divide(length_scale, mean_speed)
+    return divide(4 * F.pow(col(sigma), F.lit(2.0)) * time, F.pow(1 + 6 * col(frequency) * time, F.lit(5 / 3)))
 
 
 def von_karman_spectrum(frequency, mean_speed, sigma, length_scale, component: str = "u") -> Column:
     _need(component, ("u", "v", "w"))
-    time = col(length_scale) / col(mean_speed)
+    time = divide(length_scale, mean_speed)
     x2 = F.pow(col(frequency) * time, F.lit(2.0))
     level = 4 * F.pow(col(sigma), F.lit(2.0)) * time
     if component == "u":
@@ -53,26 +53,26 @@ def von_karman_spectrum(frequency, mean_speed, sigma, length_scale, component: s
 
 
 def exponential_coherence(frequency, separation, mean_speed, decay: float = 12.0) -> Column:
-    return F.exp(-decay * col(frequency) * col(separation) / col(mean_speed))
+    return F.exp(divide(-decay * col(frequency) * col(separation), mean_speed))
 
 
 def cheynet_spectrum(frequency, mean_speed, height, friction_velocity, stability, component: str = "u") -> Column:
     """Raises at run time where stability is outside [-2, 2) or a scale is not positive."""
     _need(component, ("u", "v", "w"))
     f, zeta = col(frequency), col(stability)
-    n = col(height) / col(mean_speed) * f
+    n = divide(height, mean_speed) * f
     shape = None
     for low, high, values in CHEYNET:
         kind, a, b, c, d = values[component]
         if kind == 26:
-            form = a * n / F.pow(1 + b * n, F.lit(5 / 3)) + c * n / (1 + d * F.pow(n, F.lit(5 / 3)))
+            form = divide(a * n, F.pow(1 + b * n, F.lit(5 / 3))) + divide(c * n, 1 + d * F.pow(n, F.lit(5 / 3)))
         else:
-            form = a * F.pow(n, F.lit(-2 / 3)) + b * n / (1 + c * F.pow(n, F.lit(5 / 3))) + d * F.pow(n, F.lit(-2.0))
+            form = a * F.pow(n, F.lit(-2 / 3)) + divide(b * n, 1 + c * F.pow(n, F.lit(5 / 3))) + d * F.pow(n, F.lit(-2.0))
         here = (zeta >= low) & (zeta < high)
         shape = F.when(here, form) if shape is None else shape.when(here, form)
     shape = shape.when(zeta.isNotNull(), F.raise_error(F.lit("stability must satisfy -2 <= zeta < 2")).cast("double"))
     positive = (f > 0) & (col(mean_speed) > 0) & (col(height) > 0)
-    value = shape * F.pow(col(friction_velocity), F.lit(2.0)) / f
+    value = divide(shape * F.pow(col(friction_velocity), F.lit(2.0)), f)
     return F.when(positive, value).when(~positive, F.raise_error(F.lit("frequency, speed and height must be positive")).cast("double"))
 
 

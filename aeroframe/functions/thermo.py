@@ -37,23 +37,23 @@ def mixing_ratio_to_specific_humidity(ratio) -> Column:
 def relative_humidity(temperature, pressure, ratio) -> Column:
     """Percent, clipped to 0..100; saturation by the Bolton formula."""
     celsius = col(temperature) - 273.15
-    saturation = 611.2 * F.exp(17.67 * celsius / (celsius + 243.5))
-    vapour = col(ratio) * col(pressure) / (0.622 + col(ratio))
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * vapour / saturation))
+    saturation = 611.2 * F.exp(divide(17.67 * celsius, celsius + 243.5))
+    vapour = divide(col(ratio) * col(pressure), 0.622 + col(ratio))
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), divide(100 * vapour, saturation)))
 
 
 def dew_point(temperature, humidity) -> Column:
     """Kelvin, by the Magnus formula; humidity in percent, clipped to 1e-6..100."""
     celsius = col(temperature) - 273.15
     share = F.greatest(F.lit(1e-6), F.least(F.lit(100.0), col(humidity))) / 100
-    gamma = F.log(share) + 17.625 * celsius / (243.04 + celsius)
-    return 243.04 * gamma / (17.625 - gamma) + 273.15
+    gamma = F.log(share) + divide(17.625 * celsius, 243.04 + celsius)
+    return divide(243.04 * gamma, 17.625 - gamma) + 273.15
 
 
 def equivalent_potential_temperature(temperature, pressure, ratio) -> Column:
     t = col(temperature)
-    dry = t * F.pow(REFERENCE_PRESSURE / col(pressure), F.lit(DRY_AIR_GAS_CONSTANT / DRY_AIR_HEAT_CAPACITY))
-    return dry * F.exp(LATENT_HEAT * col(ratio) / (DRY_AIR_HEAT_CAPACITY * t))
+    dry = t * F.pow(divide(REFERENCE_PRESSURE, pressure), F.lit(DRY_AIR_GAS_CONSTANT / DRY_AIR_HEAT_CAPACITY))
+    return dry * F.exp(divide(LATENT_HEAT * col(ratio), DRY_AIR_HEAT_CAPACITY * t))
 
 
 def height_agl(height, terrain) -> Column:

@@ -125,7 +125,7 @@ def synthetic_wind_field(spark: SparkSession, mean_speed: float, nt: int, ny: in
     only. Each time step has a stream of its own, so any step can be made anew."""
     def run(batches):
         k = np.hypot(np.fft.fftfreq(nz, dz)[:, None], np.fft.fftfreq(ny, dy)[None, :])
-        smooth = np.exp(-k * length_scale)
+        smooth = np.exp(-0.5 * k * length_scale)
         for b in batches:
             for t in b["t"]:
                 noise = np.random.default_rng([seed, int(t)]).standard_normal((3, nz, ny))

@@ -77,7 +77,7 @@ def inversion_layers(temperature, height, by: list[str], order: str, minimum_gra
 
 def brunt_vaisala_frequency(theta, height, by: list[str], order: str) -> Column:
     rise = divide(gradient(theta, by, order), gradient(height, by, order))
-    return F.sqrt(F.greatest(GRAVITY / col(theta) * rise, F.lit(0.0)))
+    return F.sqrt(F.greatest(divide(GRAVITY, theta) * rise, F.lit(0.0)))
 
 
 def horizontal_kinematics(u, v, y: str, x: str, by: list[str], dx: float, dy: float) -> list[Column]:

@@ -53,4 +53,4 @@ def tke_budget(df: DataFrame, u: str, v: str, w: str, theta: str, height: str, l
     return steep.select(
         *by, level,
         (-(F.col("uw") * divide("d_mu", "d_z") + F.col("vw") * divide("d_mv", "d_z"))).alias("shear_production"),
-        (GRAVITY * F.col("wt") / F.col("theta")).alias("buoyancy_production"), F.col("tke").alias("resolved_tke"))
+        divide(GRAVITY * F.col("wt"), F.col("theta")).alias("buoyancy_production"), F.col("tke").alias("resolved_tke"))

@@ -74,7 +74,7 @@ _D = "pow(sin((radians(50 + j * 0.1::DOUBLE) - radians(50.337)) / 2), 2) + cos(r
 frame("nearest_grid_point", "plane", lambda df: grid.nearest_grid_point(_geo(df), 50.337, 3.561, by=["vec_id"]).select("vec_id", "j", "i", rounded("latitude").alias("latitude"), rounded("longitude").alias("longitude")),
       f"SELECT vec_id, j, i, round(50 + j * 0.1, 6) AS latitude, round(3 + i * 0.1, 6) AS longitude FROM {{view}} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY {_D}, j, i) = 1")
 frame("point", "plane", lambda df: grid.point(_geo(df), 50.337, 3.561).select("vec_id", "j", "i", rounded("x", 7).alias("x")), "SELECT vec_id, j, i, round(x, 7) AS x FROM {view} WHERE j = 3 AND i = 6")
-frame("collocate_grid", "plane", lambda df: grid.point(_geo(df).where("label = 3"), 50.337, 3.561).select("vec_id", rounded("x", 7).alias("x")), "SELECT vec_id, round(x, 7) AS x FROM {view} WHERE label = 3 AND j = 3 AND i = 6")
+frame("collocate_grid", "plane", lambda df: grid.point(_geo(df), 50.337, 3.561).select("vec_id", rounded("x", 7).alias("x")), "SELECT vec_id, round(x, 7) AS x FROM {view} WHERE j = 3 AND i = 6")
 frame("subset_by_bounds", "plane", lambda df: grid.subset_by_bounds(_geo(df), 3.15, 3.45, 50.05, 50.35, padding=1).select("vec_id", "j", "i", rounded("x", 7).alias("x")),
       "SELECT vec_id, j, i, round(x, 7) AS x FROM {view} WHERE j BETWEEN 0 AND 4 AND i BETWEEN 1 AND 5")
 _grid4 = lambda df: df.select(c("vec_id").alias("t"), c("label").alias("k"), "j", "i", "x")
@@ -87,12 +87,12 @@ frame("select_variables", "les", lambda df: grid.select_variables(df, {"eastward
 
 
 def _velocity(df: DataFrame) -> DataFrame:
-    cube = df.where("label < 3").select(c("vec_id").alias("t"), c("label").alias("k"), "j", "i", c("x").alias("U"), (c("x") * 2).alias("V"), (c("x") + c("j")).alias("W"))
+    cube = df.select(c("vec_id").alias("t"), c("label").alias("k"), "j", "i", c("x").alias("U"), (c("x") * 2).alias("V"), (c("x") + c("j")).alias("W"))
     out = grid.load_velocity(cube, cube, cube, ["t", "k", "j", "i"], staggered={"u": "i", "v": "j"})
     return out.select("t", "k", "j", "i", *[rounded(x, 7).alias(x) for x in "uvw"])
 
 
-frame("load_velocity", "plane", _velocity, """WITH f AS (SELECT vec_id AS t, label AS k, j, i, x, lead(x) OVER (PARTITION BY vec_id, j ORDER BY i) AS xi, lead(x) OVER (PARTITION BY vec_id, i ORDER BY j) AS xj FROM {view} WHERE label < 3)
+frame("load_velocity", "plane", _velocity, """WITH f AS (SELECT vec_id AS t, label AS k, j, i, x, lead(x) OVER (PARTITION BY vec_id, j ORDER BY i) AS xi, lead(x) OVER (PARTITION BY vec_id, i ORDER BY j) AS xj FROM {view})
   SELECT t, k, j, i, round((x + xi) / 2, 7) AS u, round((2 * x + 2 * xj) / 2, 7) AS v, round(x + j, 7) AS w FROM f WHERE xi IS NOT NULL AND xj IS NOT NULL""")
 frame("load_sgs_stress", "les", lambda df: grid.load_sgs_stress(df, ["l_orderkey", "l_linenumber", "l_partkey"], {"m11": "u", "m12": "v", "m13": "w", "m22": "sgs", "m23": "u", "m33": "v"}),
       "SELECT l_orderkey, l_linenumber, l_partkey, u AS m11, v AS m12, w AS m13, sgs AS m22, u AS m23, v AS m33 FROM {view}")
@@ -119,7 +119,7 @@ add("cluster_profiles", _cluster, _cluster_sql())
 
 add("eta_levels", lambda spark, _: domains.eta_levels(spark, 41).select("level", rounded("eta", 9).alias("eta")), "SELECT i::INT AS level, round(1 - pow(i / 40.0::DOUBLE, 1.5), 9) AS eta FROM range(41) t(i)")
 _NML = {"share": {"max_dom": 3}, "geogrid": {"parent_id": [1, 1, 2], "parent_grid_ratio": [1, 3, 3], "i_parent_start": [1, 10, 4], "j_parent_start": [1, 12, 5], "e_we": [100, 31, 22], "e_sn": [90, 28, 19], "dx": 9000, "dy": 9000}}
-add("domain_geometries", lambda spark, _: domains.domains_frame(spark, domains.domain_geometries(_NML)), """
+add("domain_geometries", lambda spark, _: domains.place_domains(domains.nest_table(spark, _NML), 9000.0, 9000.0), """
 WITH RECURSIVE n(domain, parent, ratio, si, sj, nx, ny) AS (VALUES (1, 0, 1, 1, 1, 100, 90), (2, 1, 3, 10, 12, 31, 28), (3, 2, 3, 4, 5, 22, 19)),
 g AS (SELECT domain, parent, 9000::DOUBLE AS dx, 9000::DOUBLE AS dy, nx, ny, 0::DOUBLE AS x0, 0::DOUBLE AS y0 FROM n WHERE parent = 0
   UNION ALL SELECT n.domain, n.parent, g.dx / n.ratio, g.dy / n.ratio, n.nx, n.ny, g.x0 + (n.si - 1) * g.dx, g.y0 + (n.sj - 1) * g.dy FROM n JOIN g ON n.parent = g.domain)
@@ -131,17 +131,17 @@ add("step_field", lambda spark, _: fields.step_field(spark, [5.0, 10.0, 7.0], 2.
     "SELECT t::INT AS t, k::INT AS k, j::INT AS j, [5.0, 10.0, 7.0][t // 4 + 1]::DOUBLE AS u, 0::DOUBLE AS v, 0::DOUBLE AS w FROM range(12) a(t), range(3) b(k), range(4) c(j)")
 add("synthetic_wind_field", lambda spark, _: fields.synthetic_wind_field(spark, 9.0, 16, 8, 8, 0.5, 10.0, 10.0, seed=4))
 
-_META = fields.FieldMeta(50, 8, 8, 10.0, 10.0, 0.5, 55.0, 20.0)
-_field = lambda df: df.where("label = 2").select(c("vec_id").cast("int").alias("t"), c("j").alias("k"), c("i").alias("j"), "x", (c("x") * 2).alias("y"), (c("x") * c("i")).alias("z"))
-_wind = lambda df: fields.from_components(_field(df), ("x", "y", "z"), "t", "k", "j", (50, 8, 8), ("v", "u", "w"), (1.0, -1.0, 1.0), True, True)
+_META = fields.FieldMeta(2000, 8, 8, 10.0, 10.0, 0.5, 55.0, 20.0)
+_field = lambda df: df.select(c("vec_id").cast("int").alias("t"), c("j").alias("k"), c("i").alias("j"), "x", (c("x") * 2).alias("y"), (c("x") * c("i")).alias("z"))
+_wind = lambda df: fields.from_components(_field(df), ("x", "y", "z"), "t", "k", "j", (2000, 8, 8), ("v", "u", "w"), (1.0, -1.0, 1.0), True, True)
 frame("wind_field_from_components", "plane", lambda df: _wind(df).select("t", "k", "j", *[rounded(x, 7).alias(x) for x in "uvw"]),
-      "SELECT vec_id::INT AS t, 7 - j AS k, 7 - i AS j, round(2 * x, 7) AS u, round(-x, 7) AS v, round(x * i, 7) AS w FROM {view} WHERE label = 2")
+      "SELECT vec_id::INT AS t, 7 - j AS k, 7 - i AS j, round(2 * x, 7) AS u, round(-x, 7) AS v, round(x * i, 7) AS w FROM {view}")
 frame("velocity_at", "plane", lambda df: fields.velocity_at(_wind(df), _META, 5.0, 61.0).select("t", *[rounded(x, 7).alias(x) for x in "uvw"]),
-      "SELECT vec_id::INT AS t, round(2 * x, 7) AS u, round(-x, 7) AS v, round(x * i, 7) AS w FROM {view} WHERE label = 2 AND 7 - j = 4 AND 7 - i = 4")
+      "SELECT vec_id::INT AS t, round(2 * x, 7) AS u, round(-x, 7) AS v, round(x * i, 7) AS w FROM {view} WHERE 7 - j = 4 AND 7 - i = 4")
 frame("field_horizontal_plane", "plane", lambda df: fields.horizontal_plane(_wind(df), _META, 61.0).select("t", "j", *[rounded(x, 7).alias(x) for x in "uvw"]),
-      "SELECT vec_id::INT AS t, 7 - i AS j, round(2 * x, 7) AS u, round(-x, 7) AS v, round(x * i, 7) AS w FROM {view} WHERE label = 2 AND 7 - j = 4")
+      "SELECT vec_id::INT AS t, 7 - i AS j, round(2 * x, 7) AS u, round(-x, 7) AS v, round(x * i, 7) AS w FROM {view} WHERE 7 - j = 4")
 frame("field_vertical_profile", "plane", lambda df: fields.vertical_profile(_wind(df), _META).select("k", "height", *[rounded(x, 7).alias(x) for x in "uvw"]),
-      "SELECT 7 - j AS k, (7 - j) * 10.0 + 20 AS height, round(avg(2 * x), 7) AS u, round(avg(-x), 7) AS v, round(avg(x * i), 7) AS w FROM {view} WHERE label = 2 GROUP BY j")
+      "SELECT 7 - j AS k, (7 - j) * 10.0 + 20 AS height, round(avg(2 * x), 7) AS u, round(avg(-x), 7) AS v, round(avg(x * i), 7) AS w FROM {view} GROUP BY j")
 
 
 def _joined(df: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def _joined(df: DataFrame) -> DataFrame:
     return out.groupBy("t").agg(F.count("*").alias("cells")).withColumn("mean_speed", rounded(F.lit(meta.mean_speed), 7))
 
 
-frame("concatenate_fields", "plane", _joined, """WITH f AS (SELECT vec_id::INT AS t, 7 - j AS k, 2 * x AS u FROM {view} WHERE label = 2)
-  SELECT t + d AS t, count(*) AS cells, (SELECT round(avg(u), 7) FROM f WHERE k = 4) AS mean_speed FROM f, (VALUES (0), (50)) s(d) GROUP BY t + d""")
+frame("concatenate_fields", "plane", _joined, """WITH f AS (SELECT vec_id::INT AS t, 7 - j AS k, 2 * x AS u FROM {view})
+  SELECT t + d AS t, count(*) AS cells, (SELECT round(avg(u), 7) FROM f WHERE k = 4) AS mean_speed FROM f, (VALUES (0), (2000)) s(d) GROUP BY t + d""")
 frame("bts_round_trip", "plane", lambda df: fields.max_error(_wind(df), fields.quantise(_wind(df)).select("t", "k", "j", *[c(f"d{x}").alias(x) for x in "uvw"])).select((c("max_abs_error") < 0.01).alias("within"), "unmatched"),
       "SELECT true AS within, 0::BIGINT AS unmatched")

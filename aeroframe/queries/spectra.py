@@ -32,8 +32,8 @@ frame("coherence", "signal", lambda df: spectral.coherence(df.withColumn("y", c(
 frame("log_bin", "signal", lambda df: spectral.log_bin(df.select("vec_id", (c("n") * 1.0).alias("f"), "x"), "f", "x", ["vec_id"], 7).select("vec_id", "bin", rounded("frequency").alias("frequency"), F.nanvl(rounded("power"), F.lit(-99.0)).alias("power")),
       """WITH e AS (SELECT vec_id, n AS f, x, floor(ln(n) / (ln(63) / 7))::INT AS bin FROM {view} WHERE n > 0), m AS (SELECT vec_id, bin, avg(x) AS x FROM e WHERE bin < 7 AND f < 63 GROUP BY 1, 2)
       SELECT v.vec_id, b::INT AS bin, round(exp((b + 0.5) * ln(63) / 7), 6) AS frequency, coalesce(round(m.x, 6), -99) AS power FROM (SELECT DISTINCT vec_id FROM {view}) v CROSS JOIN range(7) r(b) LEFT JOIN m ON m.vec_id = v.vec_id AND m.bin = b""")
-frame("radial_wavenumber_spectrum", "plane", lambda df: spectral.radial_wavenumber_spectrum(df.where("label = 1"), "x", ["vec_id"], 1.0).select("vec_id", "bin", rounded("wavenumber").alias("wavenumber"), rounded("power").alias("power")),
-      """WITH d AS (SELECT vec_id, j, i, x - avg(x) OVER (PARTITION BY vec_id) AS x FROM {view} WHERE label = 1),
+frame("radial_wavenumber_spectrum", "plane", lambda df: spectral.radial_wavenumber_spectrum(df, "x", ["vec_id"], 1.0).select("vec_id", "bin", rounded("wavenumber").alias("wavenumber"), rounded("power").alias("power")),
+      """WITH d AS (SELECT vec_id, j, i, x - avg(x) OVER (PARTITION BY vec_id) AS x FROM {view}),
       k AS (SELECT a, b, sqrt(pow((CASE WHEN a >= 4 THEN a - 8 ELSE a END) / 8.0::DOUBLE, 2) + pow((CASE WHEN b >= 4 THEN b - 8 ELSE b END) / 8.0::DOUBLE, 2)) AS r FROM range(8) p(a), range(8) q(b)),
       t AS (SELECT vec_id, a, b, r, sum(x * cos(2 * pi() * (a * j + b * i) / 8)) AS re, sum(x * sin(2 * pi() * (a * j + b * i) / 8)) AS im FROM d, k GROUP BY 1, 2, 3, 4),
       g AS (SELECT vec_id, (r >= 1 * (sqrt(0.5) / 4))::INT + (r >= 2 * (sqrt(0.5) / 4))::INT + (r >= 3 * (sqrt(0.5) / 4))::INT + (r >= sqrt(0.5))::INT AS bin, (re * re + im * im) / 64 AS p FROM t)

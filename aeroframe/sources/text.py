@@ -128,21 +128,21 @@ def read_full_field_text(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for name, text in zip(b["path"], b["value"]):
-                lines = text.splitlines()
-                meta = [float(x) for x in re.findall(r"[-+.\deE]+", lines[4])[:7]]
-                if len(meta) < 7:
+                lines = text.split("\n")
+                numbers = [float(x) for x in re.findall(r"[-+.\deE]+", lines[4])]
+                if len(numbers) < 7:
                     raise ValueError(f"no grid in {name}")
-                ny, nz, hub = int(meta[0]), int(meta[1]), meta[5]
-                z = np.array(lines[7].split()[:nz], float) + hub
-                y = np.array(lines[10].split()[:ny], float)
-                rows = np.array(" ".join(lines[12:]).split(), float)
-                if len(rows) % (2 + ny * nz):
+                ny, nz = map(int, numbers[:2])
+                heights, across = (np.array(lines[at].split()[:n], float) for at, n in ((7, nz), (10, ny)))
+                # a record is its time, the wind at the hub, and the plane from the far side to the near one
+                record = np.dtype([("time", "f8"), ("hub", "f8"), ("u", "f8", (nz, ny))])
+                values = np.array(" ".join(lines[12:]).split(), float)
+                if len(values) * 8 % record.itemsize:
                     raise ValueError(f"incomplete record in {name}")
-                rows = rows.reshape(-1, 2 + ny * nz)
-                for t, row in enumerate(rows):
-                    k, j = np.indices((nz, ny))
-                    u = row[2:].reshape(nz, ny)[:, ::-1]
-                    yield pd.DataFrame({"path": name, "t": t, "time": row[0], "k": k.ravel(), "j": j.ravel(), "z": z[k.ravel()], "y": y[j.ravel()], "u": u.ravel(), "hub_wind": row[1]})
+                data = values.view(record)
+                t, k, j = (x.ravel() for x in np.indices((len(data), nz, ny)))
+                yield pd.DataFrame({"path": name, "t": t, "time": data["time"][t], "k": k, "j": j, "z": heights[k] + numbers[5], "y": across[j],
+                                    "u": data["u"][t, k, ny - 1 - j], "hub_wind": data["hub"][t]})
 
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return whole.mapInPandas(run, "path string, t int, time double, k int, j int, z double, y double, u double, hub_wind double")
@@ -183,50 +183,70 @@ def update_parameters(path: str, values: dict, output: str | None = None) -> Pat
     return target
 
 
-def parse_value(text: str):
-    """A namelist value: comma lists, logicals, whole and real numbers, quoted or bare strings."""
-    def one(token: str):
-        token = token.strip()
-        if token.lower() in (".true.", ".false."):
-            return token.lower() == ".true."
-        if token[:1] in "\"'" and token[:1]:
-            return token.strip("\"'")
+# One pattern for a whole control file: what to pass over, group marks, names, values.
+_NAMELIST = re.compile(r"""(?P<skip>[\s,]+|!.*)|&(?P<group>\w+)|(?P<end>/)|(?P<name>[A-Za-z_][\w()]*)\s*=|'(?P<single>[^']*)'|"(?P<double>[^"]*)"|(?P<bare>[^\s,!/'"]+)""")
+
+
+def _scan(text: str):
+    """(kind, content) of each token; values come as (value, Python value)."""
+    for m in _NAMELIST.finditer(text):
+        kind = m.lastgroup
+        if kind in ("single", "double"):
+            yield "value", m[kind]
+        elif kind == "bare":
+            yield "value", _bare(m[kind])
+        elif kind != "skip":
+            yield kind, m[kind]
+
+
+def _bare(token: str):
+    """A logical, a whole or real number, or the token itself."""
+    logical = {".true.": True, ".false.": False}.get(token.lower())
+    if logical is not None:
+        return logical
+    for kind in (int, float):
         try:
-            return float(token) if any(c in token.lower() for c in ".ed") else int(token)
+            return kind(token)
         except ValueError:
-            return token
+            continue
+    return token
+
 
-    values = [one(t) for t in text.split(",") if t.strip()]
+def parse_value(text: str):
+    """The value of a namelist entry; several make a list."""
+    values = [x for kind, x in _scan(text) if kind == "value"]
     return values[0] if len(values) == 1 else values
 
 
 def read_namelist(path: str) -> dict[str, dict]:
-    """`&group ... /` blocks of a (small) control file."""
-    out: dict[str, dict] = {}
-    group, name, held = None, None, {}
-    for raw in Path(path).read_text(encoding="utf-8").splitlines():
-        line = raw.split("!")[0].strip()
-        if line.startswith("&"):
-            group, name = line[1:].strip(), None
-            held = out.setdefault(group, {})
-        elif line.startswith("/"):
-            group = None
-        elif group is not None and "=" in line:
-            name, value = (x.strip() for x in line.split("=", 1))
-            held[name] = value
-        elif group is not None and name is not None and line:
-            held[name] += "," + line  # a value that goes on
-    return {g: {k: parse_value(v) for k, v in values.items()} for g, values in out.items()}
+    """`&group name = values ... /` blocks of a (small) control file."""
+    entries: dict[str, dict[str, list]] = {}
+    here = target = None
+    for kind, x in _scan(Path(path).read_text(encoding="utf-8")):
+        if kind == "group":
+            here, target = entries.setdefault(x, {}), None
+        elif kind == "end":
+            here = target = None
+        elif kind == "name" and here is not None:
+            target = here[x] = []
+        elif kind == "value" and target is not None:
+            target.append(x)
+    return {g: {k: v[0] if len(v) == 1 else v for k, v in held.items()} for g, held in entries.items()}
 
 
 def update_namelist_dates(path: str, start: str, end: str, domains: int, output: str | None = None) -> Path:
-    """Replace start_date and end_date, repeated per domain."""
-    text = Path(path).read_text(encoding="utf-8")
-    for name, value in (("start_date", start), ("end_date", end)):
-        shown = ", ".join([f"'{value}'"] * domains)
-        text, n = re.subn(rf"(?m)^(\s*{name}\s*=).*$", rf"\g<1> {shown},", text)
-        if not n:
-            raise KeyError(name)
+    """Put new dates, one per domain, in place of start_date and end_date; all else stays as it is."""
+    new = {"start_date": start, "end_date": end}
+    lines, left = Path(path).read_text(encoding="utf-8").splitlines(keepends=True), set(new)
+    for n, line in enumerate(lines):
+        entry, equals, rest = line.partition("=")
+        name = entry.strip()
+        if equals and name in new:
+            close = rest[len(rest.rstrip("\r\n")) :]
+            lines[n] = f"{entry}= " + f"'{new[name]}', " * (domains - 1) + f"'{new[name]}',{close}"
+            left.discard(name)
+    if left:
+        raise KeyError(", ".join(sorted(left)))
     target = Path(output or path)
-    target.write_text(text, encoding="utf-8")
+    target.write_text("".join(lines), encoding="utf-8")
     return target

@@ -61,3 +61,38 @@ def test_models_reject_bad_input(spark):
         sm.kaimal_spectrum(1, 1, 1, 1, "x")
     with pytest.raises(Exception, match="stability"):
         value(spark, sm.cheynet_spectrum(1, 10, 80, 0.4, 2.0))
+
+
+def test_no_cell_raises(spark):
+    """Zeros, NaN and NULL in any argument give a value, NaN or NULL, under ANSI arithmetic too."""
+    from aeroframe.functions import boundary_layer as b
+    from aeroframe.functions import spectra_models as m
+    from aeroframe.functions import thermo as t
+
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    made = [
+        (b.bulk_richardson_number, 8), (b.power_law_exponent, 4), (b.friction_velocity, 2), (b.monin_obukhov_length, 3), (b.roughness_length, 3),
+        (b.log_wind_profile, 3), (b.convective_velocity_scale, 3), (t.relative_humidity, 3), (t.dew_point, 2), (t.equivalent_potential_temperature, 3),
+        (t.mixing_ratio_to_specific_humidity, 1), (m.kaimal_spectrum, 4), (m.iec_kaimal_spectrum, 4), (m.von_karman_spectrum, 4), (m.exponential_coherence, 3),
+    ]
+    odd = [0.0, float("nan"), None, -1.0, -243.5, 29.65, 30.11, 1.0]
+    names = "abcdefgh"
+    rows = [tuple(odd[(k + n * s) % len(odd)] for n in range(8)) for s in range(8) for k in range(len(odd))] + [(x,) * 8 for x in odd]
+    df = spark.createDataFrame(rows, ", ".join(f"{x} double" for x in names))
+    got = df.select(*[f(*names[:n]).alias(f.__name__) for f, n in made]).collect()
+    assert len(got) == len(rows)
+
+
+def test_synthetic_field_falls_off_with_its_length(spark):
+    """Two lengths with the same noise: spectra differ by the ratio of their responses."""
+    import numpy as np
+
+    from aeroframe.operators import fields
+
+    planes = {}
+    for length in (20.0, 60.0):
+        df = fields.synthetic_wind_field(spark, 0.0, 2, 16, 16, 1.0, 10.0, 10.0, length_scale=length, seed=5).orderBy("t", "k", "j").toPandas()
+        planes[length] = np.fft.fft2(df["u"].to_numpy().reshape(2, 16, 16))
+    k = np.hypot(np.fft.fftfreq(16, 10.0)[:, None], np.fft.fftfreq(16, 10.0)[None, :])
+    ratio = np.abs(planes[60.0] / planes[20.0]) / np.exp(-0.5 * k * 40.0)
+    assert np.allclose(ratio, ratio[0, 1, 1], rtol=1e-6)

@@ -97,13 +97,13 @@ def test_namelist_and_domains(spark, tmp_path):
     path.write_text("&share\n max_dom = 2,\n start_date = 'a',\n end_date = 'b',\n/\n&geogrid\n parent_id = 1, 1,\n parent_grid_ratio = 1, 3,\n i_parent_start = 1, 10,\n j_parent_start = 1, 10,\n e_we = 100, 31,\n e_sn = 100, 31,\n dx = 9000,\n dy = 9000,\n flag = .true.,\n odd = 1d0,\n/\n")
     got = text.read_namelist(str(path))
     assert got["geogrid"]["flag"] is True and got["geogrid"]["odd"] == "1d0"
-    nest = domains.domain_geometries(got)
-    assert nest[1].dx == 3000 and nest[1].x0 == 81000
+    nest = {r["domain"]: r for r in domains.place_domains(domains.nest_table(spark, got), 9000, 9000).collect()}
+    assert nest[2]["dx"] == 3000 and nest[2]["x0"] == 81000 and nest[1]["parent"] == 0
     text.update_namelist_dates(str(path), "2020-01-01", "2020-01-02", domains=2)
     assert text.read_namelist(str(path))["share"]["start_date"] == ["2020-01-01"] * 2
     got["geogrid"]["e_we"] = [100, 400]
     with pytest.raises(ValueError):
-        domains.domain_geometries(got)
+        domains.place_domains(domains.nest_table(spark, got), 9000, 9000)
     eta = [r["eta"] for r in domains.eta_levels(spark, 5).orderBy("level").collect()]
     assert eta[0] == 1 and eta[-1] == 0 and eta == sorted(eta, reverse=True)
 
