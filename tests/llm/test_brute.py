@@ -319,9 +319,9 @@ def test_leaks_without_the_rarest_words_and_short_passages(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, _bench(spark, items), cosine=0.95).collect()} < got
 
 
-def test_leaks_equal_brute_force(spark, text):
-    """Every span of every text against every passage, without retrieval."""
-    bench = {r["item_id"]: decontaminate._plain(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+def _leaks(text, bench):
+    """Every span of every text against every passage, without retrieval: (text, passage)
+    pairs that surely leak, and those that surely do not."""
     sure, never = set(), set()
     for i, t in text.items():
         words = decontaminate._plain(t)
@@ -333,10 +333,45 @@ def test_leaks_equal_brute_force(spark, text):
                 if sum(w in known for w in span) >= 0.5 * n:
                     best = max(best, decontaminate.lcs_length(item, span) / n)
             (sure if best >= 0.75 else never if best < 0.5 else set()).add((i, k))
+    return sure, never
+
+
+@pytest.fixture(scope="module")
+def bench(spark):
+    return {r["item_id"]: decontaminate._plain(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+
+
+def test_leaks_equal_brute_force(spark, text, bench):
+    sure, never = _leaks(text, bench)
     got = {(r["doc_id"], r["item_id"]) for r in query(spark, "op7_decontamination").collect()}
     assert sure and sure <= got and not got & never
 
 
+def test_pipeline_against_brute_force(spark, bench):
+    """Each stage's decisions on its own input, worked out in plain Python."""
+    import corpus_pipeline
+
+    docs, kept = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, SF))
+        kept.append(docs)
+    told = [{r["doc_id"]: r["text"] or "" for r in d.collect()} for d in kept[:4]]
+    scores = {r["doc_id"]: r["score"] for r in query(spark, "op3_toxicity").collect()}
+    assert set(told[0]) == {i for i, x in scores.items() if x < 0.5}
+    groups = _components({i: _shingles(t) for i, t in told[0].items()}, _alike)
+    assert set(told[1]) == {i for i, g in groups.items() if i == g} < set(told[0])
+    sure, never = _leaks(told[1], bench)
+    gone = set(told[1]) - set(told[2])
+    assert {i for i, _ in sure} <= gone and all(any((i, k) not in never for k in bench) for i in gone)
+    strong = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12,}|AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}""")
+    weak = re.compile(r"(?i)password|passwd|secret|token|api_?key|client|user|login|account|://")
+    assert set(told[3]) == set(told[2]) and any(strong.search(t) for t in told[2].values())
+    for i, t in told[3].items():
+        assert not strong.search(t) and (t == told[2][i] or strong.search(told[2][i]) or weak.search(told[2][i]))
+    tokens = {i: len(packing.token_ids(t, packing.default_tokenizer())) for i, t in told[3].items()}
+    assert {r["doc_id"]: r["n"] for r in kept[4].groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == tokens
+
+
 def test_answers_are_checked(spark):
     docs = spark.createDataFrame([(1, f"{PROSE} quite otherwise"), (2, f"{PROSE} unknown")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, PROSE, "Quite otherwise.")], "item_id long, text string, answer string")
