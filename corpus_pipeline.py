@@ -55,7 +55,7 @@ STAGES = [
 ]
 
 # Learning, banded hashing, a singular value decomposition and a tokenizer have
-# no SQL form; the tests hold each stage against a brute-force version.
+# no SQL form; the tests hold the stages against brute-force versions of their decisions.
 ORACLE_SQL = None
 
 
