@@ -5,10 +5,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeroframe.functions.common import GRAVITY, NAN, col, divide
+from aeroframe.operators.spectral import per_series
 
 
 def _axis(by: list[str], order) -> Window:
@@ -16,10 +18,15 @@ def _axis(by: list[str], order) -> Window:
 
 
 def gradient(x, by: list[str], order, spacing: float = 1.0) -> Column:
-    """Central differences inside, one-sided at the ends; NULL for a single point."""
+    """Central differences inside, one-sided at the ends; NULL for a single point.
+
+    A row's place in its line says what is an end, so a missing neighbour inside
+    the line leaves the difference missing.
+    """
     w = _axis(by, order)
     c, before, after = col(x), F.lag(col(x)).over(w), F.lead(col(x)).over(w)
-    return F.coalesce((after - before) / (2 * spacing), (after - c) / spacing, (c - before) / spacing)
+    first, last = F.lag(F.lit(1)).over(w).isNull(), F.lead(F.lit(1)).over(w).isNull()
+    return F.when(first, (after - c) / spacing).when(last, (c - before) / spacing).otherwise((after - before) / (2 * spacing))
 
 
 def destagger(df: DataFrame, values: list[str], by: list[str], order: str) -> DataFrame:
@@ -144,18 +151,17 @@ def zero_crossing_frequency(df: DataFrame, value: str, by: list[str], order, sam
 def integral_time_scale(df: DataFrame, value: str, by: list[str], order: str, spacing: float = 1.0) -> DataFrame:
     """Trapezoid of the biased autocorrelation up to its first value at or below 0.
 
-    Works on one array per series, as lags of a series need all its samples.
+    All lags of a series come from one padded transform; values within 1e-12 of
+    the variance count as 0. NaN for constant series and those with missing values.
     """
-    lines = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col(value).alias("x")))).alias("s"))
-    x = F.transform("s", lambda p: p["x"])
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    lines = lines.select(*by, x.alias("x")).withColumn("m", total(F.col("x")) / F.size("x")).select(*by, F.transform("x", lambda v: v - F.col("m")).alias("x"))
-    n = F.size("x")
-    lag = lambda k: total(F.zip_with(F.slice("x", 1, n - k), F.slice("x", k + 1, n - k), lambda a, b: a * b))
-    lines = lines.select(*by, F.transform(F.sequence(F.lit(0), n - 1), lag).alias("r"))
-    lines = lines.select(*by, F.when(F.get("r", F.lit(0)) > 0, F.transform("r", lambda v: v / F.get("r", F.lit(0)))).alias("r"))
-    stop = F.filter(F.transform("r", lambda v, k: F.when(v <= 0, k)), lambda k: k.isNotNull())
-    last = F.coalesce(F.get(stop, F.lit(0)), F.size("r")) - 1
-    part = F.zip_with(F.slice("r", 1, last), F.slice("r", 2, last), lambda a, b: (a + b) / 2)
-    area = F.when(last > 0, total(part)).otherwise(F.lit(0.0)) * spacing
-    return lines.select(*by, F.when(F.col("r").isNull(), F.lit(NAN)).otherwise(area).alias("time_scale"))
+    def compute(x):
+        n = len(x)
+        r = np.fft.irfft(np.abs(np.fft.rfft(x - x.mean(), 2 * n)) ** 2, 2 * n)[:n]
+        if not r[0] > 0:
+            return {"time_scale": [np.nan]}
+        r = r / r[0]
+        below = np.flatnonzero(r < 1e-12)
+        r = r[: below[0]] if len(below) else r
+        return {"time_scale": [spacing * (r[1:] + r[:-1]).sum() / 2]}
+
+    return per_series(df, by, [value], order, "time_scale double", compute)
