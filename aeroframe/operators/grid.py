@@ -6,6 +6,7 @@ Default axis names: ``t`` time, ``k`` level, ``j`` south-north, ``i`` west-east.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,36 +100,37 @@ def subset_by_bounds(df: DataFrame, west: float, east: float, south: float, nort
     return kept.drop("_j0", "_j1", "_i0", "_i1")
 
 
-def bracket(df: DataFrame, values: list[str], height, by: list[str], levels: list[float]) -> DataFrame:
+def bracket(df: DataFrame, values: list[str], height, by: list[str], levels: list[float], least: int = 1) -> DataFrame:
     """Linear interpolation of ``values`` to each level of each column (``by``).
 
     Each row is a bracket to the next height; the levels inside it come from an
-    array literal, so no range join is planned. Knots give their own value; a
-    level outside a column gives NaN.
+    array literal, so no range join is planned. The first row of a column also
+    stands for all levels, so that one exchange serves the window and the
+    aggregate. Knots give their own value; a level outside a column, and columns
+    of fewer than ``least`` finite heights, give NaN. Of equal heights the one
+    last in value order counts; repeated levels count once.
     """
-    w = Window.partitionBy(*by).orderBy("_z")
-    rows = df.select(*by, *values, col(height).cast("double").alias("_z"))
-    rows = rows.select(*by, "_z", F.lead("_z").over(w).alias("_z2"), *values, *[F.lead(v).over(w).alias(f"_{v}2") for v in values])
-    array = F.array(*[F.lit(float(x)) for x in levels])
+    w = Window.partitionBy(*by).orderBy(F.col("_z").asc_nulls_last(), *values)
+    rows = df.select(*by, *values, finite(col(height).cast("double")).alias("_z"))
+    if least > 1:
+        known = F.count("_z").over(Window.partitionBy(*by))
+        rows = rows.select(*by, *values, F.when(known >= least, F.col("_z")).alias("_z"))
+    rows = rows.select(*by, "_z", F.lead("_z").over(w).alias("_z2"), (F.row_number().over(w) == 1).alias("_first"), *values, *[F.lead(v).over(w).alias(f"_{v}2") for v in values])
+    array = F.array(*[F.lit(float(x)) for x in dict.fromkeys(levels)])
     # half open, but for the last knot
     inside = lambda x: ((x >= F.col("_z")) & (x < F.col("_z2"))) | (F.col("_z2").isNull() & (x == F.col("_z")))
-    hit = rows.withColumn("level", F.explode(F.filter(array, inside)))
-    share = F.when(F.col("_z2").isNull(), F.lit(0.0)).otherwise((F.col("level") - F.col("_z")) / (F.col("_z2") - F.col("_z")))
-    found = hit.select(*by, "level", *[F.when(F.col("_z2").isNull(), F.col(v)).otherwise(F.col(v) + share * (F.col(f"_{v}2") - F.col(v))).alias(v) for v in values])
-    found = found.dropDuplicates([*by, "level"])
-    every = df.select(*by).distinct().withColumn("level", F.explode(array))
-    return every.join(found, [*by, "level"], "left").select(*by, "level", *[F.coalesce(v, F.lit(NAN)).alias(v) for v in values])
+    hit = rows.withColumn("level", F.explode(F.when(F.col("_first"), array).otherwise(F.filter(array, inside)))).withColumn("_in", inside(F.col("level")))
+    share = (F.col("level") - F.col("_z")) / (F.col("_z2") - F.col("_z"))
+    at = lambda v: F.when(F.col("_z2").isNull(), F.col(v)).otherwise(F.col(v) + share * (F.col(f"_{v}2") - F.col(v)))
+    found = [F.max(F.when(F.col("_in"), at(v))) for v in values]
+    return hit.groupBy(*by, "level").agg(*[F.coalesce(x, F.lit(NAN)).alias(v) for v, x in zip(values, found)])
 
 
 def interpolate_to_levels(df: DataFrame, value: str, height: str, by: list[str], levels: list[float]) -> DataFrame:
     """``bracket`` on the finite pairs; columns with fewer than two give NaN."""
     z, v = finite(height), finite(value)
-    good = df.select(*by, F.when(z.isNotNull() & v.isNotNull(), z).alias(height), v.alias(value))
-    n = F.count(height).over(Window.partitionBy(*by))
-    enough = good.withColumn("_n", n).where((F.col("_n") >= 2) & F.col(height).isNotNull()).drop("_n")
-    out = bracket(enough, [value], height, by, levels)
-    every = df.select(*by).distinct().withColumn("level", F.explode(F.array(*[F.lit(float(x)) for x in levels])))
-    return every.join(out, [*by, "level"], "left").withColumn(value, F.coalesce(value, F.lit(NAN)))
+    good = df.select(*by, F.when(v.isNotNull(), z).alias(height), F.when(z.isNotNull(), v).alias(value))
+    return bracket(good, [value], height, by, levels, 2)
 
 
 to_levels = interpolate_to_levels
@@ -155,26 +157,34 @@ def rotor_shear_veer(df: DataFrame, speed: str, direction: str, height: str, by:
     return both.select(*by, (log(divide("b", "a")) / math.log(top / bottom)).alias("shear"), F.degrees(F.atan2(F.sin(angle), F.cos(angle))).alias("veer"))
 
 
+# Rows up to which a table of weights is sent to every task; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def weight_table(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    table = df.sparkSession.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
+
+
 def transect(df: DataFrame, value: str, start: tuple[float, float], end: tuple[float, float], by: list[str], shape: tuple[int, int], points: int = 100) -> DataFrame:
     """``points`` bilinear samples on the index-space line from ``start`` to ``end`` (y, x).
 
-    Each cell serves the samples that it neighbours, so one pass and one
-    aggregate do; neighbours beyond the grid are its edge.
+    Each cell meets the samples that it neighbours by an equi-join with their
+    weights; neighbours beyond the grid are its edge.
     """
     ny, nx = shape
-    samples = []
+    samples: list[tuple] = []
     for k in range(points):
         f = k / (points - 1) if points > 1 else 0.0
-        y, x = start[0] + (end[0] - start[0]) * f, start[1] + (end[1] - start[1]) * f
+        y, x = float(start[0] + (end[0] - start[0]) * f), float(start[1] + (end[1] - start[1]) * f)
         fy, fx = math.floor(y), math.floor(x)
         y0, x0 = min(max(fy, 0), ny - 1), min(max(fx, 0), nx - 1)
         y1, x1 = min(max(fy + 1, 0), ny - 1), min(max(fx + 1, 0), nx - 1)
         wy, wx = y - y0, x - x0
         samples += [(k, y, x, y0, x0, (1 - wy) * (1 - wx)), (k, y, x, y0, x1, (1 - wy) * wx), (k, y, x, y1, x0, wy * (1 - wx)), (k, y, x, y1, x1, wy * wx)]
-    corners = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("point", "at_y", "at_x", "j", "i", "weight"), s)]) for s in samples])
-    mine = F.filter(corners, lambda c: (c["j"] == F.col("j")) & (c["i"] == F.col("i")))
-    parts = df.select(*by, F.col(value).alias("_v"), F.explode(mine).alias("c"))
-    return parts.groupBy(*by, "c.point", "c.at_y", "c.at_x").agg(F.sum(F.col("_v") * F.col("c.weight")).alias(value))
+    corners = weight_table(df, samples, "point int, at_y double, at_x double, _j int, _i int, _w double")
+    parts = df.select(*by, "j", "i", F.col(value).alias("_v")).join(corners, (F.col("j") == F.col("_j")) & (F.col("i") == F.col("_i")))
+    return parts.groupBy(*by, "point", "at_y", "at_x").agg(F.sum(F.col("_v") * F.col("_w")).alias(value))
 
 
 def _bracket_index(source: list[float], targets: list[float]) -> list[tuple[int, float, int, float]]:
@@ -183,21 +193,25 @@ def _bracket_index(source: list[float], targets: list[float]) -> list[tuple[int,
         raise ValueError("source coordinates must rise")
     out = []
     for n, t in enumerate(targets):
-        k = min(max(sum(s < t for s in source) - 1, 0), len(source) - 2)
+        k = min(max(bisect_left(source, t) - 1, 0), len(source) - 2)
         out.append((n, float(t), k, (t - source[k]) / (source[k + 1] - source[k])))
     return out
 
 
 def regrid_regular(df: DataFrame, value: str, source_x: list[float], source_y: list[float], target_x: list[float], target_y: list[float], by: list[str]) -> DataFrame:
-    """Bilinear on rising axes; linear extrapolation outside. One aggregate, no join."""
-    def weights(axis: str, source, targets, index: str) -> Column:
-        terms = [(n, t, k, 1 - w) for n, t, k, w in _bracket_index(source, targets)] + [(n, t, k + 1, w) for n, t, k, w in _bracket_index(source, targets)]
-        every = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(t).alias("at"), F.lit(k).alias("k"), F.lit(w).alias("w")) for n, t, k, w in terms])
-        return F.filter(every, lambda c: c["k"] == F.col(index)).alias(axis)
-
-    parts = df.select(*by, F.col(value).alias("_v"), weights("_y", source_y, target_y, "j"), weights("_x", source_x, target_x, "i"))
-    parts = parts.select(*by, "_v", "_x", F.explode("_y").alias("y")).select(*by, "_v", "y", F.explode("_x").alias("x"))
-    return parts.groupBy(*by, F.col("y.n").alias("j"), F.col("x.n").alias("i")).agg(F.sum(F.col("_v") * F.col("y.w") * F.col("x.w")).alias(value))
+    """Bilinear on rising axes; linear extrapolation outside. Each axis is an
+    equi-join with its weights and a sum: first along x, then along y, so the
+    rows in between are those of one axis only."""
+    def along(rows: DataFrame, index: str, others: list[str], source, targets) -> DataFrame:
+        found = _bracket_index(source, targets)
+        terms = [(n, k + d, float(w if d else 1 - w)) for n, _, k, w in found for d in (0, 1)]
+        weights = weight_table(df, terms, "_n int, _k int, _w double")
+        met = rows.join(weights, F.col(index) == F.col("_k"))
+        return met.groupBy(*others, F.col("_n").alias(index)).agg(F.sum(F.col("_v") * F.col("_w")).alias("_v"))
+
+    cells = df.select(*by, "j", "i", F.col(value).alias("_v"))
+    out = along(along(cells, "i", [*by, "j"], source_x, target_x), "j", [*by, "i"], source_y, target_y)
+    return out.select(*by, "j", "i", F.col("_v").alias(value))
 
 
 def boundary_discontinuity(df: DataFrame, value: str, shape: tuple[int, int], by: list[str], width: int = 1) -> DataFrame:
