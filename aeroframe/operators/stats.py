@@ -85,23 +85,28 @@ def rank_cases(df: DataFrame, case: str, model: str, observed: str, metric: str
 
 
 def kantorovich_distance(df: DataFrame, first: str, second: str, by: list[str]) -> DataFrame:
-    """Mean distance of the sorted values per group; groups of equal counts only
-    need ranks, others linear quantiles at the larger count's levels."""
-    n, m = F.count(F.col(first)), F.count(F.col(second))
-    grouped = df.groupBy(*by).agg(
-        n.alias("n"), m.alias("m"), F.sort_array(F.collect_list(first)).alias("a"), F.sort_array(F.collect_list(second)).alias("b"))
-    levels = F.greatest("n", "m")
-
-    def at(values: str, count: str, k: Column) -> Column:
-        place = F.when(levels > 1, k * (F.col(count) - 1) / (levels - 1)).otherwise(F.lit(0.0))
-        low = F.floor(place).cast("int")
-        high = F.least(low + 1, F.col(count).cast("int") - 1)
-        x, y = F.get(F.col(values), low), F.get(F.col(values), high)
-        return x + (y - x) * (place - low)
-
-    steps = F.transform(F.sequence(F.lit(0), (levels - 1).cast("int")), lambda k: F.abs(at("a", "n", k) - at("b", "m", k)))
-    total = F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)
-    return grouped.select(*by, F.when((F.col("n") > 0) & (F.col("m") > 0), total / levels).alias("distance"))
+    """Mean distance of the sorted values per group, by linear quantiles at the
+    levels of the side with more values; NULL where a side has none.
+
+    Each side is ranked by a window, which spills; ranks meet by an equi-join, so
+    no group is ever held in one row. Of equal counts the first side gives the levels.
+    """
+    keys = F.struct(*[F.col(b) for b in by], F.lit(0)).alias("_g")
+    ends = [(0, first), (1, second)]
+    values = df.select(keys, F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).cast("double").alias("x")) for s, c in ends])).alias("_v"))
+    values = values.select("_g", F.col("_v.side").alias("_side"), F.col("_v.x").alias("_x")).where("_x IS NOT NULL")
+    sizes = df.groupBy(*by).agg(F.count(first).alias("_n0"), F.count(second).alias("_n1")).select(keys, "_n0", "_n1")
+    w = Window.partitionBy("_g", "_side").orderBy("_x")
+    ranked = values.select("_g", "_side", "_x", F.lead("_x").over(w).alias("_next"), (F.row_number().over(w) - 1).cast("bigint").alias("_r")).join(sizes, "_g")
+    larger = F.when(F.col("_n0") >= F.col("_n1"), 0).otherwise(1)
+    n, m = F.greatest("_n0", "_n1"), F.least("_n0", "_n1")
+    place = F.when(n > 1, F.col("_r") * (m - 1) / F.greatest(n - 1, F.lit(1))).otherwise(F.lit(0.0))
+    low = F.floor(place)
+    levels = ranked.where(F.col("_side") == larger).select("_g", F.col("_x").alias("_a"), low.alias("_r"), (place - low).alias("_part"))
+    knots = ranked.where(F.col("_side") != larger).select("_g", "_r", "_x", F.coalesce("_next", "_x").alias("_next"))
+    gap = F.abs(F.col("_a") - (F.col("_x") + (F.col("_next") - F.col("_x")) * F.col("_part")))
+    found = levels.join(knots, ["_g", "_r"]).groupBy("_g").agg(F.avg(gap).alias("distance"))
+    return sizes.join(found, "_g", "left").select(*[F.col(f"_g.{b}").alias(b) for b in by], "distance")
 
 
 def circular_mean(direction, weights=None) -> Column:

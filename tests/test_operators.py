@@ -172,3 +172,45 @@ def test_fields(spark):
     again = fields.synthetic_wind_field(spark, 8.0, 6, 4, 4, 0.5, 10.0, 10.0, sigma=1.5, seed=2)
     assert fields.max_error(made, again).first()["max_abs_error"] == 0
     assert made.agg(F.stddev_pop("v")).first()[0] == pytest.approx(1.5)
+
+
+def test_as_of_join_across_buckets(spark):
+    rng = np.random.default_rng(7)
+    model = [(int(g), int(t), float(n)) for n, (g, t) in enumerate(zip(rng.integers(0, 3, 60), rng.integers(0, 4000, 60)))]
+    seen = [(int(g), int(t), n) for n, (g, t) in enumerate(zip(rng.integers(0, 4, 200), rng.integers(0, 4000, 200)))]
+    stamped = lambda rows, names: spark.createDataFrame(rows, names).withColumn("time", F.timestamp_seconds("s")).drop("s")
+    m, o = stamped(model, "g int, s int, m double"), stamped(seen, "g int, s int, id int")
+    want = {}
+    for g, t, n in seen:
+        near = sorted((abs(t - s), -s, -v) for h, s, v in model if h == g)
+        want[n] = -near[0][2] if near and near[0][0] <= 300 else None
+    for bucket in (10.0, 700.0, 1e9):
+        assert {r["id"]: r["m"] for r in relate.align(m, o, ["m"], by=["g"], tolerance=300, bucket=bucket).collect()} == want
+
+
+def test_missing_neighbour_is_not_an_end(spark):
+    got = [r[1] for r in rows(series(spark, [1, None, 4, 8]).select("n", neighbour.gradient("x", ["g"], "n")), "n")]
+    assert got == [None, 1.5, None, 4.0]
+
+
+def test_transport_distance_by_ranks(spark):
+    rng = np.random.default_rng(9)
+    for n, m in ((1, 7), (7, 3), (5, 5), (2, 9)):
+        a, b = rng.normal(size=n), rng.normal(size=m)
+        levels = np.linspace(0, 1, max(n, m))
+        want = np.abs(np.quantile(a, levels) - np.quantile(b, levels)).mean()
+        df = spark.createDataFrame([(None, float(x), None) for x in a] + [(None, None, float(x)) for x in b], "g int, a double, b double")
+        for by in (["g"], []):
+            assert stats.kantorovich_distance(df, "a", "b", by).first()["distance"] == pytest.approx(want)
+    none = spark.createDataFrame([(1, 1.0, None)], "g int, a double, b double")
+    assert stats.kantorovich_distance(none, "a", "b", ["g"]).first()["distance"] is None
+
+
+def test_time_scale_and_levels_with_gaps(spark):
+    x = np.array([1.0, 0.0, -1.0, 0.0])
+    assert neighbour.integral_time_scale(series(spark, x), "x", ["g"], "n").first()["time_scale"] == 0
+    assert math.isnan(neighbour.integral_time_scale(series(spark, [2.0] * 3), "x", ["g"], "n").first()["time_scale"])
+    assert math.isnan(neighbour.integral_time_scale(series(spark, [2.0, None, 3.0]), "x", ["g"], "n").first()["time_scale"])
+    df = spark.createDataFrame([(0, 0.0, 1.0), (0, None, 9.0), (0, 10.0, None), (0, 20.0, 3.0), (1, None, 1.0)], "g int, z double, x double")
+    got = {(r["g"], r["level"]): r["x"] for r in grid.interpolate_to_levels(df, "x", "z", ["g"], [5.0, 20.0, 30.0]).collect()}
+    assert got[0, 5.0] == 1.5 and got[0, 20.0] == 3 and math.isnan(got[0, 30.0]) and math.isnan(got[1, 5.0]) and len(got) == 6
