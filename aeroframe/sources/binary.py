@@ -4,14 +4,16 @@ decoded in Arrow batches; one file must fit one executor's Python worker."""
 from __future__ import annotations
 
 import struct
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeroframe.operators.fields import FieldMeta, scaling
+from aeroframe.sources import sinks
 
 # Series of a hub-height record, after its time.
 HUB = ("u", "uh", "ut", "v", "w", "u_prime", "v_prime", "w_prime", "uw", "uv", "vw", "tke", "ctke")
@@ -109,12 +111,14 @@ def read_bladed_wnd(spark: SparkSession, path: str, clockwise: bool = False) ->
     return _fields(spark, path, lambda content: decode_wnd(content, clockwise))
 
 
-def read_meta(spark: SparkSession, path: str, kind: str = "bts") -> DataFrame:
+def read_meta(spark: SparkSession, path: str, kind: str = "bts", hub_height: float | None = None) -> DataFrame:
+    """One metadata row per file; ``hub_height`` takes the place of a file's own."""
     decode = decode_bts if kind == "bts" else decode_wnd
+    own = {"hub_height": float(hub_height)} if hub_height else {}
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame([{"path": name, **decode(content)[0].__dict__} for name, content in zip(b["path"], b["content"])])
+            yield pd.DataFrame([{"path": name, **decode(content)[0].__dict__, **own} for name, content in zip(b["path"], b["content"])])
 
     return _files(spark, path).mapInPandas(run, "path string, nt int, nz int, ny int, dy double, dz double, dt double, hub_height double, bottom_height double, description string, mean_speed double")
 
@@ -175,21 +179,24 @@ def read_binary_output(spark: SparkSession, path: str) -> DataFrame:
 
 def _payload(field: DataFrame, codes: list) -> DataFrame:
     """One row of packed codes per time step, in time order."""
-    def run(pdf):
-        pdf = pdf.sort_values(["k", "j"], kind="stable")
-        packed = pdf[["cu", "cv", "cw"]].to_numpy("<i2").tobytes()
-        return pd.DataFrame({"t": [int(pdf["t"].iloc[0])], "codes": [packed]})
+    parts = ["cu", "cv", "cw"]
+    steps = field.select("t", F.struct("k", "j", *codes).alias("_c")).groupBy("t").agg(F.sort_array(F.collect_list("_c")).alias("_s"))
 
-    return field.select("t", "k", "j", *codes).groupBy("t").applyInPandas(run, "t int, codes binary").orderBy("t")
+    def run(batches):
+        for b in batches:
+            packed = np.stack([b.column(c).flatten().to_numpy(zero_copy_only=False) for c in parts], axis=1).astype("<i2")
+            cuts = np.cumsum(pc.list_value_length(b.column("cu")).to_numpy(zero_copy_only=False))[:-1]
+            yield pa.RecordBatch.from_arrays([b.column("t"), pa.array([x.tobytes() for x in np.split(packed, cuts)] if b.num_rows else [], pa.binary())], names=["t", "codes"])
 
+    return steps.select("t", *[F.col(f"_s.{c}").alias(c) for c in parts]).mapInArrow(run, "t int, codes binary").orderBy("t")
 
-def _stream(target: Path, header: bytes, payload: DataFrame) -> Path:
+
+def _stream(target: str, header: bytes, payload: DataFrame) -> str:
     """The driver holds one partition of time steps at a time."""
-    target.parent.mkdir(parents=True, exist_ok=True)
-    with target.open("wb") as out:
-        out.write(header)
+    with sinks.opened(payload.sparkSession, target) as write:
+        write(header)
         for row in payload.toLocalIterator():
-            out.write(row["codes"])
+            write(row["codes"])
     return target
 
 
@@ -197,17 +204,17 @@ def _code(x):
     return F.greatest(F.lit(-32768.0), F.least(F.lit(32767.0), F.rint(x))).cast("int")
 
 
-def write_bts(field: DataFrame, meta: FieldMeta, path: str) -> Path:
+def write_bts(field: DataFrame, meta: FieldMeta, path: str) -> str:
     """Scales come from one aggregate; codes are made where the rows are."""
     parts = [x.alias(f"{n}{c}") for c in "uvw" for n, x in zip("so", scaling(c))]
     s = field.agg(*parts).first()
     text = meta.description.encode("utf-8")
     header = struct.pack("<hiiii6f", 7, meta.nz, meta.ny, 0, meta.nt, meta.dz, meta.dy, meta.dt, meta.mean_speed or 0.0, meta.hub_height, meta.bottom_height)
     header += struct.pack("<6fi", *[s[f"{n}{c}"] for c in "uvw" for n in "so"], len(text)) + text
-    return _stream(Path(path), header, _payload(field, [_code(F.col(c) * float(s[f"s{c}"]) + float(s[f"o{c}"])).alias(f"c{c}") for c in "uvw"]))
+    return _stream(str(path), header, _payload(field, [_code(F.col(c) * float(s[f"s{c}"]) + float(s[f"o{c}"])).alias(f"c{c}") for c in "uvw"]))
 
 
-def write_bladed_wnd(field: DataFrame, meta: FieldMeta, path: str, latitude: float = 0.0, roughness: float = 0.0, clockwise: bool = False) -> Path:
+def write_bladed_wnd(field: DataFrame, meta: FieldMeta, path: str, latitude: float = 0.0, roughness: float = 0.0, clockwise: bool = False) -> str:
     if meta.nt % 2:
         raise ValueError("an even number of time steps is needed")
     mean = float(meta.mean_speed)
@@ -218,7 +225,7 @@ def write_bladed_wnd(field: DataFrame, meta: FieldMeta, path: str, latitude: flo
     centre = meta.bottom_height + meta.dz * (meta.nz - 1) / 2
     header = struct.pack("<hhi9fif", -99, 4, 3, latitude, roughness, centre, *ti, meta.dz, meta.dy, meta.dt * mean, meta.nt // 2, mean)
     header += struct.pack("<fffii", 0, 0, 0, 0, 0) + struct.pack("<8i", meta.nz, meta.ny, 0, 0, 0, 0, 0, 0)
-    return _stream(Path(path), header, _payload(shown, codes))
+    return _stream(str(path), header, _payload(shown, codes))
 
 
 def validate_bts(spark: SparkSession, path: str, expected: DataFrame, tolerance: float = 0.01) -> DataFrame:
@@ -234,9 +241,10 @@ def validate_bts(spark: SparkSession, path: str, expected: DataFrame, tolerance:
     return actual
 
 
-def write_uniform_wind(rows: DataFrame, path: str) -> Path:
+def write_uniform_wind(rows: DataFrame, path: str) -> str:
     """Text table of time, speed, direction, vertical speed (a small series)."""
-    target = Path(path)
-    lines = ["! Time WindSpeed WindDir VertSpeed"] + [" ".join(f"{x:.6f}" for x in r) for r in rows.select("time", "speed", "direction", "vertical_speed").orderBy("time").toLocalIterator()]
-    target.write_text("\n".join(lines) + "\n", encoding="utf-8")
-    return target
+    with sinks.opened(rows.sparkSession, path) as write:
+        write(b"! Time WindSpeed WindDir VertSpeed\n")
+        for r in rows.select("time", "speed", "direction", "vertical_speed").orderBy("time").toLocalIterator():
+            write((" ".join(f"{x:.6f}" for x in r) + "\n").encode())
+    return str(path)

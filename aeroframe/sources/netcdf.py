@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aeroframe.operators.grid import weight_table
+
 # The format's type codes.
 TYPES = {1: "i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: "u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
 # Attributes that files of one sequence must share.
@@ -125,13 +127,27 @@ def _content(spark: SparkSession, path) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def _axes(spark: SparkSession, path, variables: list[str]) -> list[str]:
+    """The axes that the variables share, from one file's header, read in a task."""
+    one = spark.read.format("binaryFile").load(path).select("path").limit(1).first()
+    if one is None:
+        raise FileNotFoundError(f"no file at {path}")
+
+    def run(batches):
+        for b in batches:
+            for content in b["content"]:
+                data = Classic(content)
+                yield pd.DataFrame({"v": [str(v) for v in variables], "dims": [[str(x) for x in (data.variables[v].dims if v in data.variables else data.read(v).shape)] for v in variables]})
+
+    found = {tuple(r["dims"]) for r in _content(spark, one["path"]).mapInPandas(run, "v string, dims array<string>").collect()}
+    if len(found) != 1:
+        raise ValueError("variables on different grids need a table each")
+    return [axis(d) for d in found.pop()]
+
+
 def read_netcdf(spark: SparkSession, path, variables: list[str]) -> DataFrame:
     """path, axes, and one DOUBLE column per variable; the variables share their dimensions."""
-    probe = Classic(bytes(_content(spark, path).select("content").limit(1).first()["content"]))
-    dims = {probe.variables[v].dims if v in probe.variables else probe.read(v).shape for v in variables}
-    if len(dims) != 1:
-        raise ValueError("variables on different grids need a table each")
-    names = [axis(d) for d in dims.pop()]
+    names = _axes(spark, path, variables)
 
     def run(batches):
         for b in batches:
@@ -167,12 +183,14 @@ def open_sequence(spark: SparkSession, paths: list[str], variables: list[str]) -
     stamps = [t for m in order for t in m["times"]]
     if any(b <= a for a, b in zip(stamps, stamps[1:])):
         raise ValueError("times do not rise")
-    out, offset = None, 0
-    for path, m in zip(paths, order):
-        part = read_netcdf(spark, path, variables).withColumn("t", (F.col("t") + offset).cast("int"))
-        out = part if out is None else out.unionByName(part)
+    # one scan of all files; each row's time moves on by the records of the files before
+    starts, offset = [], 0
+    for m in order:
+        starts.append((m["path"], offset))
         offset += m["sizes"].get("Time", len(m["times"]))
-    return out
+    rows = read_netcdf(spark, list(paths), variables)
+    moved = rows.join(weight_table(rows, starts, "path string, _start int"), "path")
+    return moved.select("path", *[(F.col("t") + F.col("_start")).cast("int").alias("t") if c == "t" else F.col(c) for c in rows.columns if c != "path"])
 
 
 def aggregate(spark: SparkSession, paths: list[str], variables: list[str], output: str | None = None) -> DataFrame:

@@ -156,3 +156,25 @@ def test_archive_doctor_and_cli(tmp_path, capsys):
         archive.archive_outputs([str(tmp_path / "x")], str(tmp_path / "to"))
     assert doctor.environment_report()["packages"]["pyspark"]
     assert cli.main(["doctor"]) == 0 and "pyspark" in capsys.readouterr().out
+
+
+def test_conic_projection(spark):
+    # a published worked example on an older ellipsoid
+    old = domains.Conic(23, -96, 33, 45, (6378206.4, 0.00676866))
+    x, y = old.forward(-75, 35)
+    assert (x, y) == (pytest.approx(1894410.9, abs=0.1), pytest.approx(1564649.5, abs=0.1))
+    lon, lat = old.inverse(F.lit(x), F.lit(y))
+    assert tuple(spark.range(1).select(lon, lat).first()) == (pytest.approx(-75, abs=1e-8), pytest.approx(35, abs=1e-8))
+    nest = spark.createDataFrame([(1, 0, 1, 1, 1, 101, 101)], domains.NEST)
+    got = domains.geographic_corners(domains.place_domains(nest, 9000, 9000), 52.0, 5.0, 30.0, 60.0, 5.0).orderBy("corner").collect()
+    west, east = got[0], got[1]
+    assert west["latitude"] == pytest.approx(east["latitude"]) and west["longitude"] + east["longitude"] == pytest.approx(10)
+    south = domains.Conic(-30, 150, -30, -30)
+    lon, lat = south.inverse(*map(F.lit, south.forward(170, -40)))
+    assert tuple(spark.range(1).select(lon, lat).first()) == (pytest.approx(170), pytest.approx(-40))
+
+
+def test_hub_height_of_the_caller(spark, field, tmp_path):
+    df, meta = field
+    path = binary.write_bladed_wnd(df, meta, str(tmp_path / "h.wnd"))
+    assert binary.read_meta(spark, path, "wnd", hub_height=42).first()["hub_height"] == 42
