@@ -88,6 +88,13 @@ def point(df: DataFrame, target_latitude: float, target_longitude: float, lat: s
     return df.join(F.broadcast(cell), ["j", "i"], "left_semi")
 
 
+def collocate_grid(df: DataFrame, target_latitude: float, target_longitude: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """All rows of the cell nearest to the target, with its place: j, i, cell_latitude, cell_longitude."""
+    cell = nearest_grid_point(df.select("j", "i", lat, lon).distinct(), target_latitude, target_longitude, lat, lon).toDF("j", "i", "cell_latitude", "cell_longitude")
+    # one row, so its broadcast has a fixed size
+    return df.join(F.broadcast(cell), ["j", "i"])
+
+
 def subset_by_bounds(df: DataFrame, west: float, east: float, south: float, north: float, lat: str = "lat", lon: str = "lon", padding: int = 0) -> DataFrame:
     """Rows of the smallest index rectangle that holds all cells in the box, padded."""
     if west >= east or south >= north:
@@ -238,12 +245,20 @@ def resolved_subfilter(value, filtered) -> tuple[Column, Column]:
     return col(filtered), col(value) - col(filtered)
 
 
-def filtered_tke(df: DataFrame, u: str, v: str, w: str, factor: int, by: list[str], shape: tuple[int, int]) -> DataFrame:
-    """Energy over the plane of the block means of u, v and w."""
+def filtered_tke(df: DataFrame, u: str, v: str, w: str, by: list[str], method: str = "butterworth", **options) -> DataFrame:
+    """Energy over the plane of u, v and w once filtered: by ``butterworth_plane``
+    (options dx, cutoff_wavelength, order, dy, kind), or by block means (``top_hat``
+    or ``honnert``; options factor and shape)."""
+    from aeroframe.operators import spectral
     from aeroframe.operators.turbulence import resolved_tke
 
-    j, i = F.floor(F.col("j") / factor).cast("int"), F.floor(F.col("i") / factor).cast("int")
+    if method == "butterworth":
+        return spectral.filtered_energy(df, [u, v, w], by, **options)
+    if method not in ("top_hat", "honnert"):
+        raise ValueError("method must be butterworth, top_hat or honnert")
+    factor, shape = options["factor"], options["shape"]
     if shape[0] % factor or shape[1] % factor:
         raise ValueError("the factor must divide the grid")
+    j, i = F.floor(F.col("j") / factor).cast("int"), F.floor(F.col("i") / factor).cast("int")
     means = df.groupBy(*by, j.alias("j"), i.alias("i")).agg(*[F.avg(c).alias(c) for c in (u, v, w)])
     return means.groupBy(*by).agg(resolved_tke(u, v, w).alias("tke"))

@@ -52,11 +52,17 @@ def interval_precipitation(x, by: list[str], order, prepend_zero: bool = False)
     return F.when(first, col(x) if prepend_zero else F.lit(0.0)).otherwise(col(x) - before)
 
 
-def precipitation_diagnostics(df: DataFrame, total, by: list[str], order, wet_threshold: float = 0.1) -> DataFrame:
-    """Largest clipped increment, their sum and the number of wet intervals per group."""
+def precipitation_steps(df: DataFrame, total, by: list[str], order: str, wet_threshold: float = 0.1) -> DataFrame:
+    """Per step: the accumulated amount, its increment (never below 0) and whether it was wet."""
     step = F.greatest(interval_precipitation(total, by, order), F.lit(0.0))
-    return df.select(*by, step.alias("_step")).groupBy(*by).agg(
-        F.max("_step").alias("maximum_interval"), F.sum("_step").alias("accumulated"), F.count_if(F.col("_step") >= wet_threshold).alias("wet_intervals"))
+    return df.select(*by, *([order] if isinstance(order, str) else order), col(total).alias("accumulated"), step.alias("increment")).withColumn("wet", F.col("increment") >= wet_threshold)
+
+
+def precipitation_diagnostics(df: DataFrame, total, by: list[str], order, wet_threshold: float = 0.1) -> DataFrame:
+    """Largest increment, their sum and the number of wet intervals per group; NaN skipped."""
+    known = F.nanvl(F.col("increment"), F.lit(None).cast("double"))
+    return precipitation_steps(df, total, by, order, wet_threshold).groupBy(*by).agg(
+        F.max(known).alias("maximum_interval"), F.sum(known).alias("total"), F.count_if(known >= wet_threshold).alias("wet_intervals"))
 
 
 def diagnose_pbl_height(df: DataFrame, theta: str, height: str, by: list[str], order: str, threshold: float = 0.5) -> DataFrame:
@@ -74,7 +80,7 @@ def low_level_jet(df: DataFrame, speed: str, height: str, by: list[str], order:
     cut = df.groupBy(*by).agg(best.alias("b"), F.max_by(speed, order).alias("top"), F.min(order).alias("lo"), F.max(order).alias("hi"))
     inside = (-F.col("b.k") != F.col("lo")) & (-F.col("b.k") != F.col("hi"))
     return cut.select(
-        *by, F.col("b.s").alias("core_speed"), F.col("b.z").alias("core_height"),
+        *by, F.col("b.s").alias("core_speed"), F.col("b.z").alias("core_height"), (F.col("b.s") - F.col("top")).alias("drop_above"),
         (inside & (F.col("b.s") >= minimum_speed) & (F.col("b.s") - F.col("top") >= drop)).alias("detected"))
 
 
@@ -128,16 +134,32 @@ def unwrapped(df: DataFrame, direction: str, by: list[str], order: str, out: str
     return stepped.withColumn(out, F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
 
 
+def _rises(df: DataFrame, value: str, by: list[str], order, ramp_threshold: float | None) -> DataFrame:
+    """Adds _before, _rise and _limit: the value before, the increment and the ramp threshold."""
+    steps = df.withColumn("_before", F.lag(value).over(_axis(by, order))).withColumn("_rise", F.col(value) - F.col("_before"))
+    known = F.nanvl(F.col("_rise"), F.lit(None).cast("double"))
+    limit = F.lit(float(ramp_threshold)) if ramp_threshold is not None else 2 * F.stddev_pop(known).over(Window.partitionBy(*by))
+    return steps.withColumn("_limit", limit)
+
+
+def temporal_events(df: DataFrame, value: str, by: list[str], order, ramp_threshold: float | None = None) -> DataFrame:
+    """Per row: the anomaly from the group's mean (NaN skipped), the increment from the
+    row before (NULL for the first) and whether that is a ramp."""
+    keys = [*by, *([order] if isinstance(order, str) else order)]
+    mean = F.avg(F.nanvl(F.col(value), F.lit(None).cast("double"))).over(Window.partitionBy(*by))
+    both = _rises(df.select(*keys, F.col(value).cast("double").alias(value)), value, by, order, ramp_threshold)
+    ramp = (F.abs("_rise") >= F.col("_limit")) & ~F.isnan("_rise")
+    return both.select(*keys, (F.col(value) - mean).alias("anomaly"), F.col("_rise").alias("increment"), ramp.alias("ramp"))
+
+
 def temporal_diagnostics(df: DataFrame, value: str, by: list[str], order, ramp_threshold: float | None = None) -> DataFrame:
-    """Per group: mean, deviation of increments, ramp threshold, number of ramps and lag-1 correlation."""
-    w = _axis(by, order)
-    steps = df.select(*by, F.col(value), F.lag(value).over(w).alias("_before")).withColumn("_rise", F.col(value) - F.col("_before"))
-    limit = F.lit(float(ramp_threshold)) if ramp_threshold is not None else 2 * F.stddev_pop("_rise").over(Window.partitionBy(*by))
-    both = steps.withColumn("_limit", limit)
+    """Per group: mean, ramp threshold, number of ramps (NaN skipped) and lag-1 correlation."""
+    both = _rises(df.select(*by, *([order] if isinstance(order, str) else order), F.col(value).cast("double").alias(value)), value, by, order, ramp_threshold)
     paired = F.col("_before").isNotNull()
     x, y = F.when(paired, F.col("_before")), F.when(paired, F.col(value))
     return both.groupBy(*by).agg(
-        F.avg(value).alias("mean"), F.first("_limit").alias("ramp_threshold"), F.count_if(F.abs("_rise") >= F.col("_limit")).alias("ramps"),
+        F.avg(F.nanvl(F.col(value), F.lit(None).cast("double"))).alias("mean"), F.first("_limit").alias("ramp_threshold"),
+        F.count_if((F.abs("_rise") >= F.col("_limit")) & ~F.isnan("_rise")).alias("ramps"),
         divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("lag1_correlation"))
 
 
