@@ -57,19 +57,25 @@ frame("destagger_all", "plane", lambda df: nb.destagger_all(df, ["x"], ["vec_id"
       FROM (SELECT *, lead(x) OVER (PARTITION BY vec_id, i ORDER BY j) AS xj FROM {view}) WHERE xj IS NOT NULL QUALIFY lead(i) OVER (PARTITION BY vec_id, j ORDER BY i) IS NOT NULL""")
 frame("interval_precipitation", "accum", lambda df: df.select("cell", "ord", rounded(nb.interval_precipitation("acc", ["cell"], ["ts", "ord"])).alias("step"), rounded(nb.interval_precipitation("acc", ["cell"], ["ts", "ord"], True)).alias("from_zero")),
       "SELECT cell, ord, round(coalesce(acc - lag(acc) OVER w, 0), 6) AS step, round(acc - coalesce(lag(acc) OVER w, 0), 6) AS from_zero FROM {view} WINDOW w AS (PARTITION BY cell ORDER BY ts, ord)")
-frame("precipitation_diagnostics", "accum", lambda df: nb.precipitation_diagnostics(df, "acc", ["cell"], ["ts", "ord"]).select("cell", rounded("maximum_interval").alias("maximum_interval"), rounded("accumulated").alias("accumulated"), "wet_intervals"),
-      """SELECT cell, round(max(s), 6) AS maximum_interval, round(sum(s), 6) AS accumulated, count(*) FILTER (s >= 0.1) AS wet_intervals
+frame("precipitation_diagnostics", "accum", lambda df: nb.precipitation_diagnostics(df, "acc", ["cell"], ["ts", "ord"]).select("cell", rounded("maximum_interval").alias("maximum_interval"), rounded("total").alias("total"), "wet_intervals"),
+      """SELECT cell, round(max(s), 6) AS maximum_interval, round(sum(s), 6) AS total, count(*) FILTER (s >= 0.1) AS wet_intervals
       FROM (SELECT cell, greatest(coalesce(acc - lag(acc) OVER (PARTITION BY cell ORDER BY ts, ord), 0), 0) AS s FROM {view}) GROUP BY cell""")
+frame("precipitation_steps", "accum", lambda df: nb.precipitation_steps(df, "acc", ["cell"], ["ts", "ord"]).select("cell", "ord", rounded("accumulated").alias("accumulated"), rounded("increment").alias("increment"), "wet"),
+      """SELECT cell, ord, round(acc, 6) AS accumulated, round(s, 6) AS increment, s >= 0.1 AS wet
+      FROM (SELECT cell, ord, acc, greatest(coalesce(acc - lag(acc) OVER (PARTITION BY cell ORDER BY ts, ord), 0), 0) AS s FROM {view})""")
 frame("diagnose_pbl_height", "profile", lambda df: nb.diagnose_pbl_height(df, "x", "z", ["vec_id"], "k", 5.0).select("vec_id", F.nanvl("pbl_height", F.lit(-1.0)).alias("pbl_height")),
       "SELECT vec_id, coalesce(min(z) FILTER (x - x0 >= 5), -1) AS pbl_height FROM (SELECT *, first(x) OVER (PARTITION BY vec_id ORDER BY k) AS x0 FROM {view}) GROUP BY vec_id")
-frame("low_level_jet", "profile", lambda df: nb.low_level_jet(df, "x", "z", ["vec_id"], "k").select("vec_id", rounded("core_speed").alias("core_speed"), "core_height", "detected"),
-      """SELECT vec_id, round(x, 6) AS core_speed, z AS core_height, x >= 8 AND x - top >= 2 AND k > 0 AND k < 63 AS detected
+frame("low_level_jet", "profile", lambda df: nb.low_level_jet(df, "x", "z", ["vec_id"], "k").select("vec_id", rounded("core_speed").alias("core_speed"), "core_height", rounded("drop_above").alias("drop_above"), "detected"),
+      """SELECT vec_id, round(x, 6) AS core_speed, z AS core_height, round(x - top, 6) AS drop_above, x >= 8 AND x - top >= 2 AND k > 0 AND k < 63 AS detected
       FROM (SELECT *, last(x) OVER (PARTITION BY vec_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS top FROM {view}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, k) = 1""")
 frame("temporal_diagnostics", "obs", lambda df: nb.temporal_diagnostics(df, "speed", ["station"], ["ts", "event_id"]).select("station", rounded("mean").alias("mean"), rounded("ramp_threshold").alias("ramp_threshold"), "ramps", rounded("lag1_correlation").alias("lag1_correlation")),
       """WITH s AS (SELECT station, speed, lag(speed) OVER (PARTITION BY station ORDER BY ts, event_id) AS b FROM {view}),
       t AS (SELECT *, 2 * stddev_pop(speed - b) OVER (PARTITION BY station) AS lim FROM s)
       SELECT station, round(avg(speed), 6) AS mean, round(any_value(lim), 6) AS ramp_threshold, count(*) FILTER (abs(speed - b) >= lim) AS ramps,
       round(covar_pop(b, CASE WHEN b IS NOT NULL THEN speed END) / (stddev_pop(b) * stddev_pop(CASE WHEN b IS NOT NULL THEN speed END)), 6) AS lag1_correlation FROM t GROUP BY station""")
+frame("temporal_events", "obs", lambda df: nb.temporal_events(df, "speed", ["station"], ["ts", "event_id"]).select("event_id", rounded("anomaly").alias("anomaly"), rounded("increment").alias("increment"), "ramp"),
+      """WITH s AS (SELECT event_id, station, speed - avg(speed) OVER (PARTITION BY station) AS a, speed - lag(speed) OVER (PARTITION BY station ORDER BY ts, event_id) AS d FROM {view})
+      SELECT event_id, round(a, 6) AS anomaly, round(d, 6) AS increment, abs(d) >= 2 * stddev_pop(d) OVER (PARTITION BY station) AS ramp FROM s""")
 frame("zero_crossing_frequency", "signal", lambda df: nb.zero_crossing_frequency(df, "x", ["vec_id"], "n", 20.0).select("vec_id", rounded("frequency").alias("frequency")),
       """WITH d AS (SELECT vec_id, n, x - avg(x) OVER (PARTITION BY vec_id) < 0 AS s FROM {view}), e AS (SELECT vec_id, s <> lag(s) OVER (PARTITION BY vec_id ORDER BY n) AS x FROM d)
       SELECT vec_id, round(count(*) FILTER (x) * 20.0 / (2 * count(*)), 6) AS frequency FROM e GROUP BY vec_id""")

@@ -18,6 +18,12 @@ SQL: dict[str, str] = {}
 KEYS = {"les": views.LINE, "thermo": views.LINE, "obs": ["event_id"], "pairs": ["event_id"], "signal": ["vec_id", "n"], "plane": ["vec_id", "j", "i"], "profile": ["vec_id", "k"]}
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share, for files that a query writes and reads back."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_aeroframe_files"
+    return given.rstrip("/")
+
+
 def rounded(c, digits: int = 6) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 

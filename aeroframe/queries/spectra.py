@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aeroframe.operators import spectral
+from aeroframe.operators import grid, spectral
 from aeroframe.queries.registry import frame, rounded
 
 c = F.col
@@ -38,9 +38,27 @@ frame("radial_wavenumber_spectrum", "plane", lambda df: spectral.radial_wavenumb
       t AS (SELECT vec_id, a, b, r, sum(x * cos(2 * pi() * (a * j + b * i) / 8)) AS re, sum(x * sin(2 * pi() * (a * j + b * i) / 8)) AS im FROM d, k GROUP BY 1, 2, 3, 4),
       g AS (SELECT vec_id, (r >= 1 * (sqrt(0.5) / 4))::INT + (r >= 2 * (sqrt(0.5) / 4))::INT + (r >= 3 * (sqrt(0.5) / 4))::INT + (r >= sqrt(0.5))::INT AS bin, (re * re + im * im) / 64 AS p FROM t)
       SELECT vec_id, bin, round((bin + 0.5) * sqrt(0.5) / 4, 6) AS wavenumber, round(avg(p), 6) AS power FROM g WHERE bin < 4 GROUP BY vec_id, bin""")
-frame("butterworth_spatial", "plane", lambda df: spectral.butterworth_spatial(df, "x", ["vec_id"], 100.0, 400.0))
-frame("butterworth_band", "plane", lambda df: spectral.butterworth_band(df, "x", ["vec_id"], 100.0, 300.0, 600.0))
-frame("spectral_downsample", "plane", lambda df: spectral.spectral_downsample(df, "x", ["vec_id"], 2))
+# wavenumbers a, b of an 8 x 8 plane with their coefficients, and the response of a filter at 100 m spacing
+_WAVES = """f AS (SELECT vec_id, a, b, sum(x * cos(2 * pi() * (a * j + b * i) / 8)) AS re, -sum(x * sin(2 * pi() * (a * j + b * i) / 8)) AS im FROM {view}, range(-4, 4) p(a), range(-4, 4) q(b) GROUP BY 1, 2, 3)"""
+_LOW = "pow(1 + pow(sqrt(a * a + b * b) / 800.0 * {0}, 4), -0.5)"
+
+
+def _inverse(response: str, size: int = 8) -> str:
+    half = size // 2
+    return f"""WITH {_WAVES} SELECT vec_id, j::INT AS j, i::INT AS i, 0.0::DOUBLE + round(sum({response} * (re * cos(2 * pi() * (a * j + b * i) / {size}) - im * sin(2 * pi() * (a * j + b * i) / {size}))) / 64, 6) AS x
+      FROM f, range({size}) y(j), range({size}) z(i) WHERE a BETWEEN {-half} AND {half - 1} AND b BETWEEN {-half} AND {half - 1} GROUP BY 1, 2, 3"""
+
+
+def _plane(df: DataFrame) -> DataFrame:
+    return df.select("vec_id", "j", "i", rounded("x").alias("x"))
+
+
+frame("butterworth_spatial", "plane", lambda df: _plane(spectral.butterworth_spatial(df, "x", ["vec_id"], 100.0, 400.0)), _inverse(_LOW.format("400.0")))
+frame("butterworth_band", "plane", lambda df: _plane(spectral.butterworth_band(df, "x", ["vec_id"], 100.0, 300.0, 600.0)),
+      _inverse(f"{_LOW.format('300.0')} * sqrt(greatest(0, 1 - pow({_LOW.format('600.0')}, 2)))"))
+frame("spectral_downsample", "plane", lambda df: _plane(spectral.spectral_downsample(df, "x", ["vec_id"], 2)), _inverse("1", 4))
+frame("filtered_tke_butterworth", "plane", lambda df: grid.filtered_tke(df.select("vec_id", "j", "i", (c("x") * 10).alias("u"), (c("x") * 20).alias("v"), (c("x") * 5).alias("w")), "u", "v", "w", ["vec_id"], dx=100.0, cutoff_wavelength=400.0).select("vec_id", rounded("tke").alias("tke")),
+      f"WITH {_WAVES} SELECT vec_id, round(0.5 * 525 * sum((re * re + im * im) * pow({_LOW.format('400.0')}, 2)) / 4096, 6) AS tke FROM f WHERE a <> 0 OR b <> 0 GROUP BY vec_id")
 
 
 def _cycles(df: DataFrame) -> DataFrame:

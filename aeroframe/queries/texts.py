@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aeroframe.plans import views
-from aeroframe.queries.registry import add, rounded
+from aeroframe.queries.registry import add, rounded, scratch
 from aeroframe.sources import discovery, text
 
 c = F.col
@@ -47,3 +49,12 @@ def _parameters(spark, sf_dir) -> DataFrame:
 add("read_parameters", _parameters, "SELECT 'Part' || (p_partkey % 50) AS label, max_by(p_size, p_partkey)::VARCHAR AS value FROM part GROUP BY 1")
 add("parse_times", lambda spark, sf_dir: views.obs(spark, sf_dir).select("event_id", discovery.parse_times(F.date_format("ts", "yyyy-MM-dd_HH:mm:ss")).alias("ts")),
     "SELECT event_id, date_trunc('second', ts) AS ts FROM events")
+
+
+def _observed(spark, sf_dir) -> DataFrame:
+    path = f"{scratch(spark)}/aeroframe-{uuid.uuid4().hex}.csv"
+    views.obs(spark, sf_dir).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("when"), "event_id", "speed", "kind").write.csv(path, header=True, sep=";")
+    return text.read_csv(spark, path, "when", ["event_id", "speed"], ";").select("time", c("event_id").cast("bigint").alias("event_id"), rounded("speed").alias("speed"))
+
+
+add("read_csv", _observed, f"SELECT date_trunc('second', ts) AS time, event_id, round(speed, 6) AS speed FROM ({views.SQL['obs']})")
