@@ -62,7 +62,7 @@ def precipitation_diagnostics(df: DataFrame, total, by: list[str], order, wet_th
     """Largest increment, their sum and the number of wet intervals per group; NaN skipped."""
     known = F.nanvl(F.col("increment"), F.lit(None).cast("double"))
     return precipitation_steps(df, total, by, order, wet_threshold).groupBy(*by).agg(
-        F.max(known).alias("maximum_interval"), F.sum(known).alias("total"), F.count_if(known >= wet_threshold).alias("wet_intervals"))
+        F.max(known).alias("maximum_interval"), F.sum(known).alias("accumulated"), F.count_if(known >= wet_threshold).alias("wet_intervals"))
 
 
 def diagnose_pbl_height(df: DataFrame, theta: str, height: str, by: list[str], order: str, threshold: float = 0.5) -> DataFrame:
