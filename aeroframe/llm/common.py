@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,13 +61,27 @@ def settled(spark: SparkSession, step: Callable[[], DataFrame]) -> DataFrame:
     _scratch.append(own)
     try:
         out = materialize(step())
-        own.pop()  # the result, written last, stays
+        kept = own.pop()  # the result, written last, stays until an outer step is settled
+        if len(_scratch) > 1:
+            _scratch[-2].append(kept)
         return out
     finally:
         _scratch.pop()
         _delete(spark, own)
 
 
+@contextmanager
+def exchanges_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that runs inside go when the query ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     conf = spark._jsc.hadoopConfiguration()
     for path in paths:

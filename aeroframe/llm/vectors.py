@@ -3,23 +3,29 @@
 1. Vectors that are equal to the last bit (of one label, by 128 bits of hash) form
    a class and are handled once, with their number.
 2. Cluster centres are fitted on at most ``sample`` classes. The nearest centre is
-   a vector's home; it also enters every other shard whose border with its home is
+   a vector's home; it also visits every other shard whose border with its home is
    no more than half the largest linked distance away. Of two linked vectors, at
-   least one so enters the home of the other: shards overlap as far as needed for
-   no link to be lost, and no further. A shard over ``block`` members is split by
-   hash.
-3. In each shard block a flat graph is built (nearest candidates, robust
-   pruning); a node's adjacency lists from all blocks are united.
-4. Each home block of queries searches each member block of its shard: greedy
-   beam search from the medoids of the graph's connected parts, then range
-   expansion along nodes near the query. Hits are verified by cosine in double
-   precision.
+   least one so visits the home of the other: shards overlap as far as needed for
+   no link to be lost, and no further. A shard is held by one task up to 4
+   ``block`` vectors at home and 16 ``block`` in all; beyond, it is split by hash
+   into cells, one for each part at home and each part of all.
+3. In each cell a flat graph of the vectors at home is built (nearest candidates,
+   robust pruning), so every vector is indexed once in each cell that holds it.
+4. Every member of the cell, at home or visiting, searches the graph: greedy beam
+   search from the medoids of its connected parts, then range expansion along
+   nodes near the query. Hits are verified by cosine in double precision.
 5. Every query is audited: its hits are held against the exact similarities to all
-   members, and missing ones are added. ``n_found`` tells what the graph had found
+   nodes, and missing ones are added. ``n_found`` tells what the graph had found
    alone, so recall (the sum of n_found over that of n_links) is measured over all
    rows, not over a sample.
-6. A pair met in both homes counts in the one of the lower number. A task returns
-   counts and a spanning forest of the links it saw; no list of all pairs is built.
+6. A pair whose vectors visit each other's homes counts once for either. A task
+   returns counts and a spanning forest of the links it saw; no list of all pairs
+   is built.
+
+Disk: in many dimensions a vector visits many shards, so the cells are dealt out in
+rounds, each of which exchanges no more than ``share`` times the vectors themselves
+(or ``least`` bytes). What a round or a step leaves is deleted before the next one.
+Vectors travel as they came (32-bit floats stay so) and are normed in the tasks.
 
 Edge cases: null, empty and zero vectors and vectors with null or non-finite
 components link with nothing, as do those without a label; vectors of different
@@ -30,49 +36,65 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from aeroframe.llm.common import connected_components, materialize
+from aeroframe.llm.common import connected_components, exchanges_dropped, materialize, settled
 
 
-def robust_prune(near: np.ndarray, sims: np.ndarray, vectors: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """Neighbours (of one node, nearest first) that no kept neighbour covers."""
-    kept, alive = [], np.ones(len(near), bool)
-    far = np.sqrt(np.maximum(2 - 2 * sims, 0))
-    among = np.sqrt(np.maximum(2 - 2 * vectors[near] @ vectors[near].T, 0))
-    for k in range(len(near)):
-        if alive[k]:
-            kept.append(near[k])
-            if len(kept) == degree:
-                break
-            alive &= alpha * among[k] > far
-    return np.array(kept, np.int64)
+def robust_prune(far: np.ndarray, among: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """Which candidates (of each node, nearest first) no kept candidate covers.
 
+    ``far`` holds the distances from node to candidate, ``among`` those between
+    the candidates of a node.
+    """
+    alive, kept = np.ones(far.shape, bool), np.zeros(far.shape, bool)
+    for k in range(far.shape[1]):
+        kept[:, k] = alive[:, k] & (kept.sum(axis=1) < degree)
+        alive &= ~kept[:, k, None] | (alpha * among[:, k] > far)
+    return kept
 
-def build_graph(vectors: np.ndarray, degree: int = 24, candidates: int = 64, alpha: float = 1.2) -> list[np.ndarray]:
-    """Adjacency lists of one block: pruned nearest candidates, and back links."""
+
+def build_graph(vectors: np.ndarray, degree: int = 24, candidates: int = 64, alpha: float = 1.2, most: int = 64) -> np.ndarray:
+    """Adjacency rows of one cell, padded with the number of nodes: pruned nearest
+    candidates, then back links, nearest first, up to ``most`` links in all."""
     n = len(vectors)
-    out: list[list[int]] = [[] for _ in range(n)]
-    for lo in range(0, n, 512):
-        sims = vectors[lo : lo + 512] @ vectors.T
+    m = min(candidates, n - 1)
+    pairs = [np.empty((3, 0))]
+    for lo in range(0, n if m else 0, 256):
+        sims = vectors[lo : lo + 256] @ vectors.T
         sims[np.arange(len(sims)), np.arange(lo, lo + len(sims))] = -2
-        m = min(candidates, n - 1)
-        top = np.argpartition(-sims, m - 1, axis=1)[:, :m] if m else np.empty((len(sims), 0), int)
-        for r, near in enumerate(top):
-            near = near[np.argsort(-sims[r, near], kind="stable")]
-            for x in robust_prune(near, sims[r, near], vectors, degree, alpha):
-                out[lo + r].append(int(x))
-                out[int(x)].append(lo + r)
-    return [np.unique(np.array(x, np.int64)) for x in out]
+        top = np.argpartition(sims, n - m, axis=1)[:, n - m :]
+        near = np.take_along_axis(sims, top, 1)
+        order = np.argsort(-near, axis=1, kind="stable")
+        top, near = np.take_along_axis(top, order, 1), np.take_along_axis(near, order, 1)
+        held = vectors[top]
+        among = np.sqrt(np.maximum(2 - 2 * held @ held.transpose(0, 2, 1), 0))
+        r, c = np.nonzero(robust_prune(np.sqrt(np.maximum(2 - 2 * near, 0)), among, degree, alpha))
+        pairs.append(np.stack([lo + r, top[r, c], near[r, c]]))
+    u, v, s = np.hstack(pairs)
+    u, v, s = np.r_[u, v].astype(np.int64), np.r_[v, u].astype(np.int64), np.r_[s, s]
+    _, first = np.unique(u * n + v, return_index=True)  # of a link both ways, the one chosen by u comes first
+    back = first >= len(s) // 2
+    first = first[np.lexsort((-s[first], back, u[first]))]
+    u, v = u[first], v[first]
+    rank = np.arange(len(u)) - np.searchsorted(u, u)
+    u, v, rank = u[rank < most], v[rank < most], rank[rank < most]
+    table = np.full((n, rank.max(initial=0) + 1), n)
+    table[u, rank] = v
+    return table
 
 
 def entry_points(vectors: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The medoid of each connected part of a graph (adjacency rows padded with -1)."""
+    """The medoid of each connected part of a graph."""
     n = len(vectors)
-    near = np.where(table < 0, np.arange(n)[:, None], table)
+    near = np.where(table == n, np.arange(n)[:, None], table)
     part = np.arange(n)
     while True:
         low = np.minimum(part, part[near].min(axis=1))
@@ -89,82 +111,144 @@ def entry_points(vectors: np.ndarray, table: np.ndarray) -> np.ndarray:
     return order[np.searchsorted(of[order], np.arange(len(names)))]
 
 
-def greedy_search(queries: np.ndarray, vectors: np.ndarray, table: np.ndarray, starts: np.ndarray, beam: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Beam search of all queries at once -> (nodes, similarities), -1 where empty.
+def greedy_search(sims: np.ndarray, table: np.ndarray, starts: np.ndarray, beam: int, steps: int, patience: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Beam search of all queries at once -> (nodes, similarities), -inf where empty.
 
-    A query starts from the nearest of ``starts``, a quarter of its beam at most;
-    ``table`` holds adjacency rows padded with -1.
+    ``sims`` tells the similarity of a query (row) to a node; only nodes met on the
+    way are looked up. A query starts from the nearest of ``starts``, a quarter of
+    its beam at most, and ends when it has met nothing nearer for ``patience`` steps.
     """
-    q, width = len(queries), table.shape[1]
-    nodes = np.full((q, beam), -1)
-    sims = np.full((q, beam), -np.inf)
-    done = np.zeros((q, beam), bool)
+    q, n = sims.shape
+    seen = np.zeros((q, n + 1), bool)
+    seen[:, n] = True  # the padding
+    nodes, near, todo = np.full((q, beam), n), np.full((q, beam), -np.inf, sims.dtype), np.zeros((q, beam), bool)
     m = min(len(starts), max(1, beam // 4))
-    close = queries @ vectors[starts].T
+    close = sims[:, starts]
     best = np.argpartition(-close, m - 1, axis=1)[:, :m]
-    nodes[:, :m], sims[:, :m] = starts[best], np.take_along_axis(close, best, 1)
-    rows = np.arange(q)
+    nodes[:, :m], near[:, :m], todo[:, :m] = starts[best], np.take_along_axis(close, best, 1), True
+    np.put_along_axis(seen, nodes, True, 1)
+    live, top, idle = np.arange(q), near.max(axis=1), np.zeros(q, int)
     for _ in range(steps):
-        score = np.where(done | (nodes < 0), -np.inf, sims)
+        score = np.where(todo[live], near[live], -np.inf)
         pick = score.argmax(axis=1)
-        live = rows[score[rows, pick] > -np.inf]
+        on = (score[np.arange(len(live)), pick] > -np.inf) & (idle[live] < patience)
+        live, pick = live[on], pick[on]
         if not len(live):
             break
-        done[live, pick[live]] = True
-        near = table[nodes[live, pick[live]]]
-        seen = (near[:, :, None] == nodes[live][:, None, :]).any(axis=2)
-        near = np.where(seen, -1, near)
-        s = np.einsum("qd,qwd->qw", queries[live], vectors[near])
-        s[near < 0] = -np.inf
-        all_nodes, all_sims = np.hstack([nodes[live], near]), np.hstack([sims[live], s])
-        all_done = np.hstack([done[live], np.zeros((len(live), width), bool)])
-        best = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
-        nodes[live], sims[live] = np.take_along_axis(all_nodes, best, 1), np.take_along_axis(all_sims, best, 1)
-        done[live] = np.take_along_axis(all_done, best, 1)
-        nodes[sims == -np.inf] = -1
-    return nodes, sims
-
-
-def expand_range(query: np.ndarray, seeds: np.ndarray, vectors: np.ndarray, table: np.ndarray, wide: float) -> np.ndarray:
-    """All nodes reachable from ``seeds`` through nodes of similarity ``wide``."""
-    seen = np.zeros(len(vectors), bool)
-    seen[seeds] = True
-    front = seeds
-    while len(front):
-        hit = np.zeros(len(vectors) + 1, bool)
-        hit[table[front]] = True  # the padding of -1 marks the extra place
-        near = np.flatnonzero(hit[:-1] & ~seen)
-        near = near[vectors[near] @ query >= wide]
-        seen[near] = True
-        front = near
-    return np.flatnonzero(seen)
-
-
-def _pad(lists: list[np.ndarray]) -> np.ndarray:
-    table = np.full((len(lists), max([1, *map(len, lists)])), -1)
-    for r, x in enumerate(lists):
-        table[r, : len(x)] = x
-    return table
+        todo[live, pick] = False
+        new = table[nodes[live, pick]]
+        known = seen[live[:, None], new]
+        seen[live[:, None], new] = True
+        s = np.where(known, -np.inf, sims[live[:, None], np.minimum(new, n - 1)])
+        every = np.hstack([near[live], s])
+        best = np.argpartition(-every, beam - 1, axis=1)[:, :beam]
+        near[live] = np.take_along_axis(every, best, 1)
+        nodes[live] = np.take_along_axis(np.hstack([nodes[live], new]), best, 1)
+        todo[live] = np.take_along_axis(np.hstack([todo[live], ~known]), best, 1)
+        rise = s.max(axis=1)
+        idle[live] = np.where(rise > top[live], 0, idle[live] + 1)
+        top[live] = np.maximum(top[live], rise)
+    return nodes, near
+
+
+def expand_range(wide: np.ndarray, q: np.ndarray, nodes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """All nodes that queries ``q`` reach from ``nodes`` through nodes that are
+    ``wide`` for them (one row per query, a column of False for the padding)."""
+    hit = np.zeros(wide.shape, bool)
+    while len(q):
+        hit[q, nodes] = True
+        near = table[nodes].ravel()
+        q = np.repeat(q, table.shape[1])
+        on = np.flatnonzero(wide[q, near] & ~hit[q, near])
+        if not len(on):
+            break
+        q, nodes = np.divmod(np.unique(q[on] * wide.shape[1] + near[on]), wide.shape[1])
+    return hit[:, :-1]
 
 
-def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """A spanning forest of pairs."""
-    up: dict[int, int] = {}
+def _united(part: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels of parts after those of ``a`` and ``b`` are united, pair by pair."""
+    up = np.arange(len(part))
 
     def root(x):
-        up.setdefault(x, x)
         while up[x] != x:
             up[x] = up[up[x]]
             x = up[x]
         return x
 
+    for x, y in np.unique(np.stack([a, b]), axis=1).T:
+        x, y = root(x), root(y)
+        up[max(x, y)] = min(x, y)
+    return np.array([root(x) for x in range(len(up))])[part] if len(a) else part
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length one; by the largest component first, so that no square overflows."""
+    v = v.astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _search(t: pa.Table, cosine: float, beam: int) -> pa.Table:
+    """Counts and a spanning forest of the links that a cell's members have with
+    the vectors at home in it."""
+    cls, n, home, held, asks = (t[c].to_numpy() for c in ("cls", "n", "home", "held", "asks"))
+    own = t["shard"][0].as_py()
+    at, asks = np.flatnonzero(held), np.flatnonzero(asks)
+    if not len(at) or not len(asks):
+        return pa.table({k: pa.array([], pa.int64()) for k in ("cls", "links", "found", "other")})
+    v = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    unit = _unit(v.reshape(len(t), -1))
+    short = unit.astype(np.float32)
+    slack = (unit.shape[1] + 4) * 2.0**-23  # more than 32-bit similarities can be off
+    ids, count, x, xs = cls[at], n[at].astype(np.float64), unit[at], short[at]
+    place = np.full(len(t), -1)
+    place[at] = np.arange(len(at))
+    table = build_graph(xs)
+    starts, wide = entry_points(xs, table), 2 * cosine - 1
+
+    # a visitor that has this vector for a visitor too is credited there
+    homes = np.unique(home[asks])
+    lists = t["shards"].combine_chunks().take(pa.array(at))
+    entered = lists.flatten().to_numpy()
+    spot = np.minimum(np.searchsorted(homes, entered), len(homes) - 1)
+    known = homes[spot] == entered
+    credit = np.ones((len(homes), len(at)), bool)
+    credit[spot[known], np.repeat(np.arange(len(at)), np.diff(lists.offsets.to_numpy()))[known]] = False
+
+    part, guests = np.arange(len(at)), np.zeros((2, len(at)))
     out = []
-    for a, b in pairs:
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            up[max(ra, rb)] = min(ra, rb)
-            out.append((a, b))
-    return out
+    for lo in range(0, len(asks), 512):
+        who = asks[lo : lo + 512]
+        sims = short[who] @ xs.T
+        near = np.zeros((len(who), len(at) + 1), bool)
+        near[:, :-1] = sims >= wide
+        nodes, close = greedy_search(sims, table, starts, min(beam, len(at)), 2 * beam)
+        k, seed = np.nonzero(close >= wide)
+        hit = expand_range(near, k, nodes[k, seed], table)
+        exact = sims >= cosine + slack
+        k, o = np.nonzero((sims >= cosine - slack) & ~exact)
+        exact[k, o] = np.einsum("nd,nd->n", unit[who[k]], x[o]) >= cosine
+        k = np.flatnonzero(place[who] >= 0)
+        exact[k, place[who[k]]] = False
+        some = np.flatnonzero(exact.any(axis=1))
+        if not len(some):
+            continue
+        who, exact, hit = who[some], exact[some], hit[some] & exact[some]
+        k, o = np.nonzero(exact)
+        begin = np.searchsorted(k, np.arange(len(who)))
+        of = part[o]
+        low = np.minimum.reduceat(of, begin)[k]
+        part = _united(part, of[of != low], low[of != low])
+        out.append(np.stack([cls[who], exact @ count, hit @ count, ids[o[begin]]]).astype(np.int64))
+        guest = np.flatnonzero(home[who] != own)
+        if len(guest):
+            ours = credit[np.searchsorted(homes, home[who[guest]])]
+            many = n[who[guest]].astype(np.float64)
+            guests += many @ (exact[guest] & ours), many @ (hit[guest] & ours)
+    seen = np.flatnonzero((guests[0] > 0) | (part != np.arange(len(at))))
+    out.append(np.stack([ids[seen], *guests[:, seen].astype(np.int64), ids[part[seen]]]))
+    return pa.table(dict(zip(("cls", "links", "found", "other"), np.hstack(out), strict=True)))
 
 
 def _fit_centres(sample: pd.DataFrame, sizes: dict, shard: int, most: int, seed: int = 11) -> dict:
@@ -172,13 +256,13 @@ def _fit_centres(sample: pd.DataFrame, sizes: dict, shard: int, most: int, seed:
     rng = np.random.default_rng(seed)
     total, out = max(1, sum(sizes.values())), {}
     for key, part in sample.groupby(["label", "dim"]):
-        x = np.stack(part["unit"].to_numpy())
+        x = _unit(np.stack(part["v"].to_numpy()))
         k = min(len(x) // 4, -(-sizes.get(key, 0) // shard), max(1, most * sizes.get(key, 0) // total))
         if k < 2:
             continue
         c = x[rng.choice(len(x), k, replace=False)]
         for _ in range(8):
-            own = (x @ c.T).argmax(axis=1)
+            own = np.concatenate([(x[lo : lo + 1024] @ c.T).argmax(axis=1) for lo in range(0, len(x), 1024)])
             sums = np.zeros_like(c)
             np.add.at(sums, own, x)
             norm = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -187,118 +271,115 @@ def _fit_centres(sample: pd.DataFrame, sizes: dict, shard: int, most: int, seed:
     return out
 
 
-def near_duplicates(
-    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98,
-    shard: int = 1500, most_centres: int = 16_384, block: int = 1024, sample: int = 65_536, beam: int = 48,
-) -> DataFrame:
-    """One row per vector: id, n_links, component_id, kept, n_found."""
-    rows = df.select(F.col(id_col).cast("long").alias("key"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    good = F.col("label").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    # by the larger component first, so that no square overflows
-    most = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    scaled = F.transform("v", lambda x: x / F.col("most"))
-    rows = rows.withColumn("label", F.col("label").cast("string")).withColumn("good", F.coalesce(good, F.lit(False)))
-    rows = rows.withColumns({"a": F.when(F.col("good"), F.xxhash64("label", "v")), "b": F.when(F.col("good"), F.xxhash64(F.lit(1), "v", "label"))})
-    rows = materialize(rows.drop("good"))
-    valid = rows.where("a is not null").groupBy("a", "b").agg(
-        F.any_value("label").alias("label"), F.any_value("v").alias("v"), F.min("key").alias("key"), F.count("*").alias("n"),
-    ).withColumn("most", most)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    classes = materialize(valid.withColumn("norm", norm).select(
-        F.monotonically_increasing_id().alias("cls"), "a", "b", "label", F.size("v").alias("dim"), F.transform(scaled, lambda x: x / F.col("norm")).alias("unit"), "key", "n"))
+def _shards(x: np.ndarray, c: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The home of each unit vector, and all shards it enters as (row, shard)."""
+    homes, rows, entered = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for lo in range(0, len(x), 256):
+        s = x[lo : lo + 256] @ c.T
+        home = s.argmax(axis=1)
+        apart = np.sqrt(np.maximum(2 - 2 * c[home] @ c.T, 0))
+        r, k = np.nonzero(s >= s[np.arange(len(s)), home][:, None] - half * apart)
+        homes.append(home)
+        rows.append(lo + r)
+        entered.append(k)
+    return np.concatenate(homes), np.concatenate(rows), np.concatenate(entered)
 
+
+def _classes(df: DataFrame, most_centres: int, sample: int, shard: int, half: float) -> DataFrame:
+    """One row per class with its vector, its home and the shards it enters."""
+    classes = materialize(df.where("a is not null").groupBy("a", "b").agg(
+        F.any_value("label").alias("label"), F.any_value("v").alias("v"), F.min("key").alias("key"), F.count("*").alias("n"),
+    ).select(F.monotonically_increasing_id().alias("cls"), "a", "b", "label", F.size("v").alias("dim"), "v", "key", "n"))
     sizes = {(r["label"], r["dim"]): r["count"] for r in classes.groupBy("label", "dim").count().orderBy(F.desc("count"), "label", "dim").limit(most_centres).collect()}
-    picked = classes.orderBy(F.xxhash64("a", "b")).limit(sample).select("label", "dim", "unit").toPandas()
+    picked = classes.orderBy(F.xxhash64("a", "b")).limit(sample).select("label", "dim", "v").toPandas()
     centres = df.sparkSession.sparkContext.broadcast(_fit_centres(picked, sizes, shard, most_centres))
-    half = (2 - 2 * cosine) ** 0.5 / 2 + 1e-9
 
-    def assign(batches):
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shards, homes = [None] * len(b), [0] * len(b)
-            for key, at in b.groupby(["label", "dim"]).indices.items():
+            v = b["v"].flatten().to_numpy(zero_copy_only=False)
+            begin = b["v"].offsets.to_numpy().astype(np.int64) - b["v"].offsets[0].as_py()
+            homes, rows, entered = np.zeros(len(b), np.int32), [], []
+            for key, at in pd.DataFrame({"label": b["label"].to_pandas(), "dim": b["dim"].to_numpy()}).groupby(["label", "dim"]).indices.items():
                 c = centres.value.get(key)
                 if c is None:
-                    for i in at:
-                        shards[i] = [0]
+                    rows.append(at)
+                    entered.append(np.zeros(len(at), np.int64))
                     continue
-                s = np.stack(b["unit"].to_numpy()[at]) @ c.T
-                apart = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))
-                for i, x in zip(at, s):
-                    homes[i] = home = int(x.argmax())
-                    shards[i] = np.flatnonzero(x >= x[home] - half * apart[home]).tolist()
-            yield b.assign(shards=shards, home=homes)
-
-    schema = "cls long, label string, dim int, unit array<double>, n long, shards array<int>, home int"
-    dealt = materialize(classes.select("cls", "label", "dim", "unit", "n").mapInPandas(assign, schema))
-    members = dealt.select("cls", "label", "dim", F.explode("shards").alias("shard"))
-    counts = members.groupBy("label", "dim", "shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    place = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+                homes[at], r, k = _shards(_unit(v[begin[at][:, None] + np.arange(key[1])]), c, half)
+                rows.append(at[r])
+                entered.append(k)
+            if len(b):
+                rows, entered = np.concatenate(rows), np.concatenate(entered)
+                ends = np.r_[0, np.cumsum(np.bincount(rows, minlength=len(b)))].astype(np.int32)
+                shards = pa.ListArray.from_arrays(ends, entered[np.argsort(rows, kind="stable")].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*b.columns, shards, pa.array(homes)], names=[*b.schema.names, "shards", "home"])
+
+    return classes.mapInArrow(assign, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema) + ", shards array<int>, home int")
+
+
+def _cells(dealt: DataFrame, block: int, share: float, least: int) -> tuple[DataFrame, int]:
+    """(a row for each cell a class enters, with the round it goes in, number of rounds)."""
     keys = ["label", "dim", "shard"]
-    held = dealt.select("cls", "label", "dim", "unit", "n", "shards", F.explode("shards").alias("shard"), "home").join(counts, keys)
-
-    def graph(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["cls"].to_numpy()
-        lists = build_graph(np.stack(pdf["unit"].to_numpy()))
-        return pd.DataFrame({"cls": ids, "near": [ids[x] for x in lists]})
-
-    lists = held.withColumn("j", place).select("cls", "unit", *keys, "j").groupBy(*keys, "j").applyInPandas(graph, "cls long, near array<long>")
-    united = materialize(lists.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
-
-    whole = materialize(held.join(united, "cls"))
-    none = lambda kind: F.array().cast(f"array<{kind}>")
-    shown = whole.select("cls", "unit", "n", "near", none("int").alias("shards"), "home", *keys, place.alias("j"),
-                         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(False).alias("asks"))
-    asked = whole.where("home = shard").select("cls", "unit", "n", none("long").alias("near"), "shards", "home", *keys,
-                                               F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), place.alias("i"), F.lit(True).alias("asks"))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, q = pdf[~pdf["asks"]], pdf[pdf["asks"]]
-        out = {"cls": [], "links": [], "found": [], "other": []}
-        if not len(m) or not len(q):
-            return pd.DataFrame(out, dtype="int64")
-        own = int(pdf["shard"].iloc[0])
-        ids, count, home = m["cls"].to_numpy(), m["n"].to_numpy(), m["home"].to_numpy()
-        who, many, shards = q["cls"].to_numpy(), q["n"].to_numpy(), q["shards"].to_numpy()
-        at = {c: k for k, c in enumerate(ids)}
-        x, y = np.stack(m["unit"].to_numpy()), np.stack(q["unit"].to_numpy())
-        table = _pad([np.array([at[c] for c in near if c in at], np.int64) for near in m["near"]])
-        starts, wide = entry_points(x, table), 2 * cosine - 1
-        visits = np.zeros((len(ids), 2), np.int64)  # links and links found of members, seen from here
-        pairs = []
-        for lo in range(0, len(y), 512):
-            nodes = greedy_search(y[lo : lo + 512], x, table, starts, min(beam, len(x)), 2 * beam)[0]
-            exact = y[lo : lo + 512] @ x.T >= cosine
-            for k, seeds in enumerate(nodes, lo):
-                seeds = seeds[seeds >= 0]
-                seeds = seeds[x[seeds] @ y[k] >= wide]
-                hit = np.zeros(len(ids), bool)
-                hit[expand_range(y[k], seeds, x, table, wide)] = True
-                true = np.flatnonzero(exact[k - lo] & (ids != who[k]))
-                # a visitor that has this vector for a visitor too counts in the lower home
-                true = true[~((home[true] < own) & np.isin(home[true], shards[k]))]
-                found = hit[true]
-                out["cls"].append(who[k])
-                out["links"].append(int(count[true].sum()))
-                out["found"].append(int(count[true[found]].sum()))
-                guests = home[true] != own
-                visits[true[guests], 0] += many[k]
-                visits[true[guests & found], 1] += many[k]
-                pairs += [(int(who[k]), int(o)) for o in ids[true]]
-            pairs = _forest(pairs)
-        told = pd.DataFrame(out | {"other": None})
-        seen = np.flatnonzero(visits[:, 0])
-        guests = pd.DataFrame({"cls": ids[seen], "links": visits[seen, 0], "found": visits[seen, 1], "other": None})
-        edges = pd.DataFrame(pairs, columns=["cls", "other"], dtype="int64").assign(links=0, found=0)
-        return pd.concat([f.astype({"other": "Int64"}) for f in (told[told["links"] > 0], guests, edges)])[["cls", "links", "found", "other"]]
-
-    result = materialize(shown.unionByName(asked).groupBy(*keys, "i", "j").applyInPandas(search, "cls long, links long, found long, other long"))
-    total = result.groupBy("cls").agg(F.sum("links").alias("links"), F.sum("found").alias("found"))
-    edges = result.where("other is not null").select(F.col("cls").alias("u"), F.col("other").alias("v"))
-    named = classes.select("cls", "a", "b", "key", "n").join(connected_components(edges).toDF("cls", "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    smallest = named.groupBy("label").agg(F.min("key").alias("component"))
-    more = lambda c: (F.coalesce(c, F.lit(0)) + F.col("n") - 1).alias(c)
-    known = named.join(smallest, "label").join(total, "cls", "left").select("a", "b", "component", more("links"), more("found"))
-    out = rows.select("key", "a", "b").join(known, ["a", "b"], "left")
+    here = F.col("home") == F.col("shard")
+    bulk = F.greatest(F.lit(1.0), F.col("dim") / 256)
+    counts = materialize(
+        dealt.select("label", "dim", "home", F.explode("shards").alias("shard")).groupBy(*keys)
+        .agg(F.count("*").alias("all"), F.count_if(here).alias("own")).withColumns({
+            "parts": F.greatest(F.lit(1), F.ceil(F.col("own") * bulk / (4 * block))).cast("int"),
+            "turns": F.greatest(F.lit(1), F.ceil(F.col("all") * bulk / (16 * block))).cast("int"),
+        }))
+    wide = 4 if isinstance(dealt.schema["v"].dataType.elementType, FloatType) else 8
+    size = F.col("dim") * wide + 100
+    sent, own = counts.select(F.sum((F.col("all") * F.col("parts") + F.col("own") * (F.col("turns") - 1)) * size), F.sum(F.col("own") * size)).first()
+    rounds = max(1, -(-int(sent or 0) // max(least, int(share * (own or 0)))))
+    # a list of at most one shard for each 4 * block rows
+    split = F.broadcast(counts.where("parts > 1 OR turns > 1").select(*keys, "parts", "turns"))
+    one = lambda c: F.coalesce(c, F.lit(1))
+    members = dealt.select("cls", "n", "v", "shards", "home", "label", "dim", F.explode("shards").alias("shard")).join(split, keys, "left")
+    part, turn = F.pmod(F.xxhash64("cls"), one("parts")).cast("int"), F.pmod(F.xxhash64(F.lit(1), "cls"), one("turns")).cast("int")
+    cell = lambda i, j, held, asks: F.struct(i.alias("i"), j.alias("j"), held.alias("held"), F.lit(asks).alias("asks"))
+    asked = F.transform(F.sequence(F.lit(0), one("parts") - 1), lambda j: cell(turn, j, here & (j == part), True))
+    shown = F.transform(F.filter(F.sequence(F.lit(0), one("turns") - 1), lambda i: here & (i != turn)), lambda i: cell(i, part, F.lit(True), False))
+    placed = members.select("cls", "n", "v", "shards", "home", *keys, F.explode(F.concat(asked, shown)).alias("cell")).select("*", "cell.*").drop("cell")
+    placed = placed.withColumn("shards", F.when(F.col("held"), F.col("shards")).otherwise(F.array().cast("array<int>")))
+    return placed.withColumn("round", F.pmod(F.xxhash64(*keys, "i", "j"), F.lit(rounds))), rounds
+
+
+def near_duplicates(
+    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98,
+    shard: int = 1500, most_centres: int = 16_384, block: int = 1024, sample: int = 65_536, beam: int = 48, share: float = 1.25, least: int = 1 << 28,
+) -> DataFrame:
+    """One row per vector: id, n_links, component_id, kept, n_found."""
+    spark, kind = df.sparkSession, df.schema[vector_col].dataType
+    kind = "float" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "double"
+    rows = df.select(F.col(id_col).cast("long").alias("key"), F.col(label_col).alias("label"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
+    good = F.col("label").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
+    rows = rows.withColumn("label", F.col("label").cast("string")).withColumn("good", F.coalesce(good, F.lit(False)))
+    rows = rows.withColumns({"a": F.when(F.col("good"), F.xxhash64("label", "v")), "b": F.when(F.col("good"), F.xxhash64(F.lit(1), "v", "label"))})
+    half = (2 - 2 * cosine) ** 0.5 / 2 + 1e-9
+
+    def known() -> DataFrame:
+        dealt = settled(spark, lambda: _classes(rows, most_centres, sample, shard, half))
+        cells, rounds = _cells(dealt, block, share, least)
+
+        def search(t: pa.Table) -> pa.Table:
+            return _search(t, cosine, beam)
+
+        result = None
+        for k in range(rounds):
+            told = cells.where(F.col("round") == k).drop("round").groupBy("label", "dim", "shard", "i", "j").applyInArrow(search, "cls long, links long, found long, other long")
+            told = materialize(told)
+            result = told if result is None else result.unionByName(told)
+        total = result.groupBy("cls").agg(F.sum("links").alias("links"), F.sum("found").alias("found"))
+        edges = result.select(F.col("cls").alias("u"), F.col("other").alias("v"))
+        named = dealt.select("cls", "a", "b", "key", "n").join(connected_components(edges).toDF("cls", "part"), "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+        smallest = named.groupBy("part").agg(F.min("key").alias("component"))
+        more = lambda c: (F.coalesce(c, F.lit(0)) + F.col("n") - 1).alias(c)
+        return named.join(smallest, "part").join(total, "cls", "left").select("a", "b", "component", more("links"), more("found"))
+
+    with exchanges_dropped(spark):
+        told = settled(spark, known)
+    out = rows.select("key", "a", "b").join(told, ["a", "b"], "left")
     component = F.when(F.col("a").isNull(), F.col("key")).otherwise(F.col("component"))
     return out.select(F.col("key").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
                       F.col("key").eqNullSafe(component).alias("kept"), F.coalesce("found", F.lit(0)).cast("long").alias("n_found"))

@@ -1,14 +1,19 @@
 """Operators against brute force, round trips and held-out accuracy."""
 
 import collections
+import gc
 import hashlib
 import math
+import os
 import random
 import re
+import threading
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -502,6 +507,70 @@ def test_embedding_links_of_small_groups_beside_a_large_one(spark):
     assert {r["vec_id"]: r["component_id"] for r in got} == {k: 1000 * (k >= 1000) for k in range(1080)}
 
 
+def _bytes(paths):
+    total = 0
+    for top in paths:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                try:
+                    total += os.path.getsize(f"{folder}/{name}")
+                except OSError:  # gone meanwhile
+                    pass
+    return total
+
+
+def test_vectors_that_visit_many_shards_need_little_disk(spark, tmp_path):
+    """Spread vectors of 64 dimensions lie near most borders; tables and shuffle
+    files stay within four times the input all the same."""
+    rng = np.random.default_rng(29)
+    x = rng.normal(size=(9000, 64)).astype(np.float32)
+    x[1::9] = x[::9] + rng.normal(size=(1000, 64)) * 0.05
+    path = str(tmp_path / "embeddings.parquet")
+    pq.write_table(pa.table({"vec_id": np.arange(9000), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": np.zeros(9000, np.int32)}), path)
+    places = [common.shared_dir(spark).removeprefix("file:"), *map(str, [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()])]
+    gc.collect()
+    spark._jvm.System.gc()  # shuffles of other tests
+    before, peak, done = _bytes(places), [0], threading.Event()
+
+    def watch():
+        while not done.wait(0.02):
+            peak[0] = max(peak[0], _bytes(places) - before)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = {r["vec_id"]: r for r in vectors.near_duplicates(spark.read.parquet(path)).collect()}
+    finally:
+        done.set()
+        watcher.join()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert true.sum() > 1900 and [got[k]["n_links"] for k in range(9000)] == true.tolist()
+    assert peak[0] <= 4 * os.path.getsize(path)
+
+
+def test_rounds_and_split_cells_lose_no_link(spark, monkeypatch):
+    """Many rounds, cells split by either side, two labels, exact copies, a dense cloud."""
+    rng = np.random.default_rng(31)
+    clouds = [c + rng.normal(size=(45, 8)) * 0.16 for c in rng.normal(size=(18, 8))]
+    x = np.concatenate([*clouds, rng.normal(size=8) + rng.normal(size=(200, 8)) * 0.02])
+    x[::50] = x[1]
+    labels = (np.arange(len(x)) % 7 == 0).astype(int)
+    rows = [(int(k), [float(v) for v in x[k]], int(labels[k])) for k in range(len(x))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    used = []
+    monkeypatch.setattr(vectors, "_cells", lambda *a, cells=vectors._cells: used.append(cells(*a)) or used[-1])
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(df, shard=60, block=4, least=1 << 16).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(near, False)
+    assert used[0][1] > 5
+    assert [got[k]["n_links"] for k in range(len(x))] == near.sum(axis=1).tolist()
+    assert sum(r["n_found"] for r in got.values()) >= 0.99 * near.sum()
+    want = _components({k: {k} for k in range(len(x))}, lambda a, b: near[min(a), min(b)])
+    assert {k: r["component_id"] for k, r in got.items()} == want
+
+
 def test_windows_and_masks(spark):
     rng = random.Random(8)
     say = lambda: rng.choice(["", "<|im_end|>", "a\\b", "<\\|", "<\n|"]).join(" ".join(["word"] * rng.randint(1, 60)) for _ in range(3))
