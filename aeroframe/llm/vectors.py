@@ -11,7 +11,7 @@
    into cells, one for each part at home and each part of all.
 3. In each cell a flat graph of the vectors at home is built (nearest candidates,
    robust pruning), so every vector is indexed once in each cell that holds it.
-4. Every member of the cell, at home or visiting, searches the graph: greedy beam
+4. Every member of the cell, at home or visiting, searches the graph: greedy best-first
    search from the medoids of its connected parts, then range expansion along
    nodes near the query. Hits are verified by cosine in double precision.
 5. Every query is audited: its hits are held against the exact similarities to all
@@ -61,7 +61,7 @@ def robust_prune(far: np.ndarray, among: np.ndarray, degree: int, alpha: float)
     return kept
 
 
-def build_graph(vectors: np.ndarray, degree: int = 24, candidates: int = 64, alpha: float = 1.2, most: int = 64) -> np.ndarray:
+def build_graph(vectors: np.ndarray, degree: int = 24, candidates: int = 64, alpha: float = 1.2, most: int = 48) -> np.ndarray:
     """Adjacency rows of one cell, padded with the number of nodes: pruned nearest
     candidates, then back links, nearest first, up to ``most`` links in all."""
     n = len(vectors)
@@ -111,44 +111,48 @@ def entry_points(vectors: np.ndarray, table: np.ndarray) -> np.ndarray:
     return order[np.searchsorted(of[order], np.arange(len(names)))]
 
 
-def greedy_search(sims: np.ndarray, table: np.ndarray, starts: np.ndarray, beam: int, steps: int, patience: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Beam search of all queries at once -> (nodes, similarities), -inf where empty.
+def greedy_search(sims: np.ndarray, table: np.ndarray, starts: np.ndarray, beam: int, patience: int = 5) -> np.ndarray:
+    """Best-first search of all queries at once -> nodes met (one row per query, a
+    last column for the padding).
 
     ``sims`` tells the similarity of a query (row) to a node; only nodes met on the
     way are looked up. A query starts from the nearest of ``starts``, a quarter of
-    its beam at most, and ends when it has met nothing nearer for ``patience`` steps.
+    ``beam`` at most, and opens the nearest node it has met but not opened, up to
+    twice ``beam`` nodes; it ends early when ``patience`` nodes told of nothing nearer.
     """
     q, n = sims.shape
-    seen = np.zeros((q, n + 1), bool)
-    seen[:, n] = True  # the padding
-    nodes, near, todo = np.full((q, beam), n), np.full((q, beam), -np.inf, sims.dtype), np.zeros((q, beam), bool)
+    met = np.zeros((q, n + 1), bool)
+    todo = np.full((q, n + 1), -np.inf, sims.dtype)
     m = min(len(starts), max(1, beam // 4))
     close = sims[:, starts]
     best = np.argpartition(-close, m - 1, axis=1)[:, :m]
-    nodes[:, :m], near[:, :m], todo[:, :m] = starts[best], np.take_along_axis(close, best, 1), True
-    np.put_along_axis(seen, nodes, True, 1)
-    live, top, idle = np.arange(q), near.max(axis=1), np.zeros(q, int)
-    for _ in range(steps):
-        score = np.where(todo[live], near[live], -np.inf)
-        pick = score.argmax(axis=1)
-        on = (score[np.arange(len(live)), pick] > -np.inf) & (idle[live] < patience)
-        live, pick = live[on], pick[on]
-        if not len(live):
+    np.put_along_axis(met, starts[best], True, 1)
+    np.put_along_axis(todo, starts[best], np.take_along_axis(close, best, 1), 1)
+    live, at, top, idle = np.arange(q), np.arange(q), close.max(axis=1), np.zeros(q, int)
+    for _ in range(2 * beam):
+        pick = todo.argmax(axis=1)
+        on = np.flatnonzero((todo[at, pick] > -np.inf) & (idle < patience))
+        if len(on) < 0.7 * len(live):  # rows that ended are kept until they are many
+            live, pick, todo, top, idle = live[on], pick[on], todo[on], top[on], idle[on]
+            at = on = np.arange(len(live))
+        if not len(on):
             break
-        todo[live, pick] = False
-        new = table[nodes[live, pick]]
-        known = seen[live[:, None], new]
-        seen[live[:, None], new] = True
-        s = np.where(known, -np.inf, sims[live[:, None], np.minimum(new, n - 1)])
-        every = np.hstack([near[live], s])
-        best = np.argpartition(-every, beam - 1, axis=1)[:, :beam]
-        near[live] = np.take_along_axis(every, best, 1)
-        nodes[live] = np.take_along_axis(np.hstack([nodes[live], new]), best, 1)
-        todo[live] = np.take_along_axis(np.hstack([todo[live], ~known]), best, 1)
-        rise = s.max(axis=1)
-        idle[live] = np.where(rise > top[live], 0, idle[live] + 1)
-        top[live] = np.maximum(top[live], rise)
-    return nodes, near
+        rows, pick = live[on], pick[on]
+        todo[on, pick] = -np.inf
+        new = table[pick]
+        known = met[rows[:, None], new]
+        known |= new == n
+        r, c = np.nonzero(~known)
+        nodes = new[r, c]
+        s = sims[rows[r], nodes]
+        met[rows[r], nodes] = True
+        todo[on[r], nodes] = s
+        rise = np.full(len(on), -np.inf, sims.dtype)
+        np.maximum.at(rise, r, s)
+        up = rise > top[on]
+        idle[on] = np.where(up, 0, idle[on] + 1)
+        top[on] = np.maximum(top[on], rise)
+    return met
 
 
 def expand_range(wide: np.ndarray, q: np.ndarray, nodes: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -218,14 +222,19 @@ def _search(t: pa.Table, cosine: float, beam: int) -> pa.Table:
 
     part, guests = np.arange(len(at)), np.zeros((2, len(at)))
     out = []
-    for lo in range(0, len(asks), 512):
-        who = asks[lo : lo + 512]
+    for lo in range(0, len(asks), 256):
+        who = asks[lo : lo + 256]
         sims = short[who] @ xs.T
         near = np.zeros((len(who), len(at) + 1), bool)
-        near[:, :-1] = sims >= wide
-        nodes, close = greedy_search(sims, table, starts, min(beam, len(at)), 2 * beam)
-        k, seed = np.nonzero(close >= wide)
-        hit = expand_range(near, k, nodes[k, seed], table)
+        np.greater_equal(sims, wide, out=near[:, :-1])
+        met = greedy_search(sims, table, starts, beam)
+        met &= near
+        k = np.flatnonzero(place[who] >= 0)
+        near[k, place[who[k]]] = False
+        some = np.flatnonzero(near.any(axis=1))  # a row without any has neither hits nor links
+        near[k, place[who[k]]] = True
+        who, near, sims = who[some], near[some], sims[some]
+        hit = expand_range(near, *np.nonzero(met[some]), table)
         exact = sims >= cosine + slack
         k, o = np.nonzero((sims >= cosine - slack) & ~exact)
         exact[k, o] = np.einsum("nd,nd->n", unit[who[k]], x[o]) >= cosine
