@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Physical limits by variable (least, largest, unit).
@@ -51,31 +51,46 @@ def quality_control(
     return found.where("count > 0")
 
 
+def _middle(df: DataFrame, value: str, name: str) -> DataFrame:
+    """``df`` with the median of ``value`` per variable; missing values do not count.
+
+    Ranks come from a window, which spills: no series stands in one row.
+    """
+    own = Window.partitionBy("variable")
+    ranked = df.withColumns({"_r": F.row_number().over(own.orderBy(F.col(value).asc_nulls_last())), "_n": F.count(value).over(own)})
+    inner = (F.col("_r") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_r") == F.floor(F.col("_n") / 2) + 1)
+    return ranked.withColumn(name, F.avg(F.when(inner, F.col(value))).over(own)).drop("_r", "_n")
+
+
+def _steps(series: DataFrame, value: str) -> DataFrame:
+    """(variable, t, value) with the place ``n`` in time, from 0, and the step ``d`` from the time before."""
+    rising = Window.partitionBy("variable").orderBy("t")
+    return series.select("variable", (F.row_number().over(rising) - 1).cast("long").alias("n"), (F.col(value) - F.lag(value).over(rising)).alias("d"))
+
+
 def _jumps(df: DataFrame, variables: list[str], time: str, sigma: float) -> DataFrame:
-    """Domain means that jump by more than ``sigma`` robust deviations."""
-    means = df.groupBy(time).agg(*[F.avg(F.nanvl(F.col(v).cast("double"), F.lit(None).cast("double"))).alias(v) for v in variables])
-    # one number per time and variable: a series has a row per time step
-    long = means.unpivot([time], variables, "variable", "mean").groupBy("variable").agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col("mean").alias("m")))).alias("s"))
-    steps = F.zip_with(F.slice("s", 1, F.size("s") - 1), F.slice("s", 2, F.size("s")), lambda a, b: b["m"] - a["m"])
-    long = long.where(F.size("s") > 2).select("variable", steps.alias("d"), F.transform("s", lambda x: x["t"]).alias("t"))
-    middle = lambda a: (F.get(F.array_sort(a), F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(F.array_sort(a), F.floor(F.size(a) / 2).cast("int"))) / 2
-    long = long.withColumn("mid", middle(F.col("d"))).withColumn("off", F.transform("d", lambda x: F.abs(x - F.col("mid"))))
-    long = long.withColumn("scale", 1.4826 * middle(F.col("off"))).where("scale > 0")
-    bad = F.filter(F.transform("off", lambda x, k: F.when(x > sigma * F.col("scale"), k)), lambda k: k.isNotNull())
-    long = long.withColumn("bad", bad)
-    at = F.get("bad", F.lit(0))
-    return long.select(F.lit("WARNING").alias("severity"), "variable", F.lit("temporal-jump").alias("check"), F.size("bad").cast("long").alias("count"),
-                       F.array((at + 1).cast("long")).alias("first_index"), F.get("d", at).alias("first_value"))
+    """Domain means that jump by more than ``sigma`` robust deviations.
+
+    A series, one mean per time step, is sorted in one task per variable: by time, by step and by deviation.
+    """
+    means = df.groupBy(F.col(time).alias("t")).agg(*[F.avg(F.nanvl(F.col(v).cast("double"), F.lit(None).cast("double"))).alias(v) for v in variables])
+    long = _steps(means.unpivot(["t"], variables, "variable", "mean"), "mean")
+    long = _middle(long.withColumn("d", F.nanvl("d", F.lit(None).cast("double"))), "d", "mid")
+    long = _middle(long.withColumn("off", F.abs(F.col("d") - F.col("mid"))), "off", "mad").withColumn("scale", 1.4826 * F.col("mad"))
+    bad = (F.col("off") > sigma * F.col("scale")) & (F.col("scale") > 0) & (F.col("scale") < float("inf"))
+    first = F.min(F.when(bad, F.struct("n", "d")))
+    told = long.groupBy("variable").agg(F.count_if(bad).alias("count"), first["n"].alias("n"), first["d"].alias("d"), F.count("*").alias("size")).where("size > 2")
+    return told.select(F.lit("WARNING").alias("severity"), "variable", F.lit("temporal-jump").alias("check"), "count", F.array("n").alias("first_index"), F.col("d").alias("first_value"))
 
 
 def _clock(df: DataFrame, time: str, clock: str) -> DataFrame:
     """A clock that does not rise, or not evenly."""
-    series = df.groupBy(time).agg(F.min(F.col(clock).cast("double")).alias("c")).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col("c")))).alias("s"))
-    steps = F.zip_with(F.slice("s", 1, F.greatest(F.size("s") - 1, F.lit(0))), F.slice("s", 2, F.size("s")), lambda a, b: b["c"] - a["c"])
-    first = F.get("d", F.lit(0))
-    uneven = F.exists("d", lambda x: (x <= 0) | (F.abs(x - first) > 1e-8 + 1e-5 * F.abs(first)))
-    return series.where(F.size("s") > 0).select(steps.alias("d")).select(
-        F.lit("ERROR").alias("severity"), F.lit("XTIME").alias("variable"), F.lit("time-coordinate").alias("check"), F.when(uneven, 1).otherwise(0).cast("long").alias("count"),
+    series = df.groupBy(F.col(time).alias("t")).agg(F.min(F.col(clock).cast("double")).alias("c")).withColumn("variable", F.lit("XTIME"))
+    d = _steps(series, "c").groupBy("variable").agg(F.min("d").alias("least"), F.max("d").alias("most"), F.min_by("d", F.when(F.col("n") > 0, F.col("n"))).alias("first"))
+    slack = 1e-8 + 1e-5 * F.abs("first")
+    uneven = (F.col("least") <= 0) | (F.col("most") - F.col("first") > slack) | (F.col("first") - F.col("least") > slack)
+    return d.select(
+        F.lit("ERROR").alias("severity"), "variable", F.lit("time-coordinate").alias("check"), F.when(uneven, 1).otherwise(0).cast("long").alias("count"),
         F.lit(None).cast("array<bigint>").alias("first_index"), F.lit(None).cast("double").alias("first_value"))
 
 

@@ -1,6 +1,7 @@
 """Known answers of reductions, neighbours, geometry and spectra."""
 
 import math
+import threading
 
 import numpy as np
 import pytest
@@ -116,6 +117,35 @@ def test_quality_rules(spark):
     assert "PASS" in quality.report_text([])
 
 
+def _jumps_by_numpy(means, sigma):
+    d = np.diff(means)
+    off = np.abs(d - np.nanmedian(d))
+    at = np.flatnonzero(off > sigma * 1.4826 * np.nanmedian(off))
+    return len(at), [int(at[0]) + 1], float(d[at[0]])
+
+
+@pytest.mark.parametrize("steps, missing", [(60, 0.4), (5000, 0.01)])
+def test_jumps_of_a_series(spark, steps, missing):
+    rng = np.random.default_rng(steps)
+    means = np.where(rng.random(steps) < missing, np.nan, rng.normal(280, 1, steps))
+    means[steps // 2 - 1 : steps // 2 + 2] = 280, 330, 281
+    df = spark.createDataFrame([(t, float(x)) for t, x in enumerate(means)], "t int, T2 double")
+    stop = threading.Timer(120, spark.sparkContext.cancelAllJobs)  # a long series must not take the square of its length
+    stop.start()
+    try:
+        got = quality.quality_control(df, ["T2"], ["t"], jump_sigma=6.0).where("check = 'temporal-jump'").first()
+    finally:
+        stop.cancel()
+    count, index, value = _jumps_by_numpy(means, 6.0)
+    assert (got["count"], got["first_index"]) == (count, index) and got["first_value"] == pytest.approx(value)
+
+
+def test_even_and_uneven_clocks(spark):
+    for clock, found in (([0, 60, 120, 180], 0), ([0, 60, 120, 190], 1), ([0, 60, 60, 120], 1), ([5], 0), ([180, 120, 60, 0], 1)):
+        df = spark.createDataFrame([(t, 290.0, float(x)) for t, x in enumerate(clock)], "t int, T2 double, XTIME double")
+        assert quality.quality_control(df, ["T2"], ["t"], "t", "XTIME").where("check = 'time-coordinate'").count() == found
+
+
 def test_spectra(spark):
     n = np.arange(400)
     df = series(spark, np.sin(2 * np.pi * 2 * n / 20))
