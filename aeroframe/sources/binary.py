@@ -1,5 +1,6 @@
 """Binary wind and channel formats: whole files through the binaryFile reader,
-decoded in Arrow batches; one file must fit one executor's Python worker."""
+decoded in Arrow batches; one file must fit one executor's Python worker. Full
+fields are cut there into runs of time steps, which all tasks decode."""
 
 from __future__ import annotations
 
@@ -8,7 +9,6 @@ import struct
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +18,14 @@ from aeroframe.sources import sinks
 # Series of a hub-height record, after its time.
 HUB = ("u", "uh", "ut", "v", "w", "u_prime", "v_prime", "w_prime", "uw", "uv", "vw", "tke", "ctke")
 CELLS = "path string, t int, k int, j int, u double, v double, w double"
+# Cells of a full field that are decoded at a time, one plane at least.
+RUN = 1 << 17
 
 
 class _Bytes:
     """A cursor over little-endian content."""
 
-    def __init__(self, content: bytes):
+    def __init__(self, content: bytes | memoryview):
         self.content, self.at = content, 0
 
     def take(self, form: str):
@@ -43,11 +45,11 @@ class _Bytes:
     def text(self, size: int) -> str:
         out = self.content[self.at : self.at + size]
         self.at += size
-        return out.decode("utf-8", "replace")
+        return bytes(out).decode("utf-8", "replace")
 
 
-def decode_bts(content: bytes) -> tuple[FieldMeta, np.ndarray]:
-    """Full-field wind file -> metadata, velocity (t, k, j, component)."""
+def parse_bts(content: bytes | memoryview) -> tuple[FieldMeta, np.ndarray, np.ndarray, np.ndarray]:
+    """Full-field wind file -> metadata, codes (t, k, j, component), slopes and offsets."""
     b = _Bytes(content)
     kind, nz, ny, tower, nt = b.take("hiiii")
     if kind not in (7, 8):
@@ -61,12 +63,12 @@ def decode_bts(content: bytes) -> tuple[FieldMeta, np.ndarray]:
     if len(content) - b.at < 2 * nt * nz * ny * 3:
         raise ValueError("the file ends before its velocities do")
     codes = b.array("<i2", nt * nz * ny * 3).reshape(nt, nz, ny, 3)
-    velocity = (codes.astype(float) - np.array(packed[1::2], float)) / np.array(packed[::2], float)
-    return FieldMeta(nt, nz, ny, dy, dz, dt, hub, bottom, description, mean), velocity
+    return FieldMeta(nt, nz, ny, dy, dz, dt, hub, bottom, description, mean), codes, np.array(packed[::2], float), np.array(packed[1::2], float)
 
 
-def decode_wnd(content: bytes, clockwise: bool = False) -> tuple[FieldMeta, np.ndarray]:
-    """Newer-style full-field file with intensities; hub height falls back to the grid's centre."""
+def parse_wnd(content: bytes | memoryview) -> tuple[FieldMeta, np.ndarray, np.ndarray, np.ndarray]:
+    """Newer-style full-field file with intensities -> metadata, codes, slopes and
+    offsets; hub height falls back to the grid's centre."""
     b = _Bytes(content)
     kind, _ = b.take("hh")
     if kind != -99:
@@ -81,44 +83,60 @@ def decode_wnd(content: bytes, clockwise: bool = False) -> tuple[FieldMeta, np.n
     codes = b.rest("<i2")
     if len(codes) < nt * nz * ny * n:
         raise ValueError("the file ends before its velocities do")
-    velocity = codes[: nt * nz * ny * n].reshape(nt, nz, ny, n) * (1e-5 * mean * np.array(ti)) + np.array([mean, 0, 0])
-    if clockwise:
-        velocity = velocity[:, :, ::-1]
-    return FieldMeta(nt, nz, ny, dy, dz, dx / mean, centre, centre - dz * (nz - 1) / 2, "", mean), velocity
+    codes = codes[: nt * nz * ny * n].reshape(nt, nz, ny, n)
+    return FieldMeta(nt, nz, ny, dy, dz, dx / mean, centre, centre - dz * (nz - 1) / 2, "", mean), codes, 1e-5 * mean * np.array(ti), np.array([mean, 0.0, 0.0])
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def _fields(spark: SparkSession, path: str, decode) -> DataFrame:
+def _fields(spark: SparkSession, path: str, parse, velocity) -> DataFrame:
+    """Cells of full-field files. The task that reads a file only cuts its codes
+    into runs of time steps; ``velocity(codes, slope, offset)`` is worked out where they are dealt to."""
+    def cut(batches):
+        for b in batches:
+            for name, content in zip(b.column("path").to_pylist(), b.column("content")):
+                meta, codes, slope, offset = parse(memoryview(content.as_buffer()))
+                steps = max(1, RUN // (meta.nz * meta.ny))
+                for t in range(0, meta.nt, steps):
+                    one = {"path": [name], "t": [t], "nz": [meta.nz], "ny": [meta.ny], "slope": [slope.tolist()], "offset": [offset.tolist()]}
+                    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+                    made = [pa.array(x, kind) for x, kind in zip(one.values(), kinds)]
+                    yield pa.RecordBatch.from_arrays([*made, pa.array([codes[t : t + steps].tobytes()], pa.binary())], names=[*one, "codes"])
+
     def run(batches):
         for b in batches:
-            for name, content in zip(b["path"], b["content"]):
-                _, velocity = decode(content)
-                for t, plane in enumerate(velocity):
-                    k, j = np.indices(plane.shape[:2])
-                    yield pd.DataFrame({"path": name, "t": t, "k": k.ravel(), "j": j.ravel(), **{c: plane[..., n].ravel() for n, c in enumerate("uvw")}})
+            for n in range(b.num_rows):
+                name, start, nz, ny, slope, offset = (b.column(c)[n].as_py() for c in ("path", "t", "nz", "ny", "slope", "offset"))
+                codes = np.frombuffer(b.column("codes")[n].as_buffer(), "<i2").reshape(-1, nz, ny, len(slope))
+                v = velocity(codes, np.array(slope), np.array(offset))
+                at = np.indices(v.shape[:3], np.int32).reshape(3, -1)
+                at[0] += start
+                cells = [pa.repeat(pa.scalar(name, pa.string()), at.shape[1]), *map(pa.array, at), *(pa.array(np.ascontiguousarray(v[..., m]).ravel()) for m in range(3))]
+                yield pa.RecordBatch.from_arrays(cells, names=["path", *"tkjuvw"])
 
-    return _files(spark, path).mapInPandas(run, CELLS)
+    runs = _files(spark, path).mapInArrow(cut, "path string, t int, nz int, ny int, slope array<double>, offset array<double>, codes binary")
+    return runs.repartition("path", "t").mapInArrow(run, CELLS)
 
 
 def read_bts(spark: SparkSession, path: str) -> DataFrame:
-    return _fields(spark, path, decode_bts)
+    return _fields(spark, path, parse_bts, lambda codes, slope, offset: (codes.astype(float) - offset) / slope)
 
 
 def read_bladed_wnd(spark: SparkSession, path: str, clockwise: bool = False) -> DataFrame:
-    return _fields(spark, path, lambda content: decode_wnd(content, clockwise))
+    side = -1 if clockwise else 1
+    return _fields(spark, path, parse_wnd, lambda codes, slope, offset: (codes * slope + offset)[:, :, ::side])
 
 
 def read_meta(spark: SparkSession, path: str, kind: str = "bts", hub_height: float | None = None) -> DataFrame:
     """One metadata row per file; ``hub_height`` takes the place of a file's own."""
-    decode = decode_bts if kind == "bts" else decode_wnd
+    parse = parse_bts if kind == "bts" else parse_wnd
     own = {"hub_height": float(hub_height)} if hub_height else {}
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame([{"path": name, **decode(content)[0].__dict__, **own} for name, content in zip(b["path"], b["content"])])
+            yield pd.DataFrame([{"path": name, **parse(content)[0].__dict__, **own} for name, content in zip(b["path"], b["content"])])
 
     return _files(spark, path).mapInPandas(run, "path string, nt int, nz int, ny int, dy double, dz double, dt double, hub_height double, bottom_height double, description string, mean_speed double")
 
@@ -178,30 +196,29 @@ def read_binary_output(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _payload(field: DataFrame, codes: list) -> DataFrame:
-    """One row of packed codes per time step, in time order."""
+    """Packed codes in time order, those of a batch of time steps in a row."""
     parts = ["cu", "cv", "cw"]
     steps = field.select("t", F.struct("k", "j", *codes).alias("_c")).groupBy("t").agg(F.sort_array(F.collect_list("_c")).alias("_s"))
 
     def run(batches):
         for b in batches:
             packed = np.stack([b.column(c).flatten().to_numpy(zero_copy_only=False) for c in parts], axis=1).astype("<i2")
-            cuts = np.cumsum(pc.list_value_length(b.column("cu")).to_numpy(zero_copy_only=False))[:-1]
-            yield pa.RecordBatch.from_arrays([b.column("t"), pa.array([x.tobytes() for x in np.split(packed, cuts)] if b.num_rows else [], pa.binary())], names=["t", "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array([packed.tobytes()], pa.binary())], names=["codes"])
 
-    return steps.select("t", *[F.col(f"_s.{c}").alias(c) for c in parts]).mapInArrow(run, "t int, codes binary").orderBy("t")
+    return steps.select("t", *[F.col(f"_s.{c}").alias(c) for c in parts]).orderBy("t").select(*parts).mapInArrow(run, "codes binary")
 
 
 def _stream(target: str, header: bytes, payload: DataFrame) -> str:
-    """The driver holds one partition of time steps at a time."""
+    """The driver holds two partitions of time steps at a time, one of them under way."""
     with sinks.opened(payload.sparkSession, target) as write:
         write(header)
-        for row in payload.toLocalIterator():
+        for row in payload.toLocalIterator(prefetchPartitions=True):
             write(row["codes"])
     return target
 
 
 def _code(x):
-    return F.greatest(F.lit(-32768.0), F.least(F.lit(32767.0), F.rint(x))).cast("int")
+    return F.greatest(F.lit(-32768.0), F.least(F.lit(32767.0), F.rint(x))).cast("smallint")
 
 
 def write_bts(field: DataFrame, meta: FieldMeta, path: str) -> str:

@@ -1,6 +1,7 @@
 """Round trips and readers."""
 
 import struct
+from unittest.mock import MagicMock
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from aeroframe import cli, doctor
 from aeroframe.operators import fields
 from aeroframe.plans import domains
-from aeroframe.sources import archive, binary, discovery, netcdf, text
+from aeroframe.sources import archive, binary, discovery, netcdf, sinks, text
 
 
 @pytest.fixture
@@ -45,6 +46,39 @@ def test_wnd_round_trip(spark, field, tmp_path):
     assert fields.max_error(df, back).first()["max_abs_error"] < 0.002
 
 
+def test_small_contents_reach_the_store_together(monkeypatch):
+    session = MagicMock()
+    monkeypatch.setattr(sinks, "PIECE", 1000, raising=False)
+    with sinks.opened(session, "store:/a") as write:
+        for n in range(5000):
+            write(bytes([n % 251]))
+        write(b"x" * 2500)
+    calls = session._jvm.org.apache.hadoop.fs.Path().getFileSystem().create().write.call_args_list
+    assert b"".join(bytes(c.args[0]) for c in calls) == bytes(n % 251 for n in range(5000)) + b"x" * 2500
+    assert len(calls) == 8
+
+
+@pytest.mark.parametrize("kind", ["bts", "wnd"])
+def test_runs_of_a_field_are_dealt_out(spark, field, tmp_path, monkeypatch, kind):
+    df, meta = field
+    path = str(tmp_path / f"runs.{kind}")
+    if kind == "bts":
+        binary.write_bts(df, meta, path)
+    else:
+        binary.write_bladed_wnd(df, meta, path, clockwise=True)
+    read = (lambda: binary.read_bts(spark, path)) if kind == "bts" else lambda: binary.read_bladed_wnd(spark, path, clockwise=True)
+    whole = sorted(read().drop("path").collect())
+    monkeypatch.setattr(binary, "RUN", 50, raising=False)  # two steps of 20 cells
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = read().withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len({r["task"] for r in got}) > 1 and {r["path"].rsplit("/", 1)[1] for r in got} == {f"runs.{kind}"}
+    assert sorted((r["t"], r["k"], r["j"], r["u"], r["v"], r["w"]) for r in got) == [tuple(r) for r in whole] and len(got) == 240
+
+
 def test_other_binaries(spark, tmp_path):
     (tmp_path / "hub.bin").write_bytes(np.arange(28, dtype="<f4").tobytes())
     assert binary.read_hub_height_binary(spark, str(tmp_path / "hub.bin")).count() == 2
